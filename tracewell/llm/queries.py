@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, token_files, url_rules
+from . import decontam, mixing, near_dup, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
@@ -17,6 +17,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"))
 
@@ -30,7 +34,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op6_token_files, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op3_decontamination, op4_near_duplicates, op6_token_files, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
