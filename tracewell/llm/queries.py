@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, near_dup, token_files, url_rules
+from . import decontam, mixing, near_dup, quality_fm, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_fm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,7 +38,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_decontamination, op4_near_duplicates, op6_token_files, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op6_token_files, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
