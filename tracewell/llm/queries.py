@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, near_dup, quality_fm, token_files, url_rules
+from . import decontam, langid, mixing, near_dup, quality_fm, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
@@ -29,6 +29,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -38,7 +42,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op6_token_files, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op6_token_files, op7_language, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
