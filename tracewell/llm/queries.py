@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, mixing, near_dup, quality_fm, token_files, url_rules
+from . import ann, decontam, langid, mixing, near_dup, quality_fm, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
@@ -25,6 +25,10 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op6_token_files, op7_language, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op5_nearest, op6_token_files, op7_language, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
