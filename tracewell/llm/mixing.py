@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD, stored
 
-ROWS_PER_BUCKET = 32_768
+ROWS_PER_BUCKET = 4096
 
 
 def word_count(text: Column) -> Column:
@@ -78,7 +78,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1
 
 def _common_time(rows: DataFrame, repeats: int, n_buckets: int) -> float:
     """The largest finish time up to which all items fit the budget; items that finish together go together."""
-    bins = float(max(1024, 8 * n_buckets))
+    bins = float(max(1024, n_buckets))
     items = rows.where("size > 0").select("size", "budget", F.explode(F.array(*[f"finish_{i}" for i in range(repeats)])).alias("finish"))
     items = items.withColumn("bin", F.least(F.floor(F.col("finish") * bins), F.lit(int(4 * bins))))
     upto = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
