@@ -9,6 +9,7 @@ Any zstandard tool decompresses a shard; a reader of ours fetches only the frame
 
 from __future__ import annotations
 
+import os
 import struct
 import uuid
 import zlib
@@ -21,7 +22,8 @@ from .common import file_system, new_folder, ship
 
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 128
 FRAME_IDS = 1 << 20
-CACHE_WORDS = 600_000
+#: Words that a worker remembers; those met later are encoded each time they come in a batch.
+CACHE_WORDS = 1_200_000
 READ_BYTES = 4 << 20
 
 
@@ -38,25 +40,41 @@ class WordEncoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks already use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word. Many words go through the tokenizer as one text; offsets tell whose each id is."""
         import numpy as np
 
+        out = []
+        for at in range(0, len(words), 200):
+            some = [w.decode("utf-8", "replace") for w in words[at : at + 200]]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.dtype)
+            starts = np.fromiter((o[0] for o in found.offsets), np.int64, len(ids))
+            ends = (np.searchsorted(starts, np.cumsum([0, *(len(w) + 1 for w in some)])) * ids.itemsize).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return out
+
+    def encode(self, texts: Sequence[str | None]) -> list[bytes]:
+        known = self.known
         split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        fresh = list({w for words in split for w in words if w not in self.known})
-        for i in range(0, len(fresh), 10_000):
-            some = fresh[i : i + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype=self.dtype).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        found = [list(map(known.get, words)) for words in split]
+        gaps = [[i for i, v in enumerate(f) if v is None] if None in f else [] for f in found]
+        fresh = list({split[d][i] for d, gap in enumerate(gaps) for i in gap})
+        new = dict(zip(fresh, self._encode_words(fresh), strict=True))
+        for d, gap in enumerate(gaps):
+            for i in gap:
+                found[d][i] = new[split[d][i]]
+        if len(known) + len(new) <= CACHE_WORDS:  # frequent words come early
+            known.update(new)
+        return [b"".join(f) for f in found]
 
 
 class ShardWriter:
