@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, mixing, near_dup, quality_fm, token_files, url_rules
+from . import ann, decontam, langid, lm_trie, mixing, near_dup, quality_fm, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
@@ -37,6 +37,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_trie.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), url_rules.rule_table(spark, URL_RULES))
 
@@ -46,7 +50,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op5_nearest, op6_token_files, op7_language, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op5_nearest, op6_token_files, op7_language, op8_lm_scores, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
