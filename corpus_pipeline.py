@@ -3,22 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import token_files
+from tracewell.llm import decontam, mixing, near_dup, quality_fm, token_files
 from tracewell.llm.common import stored, table
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learned from the labels of the documents given, scores at 0.5 or more."""
+    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), "quality_score")
+    return scored.where("quality_score >= 0.5").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest doc_id. Similarity 0.8, shingles of five words.
+
+    Rows that repeat a doc_id are copies, too: one of them stays, the one whose text has the smallest hash.
+    """
+    found = near_dup.near_duplicates(docs, percent=80)
+    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
+    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    repeated = one.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if repeated.take(1):
+        first = one.join(repeated, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "h").alias("row"))
+        one = one.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "row.*"))
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a window of ten words of the benchmark."""
+    return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: not at all, once or twice."""
+    place = docs.withColumn("mix_row", F.monotonically_increasing_id())  # docs are files: a row keeps its number
+    taken = mixing.mix(docs, row=F.monotonically_increasing_id()).where("copies > 0").select(F.col("row_key").alias("mix_row"), "copies")
+    out = place.join(taken, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*docs.columns)
+
+
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, described document by document from what was read back."""
     return token_files.token_output(docs)
 
 
-STAGES = [("token output", token_output)]
+STAGES = [("quality classifier", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("source mixing", mix_sources), ("token output", token_output)]
 #: Trained models, sketches and tokenizers are not SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stored(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs
