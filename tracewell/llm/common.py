@@ -77,6 +77,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """df if it is a plain scan of files, whose rows keep their numbers whenever it is read; else a stored copy of it."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return df if "FileScan" in plan and "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan else stored(df, name)
+
+
 def file_system(uri: str):
     """pyarrow file system and path of a URI of the shared folder."""
     from pyarrow import fs

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, ship
+from .common import alnum_words, ship, steady
 
 WINDOW = 10
 SHARD_WORDS = 2_000_000
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col("doc_id"), F.col("text"), F.monotonically_increasing_id().alias("row_key"))
+    base = steady(docs.select("doc_id", "text"), "contamination-input").select("doc_id", "text", F.monotonically_increasing_id().alias("row_key"))
     id_type = base.schema["doc_id"].dataType.simpleString()
     schema = f"row_key long, doc_id {id_type}, n_words long, hits binary, items array<long>, longest long, longest_at long"
 

@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontam, langid, lm_trie, mixing, near_dup, quality_fm, token_files, url_rules
+from . import ann, decontam, langid, line_dedup, lm_trie, mixing, near_dup, quality_fm, token_files, url_rules
 from .common import table
 
 #: Verdict, host and path of the rules that op9 applies.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op3_decontamination, op4_near_duplicates, op5_nearest, op6_token_files, op7_language, op8_lm_scores, op9_url_filter, op10_mixing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_decontamination, op4_near_duplicates, op5_nearest, op6_token_files, op7_language, op8_lm_scores, op9_url_filter, op10_mixing)}
 
 
 OP9_SQL = r"""
