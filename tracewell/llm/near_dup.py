@@ -8,8 +8,11 @@ about the square root. A pair at similarity J meets in some table with probabili
 Documents with equal shingle sets form a class first and only the smallest of each is looked at further. In each bucket
 every member is compared with the smallest one (a star). The components of the links found are then used to find what a
 star can miss: in each bucket, members outside the component of the smallest member are compared with all members of
-other components. Large groups thus cost one comparison for each member and table, while no candidate pair that could
-still join two components goes unverified. Links are confirmed on full shingle sets.
+other components. Before that, shingles that only one of these documents has are counted: what is left of either set
+bounds the intersection, and pairs that cannot reach the threshold are never made; a pair is made in the first table only
+in which it meets. Large groups thus cost one comparison
+for each member and table, while no candidate pair that could still join two components goes unverified. Links are
+confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -135,6 +138,27 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, alone): how many shingles of each document of ids occur in no other of them; documents without such are left out."""
+    ids_side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids_side, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = [shingle_set(t) for t in part.column(1).to_pylist()]
+                reps = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).astype(np.int64))], names=["rep", "h"])
+
+    found = texts.mapInArrow(run, "rep long, h long").groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
+    alone = found.groupBy("rep").agg(F.count("*").alias("alone"))
+    return alone
+
+
 def components(edges: DataFrame, name: str = "dup") -> DataFrame:
     """(id, component) of every node of edges (a, b); component is the smallest id reachable. Alternating stars.
 
@@ -171,7 +195,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     classes = stored(with_set.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves")), "dup-classes")
     left, right = F.slice("halves", 1, side), F.slice("halves", side + 1, side)
     keys = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x, y))))
-    members = classes.select("rep", "n_shingles", F.explode(keys).alias("key"))
+    members = classes.select("rep", "n_shingles", F.posexplode(keys).alias("table", "key"))
     smallest = F.min(F.struct("rep", F.col("n_shingles").alias("n")))
     buckets = stored(members.groupBy("key").agg(smallest.alias("c"), F.count("*").alias("n_members")).where("n_members > 1").select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "n_members"), "dup-buckets")
     met = members.join(buckets, "key").where("rep <> center")
@@ -184,11 +208,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     first = stored(components(links), "dup-first")
     # What stars can miss: pairs of a bucket in different components, one of them not in that of the bucket's smallest.
     wide = buckets.where("n_members > 2").join(first.select(F.col("id").alias("center"), F.col("component").alias("cc")), "center", "left").select("key", "center", F.coalesce("cc", "center").alias("center_c"))
-    inside = members.join(wide, "key").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
+    inside = members.join(wide, "key").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("table", "key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
     inside = stored(inside, "dup-inside")
-    outside = inside.where("c <> center_c").select("key", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("c").alias("cx"))
-    rest = outside.join(inside.where("rep <> center").select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("c").alias("cy"), "center_c"), "key")
-    rest = rest.where("cx <> cy and (cy = center_c or x < y)").where(possible(F.col("n"), F.col("m")))
+    inside = inside.join(inside.where("c <> center_c").select("key").distinct(), "key", "left_semi")
+    alone = _lone_shingles(stored(inside.select("rep").distinct(), "dup-open"), docs)
+    inside = inside.join(alone, "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
+    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent), "dup-able")
+    inside = inside.join(classes.select("rep", "halves"), "rep")
+    outside = inside.where("c <> center_c").select("key", "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
+    rest = outside.join(inside.where("rep <> center").select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "center_c", F.col("halves").alias("hy")), "key")
+    most = F.least("n_shared", "m_shared")  # no pair has more in common
+    i, j = F.floor(F.col("table") / side).cast("int"), (F.col("table") % side).cast("int")
+    earlier = F.arrays_overlap(F.slice("hx", F.lit(1), i), F.slice("hy", F.lit(1), i)) | F.arrays_overlap(F.slice("hx", F.lit(side + 1), j), F.slice("hy", F.lit(side + 1), j))
+    rest = rest.where("cx <> cy and (cy = center_c or x < y)").where(~earlier).where(most * 100 >= (F.col("n") + F.col("m") - most) * percent)
     more = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dup-rest")
     if more.take(1):
         links = stored(links.unionByName(_verified(more, docs, percent)), "dup-links")
