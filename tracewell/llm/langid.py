@@ -25,7 +25,8 @@ NGRAMS = (2, 3, 4)
 ROWS_PER_LANGUAGE = 600
 #: Share of correct answers that rejection may lose on the rows held back for calibration.
 LOST = 0.01
-CACHE_WORDS = 300_000
+#: Words that a worker remembers; those met later are hashed each time.
+CACHE_WORDS = 800_000
 LETTERS = re.compile(r"[^\W\d_]+")
 MASK = (1 << BITS) - 1
 
@@ -52,7 +53,8 @@ class Model:
 
     def __post_init__(self):
         self.logits = self.embeddings @ self.weights.T if len(self.languages) else None
-        self.known: dict[str, tuple[object, int]] = {}
+        self.known: dict[str, int] = {}
+        self.rows = None
 
     def __getstate__(self):
         return (self.languages, self.embeddings, self.weights, self.bias, self.temperature, self.threshold)
@@ -60,30 +62,46 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def _row(self, chunk: str):
+        """Sum of the logits of a chunk's subwords, and their number."""
+        import numpy as np
+
+        ids = subwords(chunk)
+        return np.concatenate([self.logits[ids].sum(axis=0), [len(ids)]])
+
+    def _remember(self, chunk: str) -> int | None:
+        import numpy as np
+
+        n = len(self.known)
+        if n >= CACHE_WORDS:
+            return None
+        if self.rows is None or n >= len(self.rows):
+            grown = np.zeros((max(1024, 2 * n), len(self.languages) + 1))
+            if n:
+                grown[:n] = self.rows
+            self.rows = grown
+        self.rows[n] = self._row(chunk)
+        self.known[chunk] = n
+        return n
+
     def raw(self, text: str | None):
         """Class logits before the temperature; None without a letter."""
         import numpy as np
 
-        total, n, known = np.zeros(len(self.languages)), 0, self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        counts: dict[str, int] = {}
-        for chunk in (text or "").split():
-            counts[chunk] = counts.get(chunk, 0) + 1
-        sums, many = [], []
-        for chunk, k in counts.items():
-            v = known.get(chunk)
-            if v is None:
-                ids = subwords(chunk)
-                v = known[chunk] = (self.logits[ids].sum(axis=0), len(ids))
-            if v[1]:
-                sums.append(v[0])
-                many.append(k)
-                n += k * v[1]
-        if not n:
-            return None
-        total = np.array(many, np.float64) @ np.array(sums, np.float64)
-        return total / n + self.bias
+        chunks = (text or "").split()
+        at = list(map(self.known.get, chunks))
+        total = np.zeros(len(self.languages) + 1)
+        if None in at:
+            for i, k in enumerate(at):
+                if k is None:
+                    k = self.known.get(chunks[i])
+                    at[i] = self._remember(chunks[i]) if k is None else k
+                    if at[i] is None:
+                        total += self._row(chunks[i])
+            at = [k for k in at if k is not None]
+        if at:
+            total += self.rows[at].sum(axis=0)
+        return total[:-1] / total[-1] + self.bias if total[-1] else None
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, calibrated probability, accepted. Without a letter, or with nothing learned: und, 0, not accepted."""
