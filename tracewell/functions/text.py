@@ -47,5 +47,5 @@ def query_terms(text: Column) -> Column:
 
 def slug(name: Column) -> Column:
     """Lower-case ASCII letters and digits joined by single hyphens; `skill` if nothing is left."""
-    plain = F.trim(F.lit("-"), F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"))
+    plain = F.trim(F.lower(F.regexp_replace(name, "[^A-Za-z0-9]+", "-")), F.lit("-"))
     return F.when(plain == "", "skill").otherwise(plain)

@@ -13,7 +13,7 @@ HASHED = ("index", "agent_id", "thought_type", "role", "content", "importance",
 
 def clean_labels(values: Column) -> Column:
     """Trimmed, blanks dropped, one of each whatever the case; the first spelling wins."""
-    trimmed = F.filter(F.transform(values, F.trim), lambda v: v != "")
+    trimmed = F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v != "")
     return F.aggregate(trimmed, F.array().cast("array<string>"), lambda out, v: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(v)), out).otherwise(F.array_append(out, v)))
 
 

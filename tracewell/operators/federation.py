@@ -10,7 +10,7 @@ from .storage import cut
 
 def dedupe(hits: DataFrame, first_chain_wins: bool = False) -> DataFrame:
     """One hit for each id of a query: the higher total, of equals the earlier chain; or simply the earlier chain (chain_pos)."""
-    order = ["chain_pos"] if first_chain_wins else [F.desc("total"), "chain_pos"]
+    order = ["chain_pos", F.desc("total"), "index"] if first_chain_wins else [F.desc("total"), "chain_pos", "index"]
     w = Window.partitionBy("query_id", "id").orderBy(*order)
     return hits.withColumn("r", F.row_number().over(w)).where(F.col("r") == 1).drop("r")
 

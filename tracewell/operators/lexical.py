@@ -37,7 +37,8 @@ def corpus_stats(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 def postings(docs: DataFrame, fields: Sequence[str], terms: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
     """chain_key, index, term, tf_<field>, len_<field>: one row per document and term (of `terms`, if given)."""
-    tagged = [F.transform(f"t_{f}", lambda t, k=k: F.struct(F.lit(k).alias("k"), t.alias("term"))) for k, f in enumerate(fields)]
+    tag = lambda k: lambda t: F.struct(F.lit(k).alias("k"), t.alias("term"))
+    tagged = [F.transform(f"t_{f}", tag(k)) for k, f in enumerate(fields)]
     lengths = [F.size(f"t_{f}").alias(f"len_{f}") for f in fields]
     rows = docs.select(*DOC, *lengths, F.explode(F.concat(*tagged)).alias("p")).select(*DOC, *[f"len_{f}" for f in fields], F.col("p.k").alias("k"), F.col("p.term").alias("term"))
     if stemmed:

@@ -129,7 +129,8 @@ def search(skills: DataFrame, ids=(), names=(), tags=(), triggers=(), statuses=(
             skills = skills.where(F.lower(column).isin(lower(values)))
     for column, values in (("tags", tags), ("triggers", triggers)):
         if values:
-            skills = skills.where(F.exists(column, lambda v, values=values: F.lower(v).isin(lower(values))))
+            wanted = lower(values)
+            skills = skills.where(F.exists(column, lambda v: F.lower(v).isin(wanted)))  # noqa: B023
     if text is not None:
         n = F.lit(text.lower())
         skills = skills.where(F.contains(F.lower("name"), n) | F.contains(F.lower("description"), n) | F.exists("sections", lambda s: F.contains(F.lower(s["heading"]), n) | F.contains(F.lower(s["body"]), n)))

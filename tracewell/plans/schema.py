@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 RELATION = "struct<kind:string,target_id:string,chain_key:string,valid_at:timestamp,invalid_at:timestamp>"
-RECORD = StructType.fromDDL(
+RECORD_DDL = (
     "chain_key string, schema_version int, id string, index bigint, timestamp timestamp, session_id string, agent_id string, "
     "signing_key_id string, thought_signature binary, thought_type string, role string, content string, confidence float, "
     f"importance float, tags array<string>, concepts array<string>, refs array<bigint>, relations array<{RELATION}>, "
@@ -27,11 +27,15 @@ References Summarizes Corrects Invalidates CausedBy Supports Contradicts Derived
 INVALIDATING = ("Supersedes", "Corrects", "Invalidates")
 
 
+def record_schema() -> StructType:
+    return StructType.fromDDL(RECORD_DDL)
+
+
 def upgrade(df: DataFrame) -> DataFrame:
-    """df of any schema version as RECORD: missing columns get their defaults, arrays are never null."""
+    """df of any schema version with the current schema: missing columns get their defaults, arrays are never null."""
     defaults = {"schema_version": F.lit(SCHEMA_VERSION), "role": F.lit("Memory"), "importance": F.lit(0.5)}
     out = []
-    for f in RECORD.fields:
+    for f in record_schema().fields:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in defaults:
             value = defaults[f.name] if f.name == "schema_version" else F.coalesce(value, defaults[f.name])
