@@ -34,7 +34,7 @@ def normalise(inputs: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c)))
     by_ref = F.transform("refs", lambda r: relation(F.lit("References"), F.concat(F.lit("#"), r.cast("string"))))
     return rows.withColumns({
-        "importance": F.coalesce(clamp("importance"), F.lit(0.5)), "confidence": F.when(F.col("confidence").isNotNull(), clamp("confidence")),
+        "importance": F.when(F.col("importance").isNotNull(), clamp("importance")).otherwise(0.5), "confidence": F.when(F.col("confidence").isNotNull(), clamp("confidence")),
         "tags": clean_labels(F.col("tags")), "concepts": clean_labels(F.col("concepts")), "relations": F.array_distinct(F.concat("relations", by_ref)),
         "bad_refs": F.exists("refs", lambda r: (r < 0) | (r >= F.col("index"))),
     })

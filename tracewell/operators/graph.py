@@ -44,6 +44,7 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_v
     key = ["query_id", "chain_key", "seed"]
     start = seeds.select("query_id", "chain_key", F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("ord"), F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(False).alias("cut"))
     seen = frontier = cut(start)
+    over = start.where("false").select(*key)
     for depth in range(1, max_depth + 1):
         met = frontier.where("not cut").select(*key, "node", "ord", "path").join(arcs, ["chain_key", "node"])
         first = Window.partitionBy(*key, "next").orderBy("ord", "dir")
@@ -52,12 +53,14 @@ def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_v
         had = seen.groupBy(*key).agg(F.count("*").alias("had"), F.max("cut").alias("stopped"))
         order = Window.partitionBy(*key).orderBy("ord", "dir", "node")
         new = new.withColumn("place", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy(*key))).join(had, key).where("not stopped")
+        new = cut(new)
+        over = over.unionByName(new.where(F.col("had") + F.col("many") > max_visited).select(*key))
         new = new.where(F.col("had") + F.col("place") <= max_visited).select(*key, "node", F.lit(depth).alias("depth"), F.col("place").cast("bigint").alias("ord"), F.array_append("path", F.col("node")).alias("path"), "kinds", (F.col("had") + F.col("many") > max_visited).alias("cut"))
         frontier = cut(new)
         if not frontier.take(1):
             break
         seen = cut(seen.unionByName(frontier))
-    marked = seen.withColumn("truncated", F.max("cut").over(Window.partitionBy(*key)))
+    marked = seen.join(over.distinct().withColumn("truncated", F.lit(True)), key, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
     return marked.where(F.lit(include_seeds) | (F.col("depth") > 0)).select(*key, "node", "depth", "path", "kinds", "truncated")
 
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans.schema import TYPES
 
@@ -15,7 +17,7 @@ ANSWER = "struct<thoughts:array<struct<thought_type:string,content:string,import
 def validate(answers: DataFrame, column: str = "answer") -> DataFrame:
     """One row for each usable thought of each answer; answers that are no JSON, unknown types and blank contents give none."""
     rows = answers.withColumn("t", F.explode(F.from_json(F.col(column), ANSWER, {"mode": "PERMISSIVE"})["thoughts"])).drop(column)
-    clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    clamp = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
     rows = rows.where(F.col("t.thought_type").isin(TYPES) & (F.trim("t.content") != ""))
     empty = F.array().cast("array<string>")
     others = [c for c in rows.columns if c != "t"]
@@ -24,9 +26,6 @@ def validate(answers: DataFrame, column: str = "answer") -> DataFrame:
 
 def extract(texts: DataFrame, model: Callable[[str], str]) -> DataFrame:
     """validate() of what model answers to each text."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     @F.pandas_udf(StringType())
     def ask(s: pd.Series) -> pd.Series:
         return s.map(model)
