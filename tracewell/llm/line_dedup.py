@@ -1,6 +1,6 @@
 """Line dedup: a suffix array over line ids by distributed prefix doubling; later copies of repeated runs go.
 
-All lines get one global position, in the order of doc_id. Lines that occur once can be in no repeat, so the suffix array
+All lines get one global position, in the order of doc_id; copies of whole texts are settled by their hashes. Lines that occur once can be in no repeat, so the suffix array
 holds the others; a suffix ends where its stretch of them, or its document, ends. Each doubling joins every suffix with
 the rank of the one 2^k lines on, counts equal pairs, and ranks them by a global running sum over a range-sorted table.
 Neighbours in the finished array are compared with the ranks of all rounds, which gives the longest common prefixes.
@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from .common import ship, steady, stored
 
 MIN_WORDS = 5
+#: Bits of a position that number the lines of a document; the others number documents.
+LINE_BITS = 28
 
 
 def _lines(text: str | None) -> list[str]:
@@ -32,10 +34,18 @@ def running_sum(df: DataFrame, order: list[str], value: str, name: str) -> DataF
     return parts.withColumn("local", F.coalesce(F.sum(value).over(within), F.lit(0))).join(F.broadcast(offsets), "part").withColumn("before", F.col("local") + F.col("offset")).drop("local", "offset")
 
 
-def _line_table(docs: DataFrame) -> DataFrame:
-    """(row_key, pos, h): every line's hash at its global position."""
-    sizes = docs.select("row_key", "doc_id", F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n"))
-    starts = running_sum(sizes, ["doc_id", "row_key"], "n", "line-docs").select("row_key", F.col("before").alias("start"))
+def _later_copies(docs: DataFrame) -> DataFrame:
+    """row_key of rows whose whole text an earlier row has, by two 64-bit hashes: all they hold occurred before."""
+    marks = docs.where(F.length("text") > 0).select("doc_id", "row_key", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
+    marks = stored(marks, "line-texts")
+    first = marks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return stored(marks.join(first, ["a", "b"]).where(F.col("row_key") != F.col("first.row_key")).select("row_key"), "line-copies")
+
+
+def _line_table(docs: DataFrame, copies: DataFrame) -> DataFrame:
+    """(row_key, pos, j, h): every line's hash, with a position that grows with document and line; later copies of whole texts are left out."""
+    order = running_sum(docs.select("doc_id", "row_key", F.lit(1).alias("one")), ["doc_id", "row_key"], "one", "line-docs").select("row_key", F.col("before").alias("document"))
+    order = order.join(copies, "row_key", "left_anti")
 
     def run(batches):
         import pyarrow as pa
@@ -46,14 +56,17 @@ def _line_table(docs: DataFrame) -> DataFrame:
                 part = batch.slice(at, 1024)
                 keys, numbers, hashes = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    for j, line in enumerate(_lines(text)):
+                    lines = _lines(text)
+                    if len(lines) >> LINE_BITS:
+                        raise ValueError("a document has too many lines")
+                    for j, line in enumerate(lines):
                         keys.append(key)
                         numbers.append(j)
                         hashes.append(xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(numbers, pa.int64()), pa.array(hashes, pa.int64())], names=["row_key", "j", "h"])
 
     lines = docs.select("row_key", "text").mapInArrow(run, "row_key long, j long, h long")
-    return lines.join(starts, "row_key").select("row_key", (F.col("start") + F.col("j")).alias("pos"), F.col("j"), "h")
+    return lines.join(order, "row_key").select("row_key", (F.shiftleft("document", LINE_BITS) + F.col("j")).alias("pos"), F.col("j"), "h")
 
 
 def suffix_array(lines: DataFrame) -> DataFrame:
@@ -202,9 +215,11 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ship(spark)
     docs = steady(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "line-input")
     base = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row_key"))
-    lines = stored(_line_table(base), "lines")
+    copies = _later_copies(base)
+    lines = stored(_line_table(base, copies), "lines")
     found = repeats(_neighbours(suffix_array(lines)))
     at = found.join(lines.select("pos", "row_key", "j"), "pos").groupBy("row_key").agg(F.collect_list(F.struct("j", "size")).alias("runs"))  # as many as a document has lines
+    at = at.unionByName(copies.select("row_key", F.array(F.struct(F.lit(0).cast("long").alias("j"), F.lit(-1).cast("long").alias("size"))).alias("runs")))  # all lines
 
     def run(batches):
         import numpy as np
@@ -218,7 +233,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 upto = np.concatenate([[0], np.cumsum(words)])
                 cover = np.zeros(len(lines) + 1, np.int64)
                 for r in runs or []:
-                    a, b = r["j"], r["j"] + r["size"]
+                    a, b = r["j"], r["j"] + r["size"] if r["size"] >= 0 else len(lines)
                     if upto[b] - upto[a] >= min_words:
                         cover[a] += 1
                         cover[b] -= 1
