@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.stem import stem
 from tracewell.functions.text import query_terms, slug, tokens
 from tracewell.functions.vectors import cosine, embed_text
-from tracewell.operators import commit, federation, filters, graph, lexical, ranking, registry, skills, temporal, traverse, vector
+from tracewell.operators import commit, federation, filters, graph, lexical, lifecycle, ranking, registry, skills, temporal, traverse, vector
 from tracewell.plans.schema import RELATION, upgrade
 
 REC = f"chain_key string, index bigint, id string, agent_id string, thought_type string, role string, content string, importance double, confidence double, tags array<string>, concepts array<string>, refs array<bigint>, relations array<{RELATION}>"
@@ -247,3 +247,16 @@ def test_delta_round_trip(a, b):
 def test_upgrade_fills_defaults(spark):
     row = upgrade(spark.createDataFrame([("c", 0, "x", None)], "chain_key string, index bigint, content string, tags array<string>")).first()
     assert (row.role, row.importance, row.tags, row.relations, row.schema_version) == ("Memory", 0.5, [], [], 3)
+
+
+def test_lifecycle(spark):
+    r = records(spark, [{}, {"chain_key": "d", "agent_id": "b"}])
+    chains = spark.createDataFrame([("c", "a"), ("new", "a")], "chain_key string, agent_id string")
+    assert [(x.chain_key, x.thought_type, x.role) for x in lifecycle.bootstrap(chains, r, "hello").collect()] == [("new", "Summary", "Checkpoint")]
+    assert [x.importance for x in lifecycle.retrospective(spark.createDataFrame([(None,), (0.2,)], "importance double")).collect()] == [0.7, 0.2]
+    with pytest.raises(ValueError):
+        lifecycle.copy_agent(r, "a", "d", "c")
+    assert lifecycle.deregister(r, "c").count() == 1
+    b = spark.createDataFrame([(1, "c", "x", 2.0), (1, "c", "y", 3.0), (1, "c", "z", 1.0)], "query_id int, chain_key string, seed string, lexical double")
+    assert [(x.seed, x.total) for x in lifecycle.page_bundles(b, 1, 1).collect()] == [("x", 3)]
+    assert spark.range(1).select(lifecycle.kind_label(F.lit("ContinuesFrom"))).first()[0] == "continues_from"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import slug
 from ..functions.vectors import hashed_embedding
-from ..operators import commit, federation, filters, graph, lexical, ranking, registry, skills, temporal, traverse, vector
+from ..operators import commit, federation, filters, graph, lexical, lifecycle, ranking, registry, skills, temporal, traverse, vector
 from ..sources import extraction, markdown
 from . import schema as S
 
@@ -216,6 +216,32 @@ def context_closure(spark, d):
     return traverse.closure(conv, conv.where("index = 5"))
 
 
+@query(f"""WITH RECURSIVE {EDGES_SQL}, c(chain_key, target, id) AS (SELECT chain_key, id, id FROM conv WHERE turn = 5 UNION SELECT c.chain_key, c.target, e.dst FROM c JOIN edges e ON e.chain_key = c.chain_key AND e.src = c.id JOIN conv v ON v.id = e.dst)
+SELECT c.chain_key, c.target, string_agg('[#' || idx || '] ' || thought_type || ': ' || content, chr(10) ORDER BY idx) AS prompt FROM c JOIN conv v ON v.id = c.id GROUP BY ALL""")
+def bootstrap_prompt(spark, d):
+    conv = S.conversation_records(spark, d)
+    return lifecycle.bootstrap_prompt(traverse.closure(conv, conv.where("index = 5")), conv)
+
+
+@query(f"WITH {S.DOC} SELECT idx AS \"index\", len(list_filter({TOK.format('content')}, lambda t: t = 'resh')) AS tf FROM doc WHERE len(list_filter({TOK.format('content')}, lambda t: t = 'resh')) > 0")
+def term_postings(spark, d):
+    return lifecycle.term_postings(S.document_records(spark, d), "Resh!").select("index", "tf")
+
+
+@query(f"WITH {S.CONV}, t AS (SELECT max(idx) AS top FROM conv WHERE chain_key = '8') SELECT '8' AS chain_key, top + row_number() OVER (ORDER BY idx) AS \"index\", 'copied' AS agent_id, content FROM conv, t WHERE chain_key = '7' AND agent_id = 'user'")
+def copy_agent(spark, d):
+    conv = S.conversation_records(spark, d).where("chain_key in ('7', '8')").select("chain_key", "index", F.when((F.col("chain_key") == "7") & (F.col("agent_id") == "user"), "copied").otherwise(F.col("agent_id")).alias("agent_id"), "content")
+    return lifecycle.copy_agent(conv, "copied", "7", "8")
+
+
+@query(f"WITH {S.CONV}, t AS (SELECT chain_key, count(*) AS n FROM conv GROUP BY chain_key) SELECT chain_key, chain_key::INT % 3 = 0 AS fresh FROM t")
+def index_freshness(spark, d):
+    conv = S.conversation_records(spark, d)
+    third = F.col("chain_key").cast("int") % 3
+    meta = conv.groupBy("chain_key").agg(F.count("*").alias("n"), F.max_by("id", "index").alias("head_id")).where(third < 2).select("chain_key", F.lit(lifecycle.NORMALIZER).alias("normalizer"), F.when(third == 1, F.col("n") - 1).otherwise(F.col("n")).alias("n"), "head_id")
+    return lifecycle.index_freshness(meta, conv)
+
+
 # Graph
 
 
