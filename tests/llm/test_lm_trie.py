@@ -25,7 +25,7 @@ def brute(docs, mu):
     for d, t in docs:
         toks = tokens(t)
         base = [(uni[w] + 1) / (n + v + 1) for w in toks]
-        p = [(bi[(a, w)] + mu * b) / (ctx[a] + mu) for a, w, b in zip(["<s>", *toks[:-1]], toks, base, strict=True)]
+        p = [((1 - lm_trie.SHARE) * bi[(a, w)] + (mu + lm_trie.SHARE * ctx[a]) * b) / (ctx[a] + mu) for a, w, b in zip(["<s>", *toks[:-1]], toks, base, strict=True)]
         out[d].append((d is not None and zlib.crc32(str(d).encode()) % 7 == 2, len(toks), sum(uni[w] > 0 for w in toks), n, sum(map(math.log10, base)), sum(map(math.log10, p))))
     return out
 

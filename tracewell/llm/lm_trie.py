@@ -1,9 +1,10 @@
 """Language-model scoring with a bigram trie in Elias-Fano levels, spread over shards by context.
 
-p(w | v) = (c(v w) + MU * p1(w)) / (c(v) + MU), p1 add-one smoothed: bigram counts with a Dirichlet prior. Texts are cut
+p(w | v) = ((1 - SHARE) * c(v w) + (MU + SHARE * c(v)) * p1(w)) / (c(v) + MU), p1 add-one smoothed: bigram counts mixed with
+a Dirichlet prior; for each v it sums to 1 over w. Texts are cut
 into blocks of BLOCK_TOKENS, which tasks write as files of word ids. Each block asks the shard of a context for its
 distinct bigrams, once each, along with their training counts; the shard adds the counts of all blocks up, builds its
-trie (contexts, monotone pointers, context-relative successors, 8-bit quantised log c(v w) / (c(v) + MU)), maps it into
+trie (contexts, monotone pointers, context-relative successors, the first part of p as an 8-bit quantised logarithm), maps it into
 memory and answers every block by successor search. What moves are distinct bigrams of blocks, so a frequent bigram is
 one row of each block, and contexts that hold much of the text are split over SALTS shards. Words are 64-bit hashes;
 inside a context, successors are told apart by 32 bits of theirs.
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from .ann import _load, _save
 from .common import file_system, new_folder, ship, space_words, stored
 
-MU = 32.0
+MU, SHARE = 8.0, 0.5
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_500_000
 #: A context with more than this share of a block's tokens anywhere is split; so there are HEAVY_SHARE^-1 of them a block at most.
 HEAVY_SHARE, SALTS = 1 / 256, 16
@@ -182,7 +183,7 @@ def _serve(requests: DataFrame, folder: str, mu: float) -> DataFrame:
         distinct, which = np.unique(pairs, return_inverse=True)
         counts = np.bincount(which, counts, len(distinct))
         starts = np.searchsorted(distinct >> 32, np.arange(len(contexts) + 1))
-        log_p = np.log10(counts / (totals[distinct >> 32] + mu)) if len(distinct) else np.zeros(0)
+        log_p = np.log10((1 - SHARE) * counts / (totals[distinct >> 32] + mu)) if len(distinct) else np.zeros(0)
         name = f"trie-{shard}-{salt}"
         del pairs, which
         _write_trie(folder, name, Trie.build(contexts, starts, distinct & 0xFFFFFFFF, log_p))
@@ -277,7 +278,7 @@ def _scores(answers: DataFrame, folder: str, heavy, n_shards: int, total: int, t
             log_alpha[order[a:b]] = values[codes]
         of_word = np.where(block["vocabulary"] == BEGIN, 0, counts)
         base = np.log10((of_word + 1) / (total + 1 * (types + 1)))
-        p = 10.0**log_alpha + mu / (counts[v] + mu) * 10.0 ** base[w]
+        p = 10.0**log_alpha + (mu + SHARE * counts[v]) / (counts[v] + mu) * 10.0 ** base[w]
         tokens, starts = block["tokens"], np.concatenate([[0], np.cumsum(block["sizes"])[:-1]])
         sums = [np.add.reduceat(x, starts) for x in (base[tokens], np.log10(p)[which], (of_word[tokens] > 0).astype(np.int64))]
         return pa.table({"doc_id": pa.array(block["ids"], pa.int64(), mask=~block["there"]), "held_out": pa.array(~block["train"]), "n_tokens": pa.array(block["sizes"], pa.int64()), "n_known": sums[2], "train_tokens": pa.array([total] * len(starts), pa.int64()), "base_score": sums[0], "score": sums[1]})
