@@ -49,7 +49,8 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.sparkContext.setCheckpointDir(found)
-    return found if "://" in found or found.startswith(("file:", "hdfs:", "s3")) else f"file://{found}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
