@@ -133,11 +133,9 @@ def _requests(blocks: DataFrame, folder: str, heavy, n_shards: int) -> DataFrame
                     shards, has = entry_shards[s]
                     entries = np.flatnonzero(has)
                     by_shard = entries[np.argsort(shards[entries], kind="stable")]
-                    cuts = np.searchsorted(shards[by_shard], np.arange(n_shards + 1))
-                    for shard in range(n_shards):
-                        mine = by_shard[cuts[shard] : cuts[shard + 1]]
-                        if not len(mine):
-                            continue
+                    present, begin = np.unique(shards[by_shard], return_index=True)
+                    for shard, i, j in zip(present.tolist(), begin, [*begin[1:], len(by_shard)], strict=True):
+                        mine = by_shard[i:j]
                         a, b = np.searchsorted(keys, [shard * SALTS + s, shard * SALTS + s + 1])
                         rows = order[a:b]
                         many = np.bincount(np.searchsorted(mine, v[rows]), minlength=len(mine))
@@ -265,11 +263,11 @@ def _scores(answers: DataFrame, folder: str, heavy, n_shards: int, total: int, t
         for shards, has in entry_shards:
             entries = np.flatnonzero(has)
             by_shard = entries[np.argsort(shards[entries], kind="stable")]
-            by_salt.append((by_shard, np.searchsorted(shards[by_shard], np.arange(n_shards + 1))))
+            by_salt.append((by_shard, shards[by_shard]))
         zstd = zstandard.ZstdDecompressor()
         for shard, s, book, answer in zip(*(table[c].to_pylist() for c in ("shard", "salt", "book", "answer")), strict=True):
-            by_shard, cuts = by_salt[s]
-            mine = by_shard[cuts[shard] : cuts[shard + 1]]
+            by_shard, in_order = by_salt[s]
+            mine = by_shard[slice(*np.searchsorted(in_order, [shard, shard + 1]))]
             raw = zstd.decompress(answer)
             counts[mine] = np.frombuffer(raw, np.uint32, len(mine))
             a, b = np.searchsorted(keys, [shard * SALTS + s, shard * SALTS + s + 1])
