@@ -6,11 +6,11 @@ about the square root. A pair at similarity J meets in some table with probabili
 0.85 with the defaults, and documents of a group usually have many pairs that can link them.
 
 Documents with equal shingle sets form a class first and only the smallest of each is looked at further. In each bucket
-every member is compared with the smallest one (a star). The components of the links found are then used to find what a
-star can miss: in each bucket, members outside the component of the smallest member are compared with all members of
-other components. Before that, shingles that only one of these documents has are counted: what is left of either set
-bounds the intersection, and pairs that cannot reach the threshold are never made; a pair is made in the first table only
-in which it meets. Large groups thus cost one comparison
+every member is compared with the smallest one (a star). Where that leaves a bucket in several components, shingles that
+only one of these documents has are counted: what is left of either set bounds the intersection, and pairs that cannot
+reach the threshold are never made. A second star is drawn around the member with the least of its own, and at last
+members outside its component are compared with all members of other components, in the first table only in which
+they meet. Large groups thus cost one comparison
 for each member and table, while no candidate pair that could still join two components goes unverified. Links are
 confirmed on full shingle sets.
 """
@@ -109,7 +109,7 @@ def _sketches(docs: DataFrame, side: int, half: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of documents whose full shingle sets satisfy 100 * intersection >= percent * union."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "dup-ids")
+    ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dup-ids")
     ids_side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids_side, "id", "left_semi")
     texts = texts.groupBy("id").agg(F.min("text").alias("text"))
@@ -159,6 +159,12 @@ def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
     return alone
 
 
+def _met_before(side: int) -> Column:
+    """Whether hx and hy share a half-key before those of this table: then they meet in an earlier table, too."""
+    i, j = F.floor(F.col("table") / side).cast("int"), (F.col("table") % side).cast("int")
+    return F.arrays_overlap(F.slice("hx", F.lit(1), i), F.slice("hy", F.lit(1), i)) | F.arrays_overlap(F.slice("hx", F.lit(side + 1), j), F.slice("hy", F.lit(side + 1), j))
+
+
 def components(edges: DataFrame, name: str = "dup") -> DataFrame:
     """(id, component) of every node of edges (a, b); component is the smallest id reachable. Alternating stars.
 
@@ -213,15 +219,27 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     inside = inside.join(inside.where("c <> center_c").select("key").distinct(), "key", "left_semi")
     alone = _lone_shingles(stored(inside.select("rep").distinct(), "dup-open"), docs)
     inside = inside.join(alone, "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent), "dup-able")
-    inside = inside.join(classes.select("rep", "halves"), "rep")
-    outside = inside.where("c <> center_c").select("key", "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
-    rest = outside.join(inside.where("rep <> center").select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "center_c", F.col("halves").alias("hy")), "key")
-    most = F.least("n_shared", "m_shared")  # no pair has more in common
-    i, j = F.floor(F.col("table") / side).cast("int"), (F.col("table") % side).cast("int")
-    earlier = F.arrays_overlap(F.slice("hx", F.lit(1), i), F.slice("hy", F.lit(1), i)) | F.arrays_overlap(F.slice("hx", F.lit(side + 1), j), F.slice("hy", F.lit(side + 1), j))
-    rest = rest.where("cx <> cy and (cy = center_c or x < y)").where(~earlier).where(most * 100 >= (F.col("n") + F.col("m") - most) * percent)
-    more = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dup-rest")
+    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).drop("center_c"), "dup-able")
+
+    def reachable(n: Column, n_shared: Column, m: Column, m_shared: Column) -> Column:
+        most = F.least(n_shared, m_shared)  # no pair has more in common
+        return most * 100 >= (n + m - most) * percent
+
+    # A second star around the member with the least of its own: of a group of edited copies, the one nearest to their origin.
+    hubs = stored(inside.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), (-F.col("rep")).alias("o"), F.col("rep").alias("hub"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("hub_c"))).alias("hub")).select("key", "hub.hub", "hub.m", "hub.m_shared", "hub.hub_c"), "dup-hubs")
+    near = inside.join(hubs, "key").where("rep <> hub and c <> hub_c").where(reachable(F.col("n_shingles"), F.col("shared"), F.col("m"), F.col("m_shared")))
+    near = stored(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "dup-near")
+    if near.take(1):
+        links = stored(links.unionByName(_verified(near, docs, percent)), "dup-links")
+        first = stored(components(links), "dup-second")
+    label = first.select(F.col("id").alias("rep"), "component")
+    inside = inside.drop("c").join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component").join(classes.select("rep", "halves"), "rep")
+    hubs = hubs.select("key", "hub").join(label.withColumnRenamed("rep", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("hub_c"))
+    inside = inside.join(hubs, "key").where("rep <> center and rep <> hub")  # both have been compared with all of the bucket
+    outside = inside.where("c <> hub_c").select("key", "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
+    rest = outside.join(inside.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "hub_c", F.col("halves").alias("hy")), "key")
+    rest = rest.where("cx <> cy and (cy = hub_c or x < y)").where(reachable(F.col("n"), F.col("n_shared"), F.col("m"), F.col("m_shared")))
+    more = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "table", "hx", "hy").where(~_met_before(side)).select("a", "b").distinct(), "dup-rest")
     if more.take(1):
         links = stored(links.unionByName(_verified(more, docs, percent)), "dup-links")
         first = stored(components(links), "dup-all")
