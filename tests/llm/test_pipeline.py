@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tracewell.llm.mixing import mix
 
@@ -40,6 +42,22 @@ def test_stages_against_what_they_say(spark, tmp_path):
 
 
 def test_repeated_ids_and_null_ids(spark):
-    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (1, "x y z"), (None, "a b c"), (2, None)], "doc_id long, text string")
+    rows = [(1, "a b c", 0), (1, "a b c", 0), (1, "x y z", 0), (None, "a b c", 0), (2, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({c: F.lit(5) for c in ("h", "row", "copies", "component_id", "kept")})
     got = corpus_pipeline.near_duplicates(spark, docs, "")
-    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"]
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"] and got.columns == docs.columns
+
+
+def test_empty_documents_and_clashing_names(spark, tmp_path):
+    d = str(tmp_path)
+    schema = "doc_id long, text string, lang string, source string, quality_score double, copies int, score int"
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    for rows in ([], [(None, None, None, None, None, None, None), (1, "w " * 5000, "en", None, 0.0, 1, 1), (2, "", None, "s", None, 2, 2)]):
+        docs = spark.createDataFrame(rows, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, d)
+            out.write.parquet(f"{d}/{len(rows)}-{k}")
+            docs = spark.read.parquet(f"{d}/{len(rows)}-{k}")
+            assert k == len(corpus_pipeline.STAGES) - 1 or docs.columns == schema.replace(" long", "").replace(" string", "").replace(" double", "").replace(" int", "").split(", ")
+        assert docs.count() == (1 if rows else 0)  # texts without words are never taken
