@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, ship, steady
 
 WINDOW = 10
-SHARD_WORDS = 2_000_000
+SHARD_WORDS = 500_000
 BLOCK_CHARS = 32_000_000
 
 

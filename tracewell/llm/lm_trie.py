@@ -26,7 +26,7 @@ BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_500_000
 HEAVY_SHARE, SALTS = 1 / 256, 16
 END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set
 ABSENT = 255
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 _HASHES: dict[bytes, int] = {}
 
 

@@ -28,7 +28,7 @@ SEED = 20240607
 #: Candidate ids up to this number are broadcast to find their texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
 MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 
 _WORD_HASH: dict[bytes, int] = {}
 

@@ -23,7 +23,7 @@ RANK = 8
 TRAIN_ROWS = 8000
 EPOCHS = 6
 LEVELS = (0.5, 1.5, 2.5, 3.5, 4.5, 5.5, 6.5, 7.5, 8.5, 10.0, 12.0)
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
 _BUCKETS: dict[str, int] = {}
 _CLASSES = [re.compile(p) for p in (r"[A-Z]", r"[0-9]", r"[!?]", r"[#$%&*|@^~<>{}\[\]\\=+_]", r"[.,;:]", r"\n", r"[^\x00-\x7f]", r"https?://|www\.")]
 N_STATS = len(_CLASSES) + 10
