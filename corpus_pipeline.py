@@ -6,13 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontam, mixing, near_dup, quality_fm, token_files
-from tracewell.llm.common import stored, table
+from tracewell.llm.common import steady, stored, table
+
+#: Numbers of rows that the mix takes are broadcast up to this many; more are shuffled to the texts.
+BROADCAST_ROWS = 1_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, learned from the labels of the documents given, scores at 0.5 or more."""
-    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), "quality_score")
-    return scored.where("quality_score >= 0.5").select(*docs.columns)
+    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), "__quality")
+    return scored.where("__quality >= 0.5").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +26,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = near_dup.near_duplicates(docs, percent=80)
     keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
     one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    repeated = one.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    repeated = one.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
     if repeated.take(1):
-        first = one.join(repeated, "doc_id", "left_semi").withColumn("h", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "h").alias("row"))
-        one = one.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "row.*"))
+        first = one.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "__hash").alias("__row"))
+        one = one.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "__row.*").select(*docs.columns))
     return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
@@ -37,9 +40,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    place = docs.withColumn("mix_row", F.monotonically_increasing_id())  # docs are files: a row keeps its number
-    taken = mixing.mix(docs, row=F.monotonically_increasing_id()).where("copies > 0").select(F.col("row_key").alias("mix_row"), "copies")
-    out = place.join(taken, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    docs = steady(docs, "mix-input")
+    place = docs.withColumn("__row", F.monotonically_increasing_id())
+    taken = mixing.mix(docs, row=F.monotonically_increasing_id()).where("copies > 0").select(F.col("row_key").alias("__row"), F.col("copies").alias("__copies"))
+    few = taken.count() <= BROADCAST_ROWS
+    out = place.join(F.broadcast(taken) if few else taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
     return out.select(*docs.columns)
 
 
