@@ -430,7 +430,17 @@ def verify_chain(spark, d):
 
 @query(f"WITH {S.EVT} SELECT idx AS \"index\", ' ' || upper(entity_type) || ' ' AS raw, trim(upper(entity_type)) || '|scope' AS tags, least(1.0, importance * 2)::DOUBLE AS importance FROM evt WHERE idx < 500")
 def commit_normalise(spark, d):
-    evt = S.event_records(spark, d).where("index < 500").withColumns({"seq": F.col("index"), "raw": F.concat(F.lit(" "), F.upper("entity_type"), F.lit(" ")), "importance": F.col("importance") * 2, "refs": F.array().cast("array<bigint>"), "relations": F.array().cast(f"array<{S.RELATION}>")})
+    return _normalised(S.event_records(spark, d).where("index < 500"))
+
+
+@query(f"WITH {S.EVT} SELECT idx AS \"index\", ' ' || upper(entity_type) || ' ' AS raw, trim(upper(entity_type)) || '|scope' AS tags, least(1.0, importance * 2)::DOUBLE AS importance FROM evt")
+def commit_normalise_all(spark, d):
+    """commit_normalise over the whole table."""
+    return _normalised(S.event_records(spark, d))
+
+
+def _normalised(evt: DataFrame) -> DataFrame:
+    evt = evt.withColumns({"seq": F.col("index"), "raw": F.concat(F.lit(" "), F.upper("entity_type"), F.lit(" ")), "importance": F.col("importance") * 2, "refs": F.array().cast("array<bigint>"), "relations": F.array().cast(f"array<{S.RELATION}>")})
     evt = evt.withColumn("tags", F.array("raw", F.col("entity_type"), F.lit(" "), F.lit("scope"), F.lit("SCOPE")))
     return commit.normalise(evt.drop("index")).select("index", "raw", F.array_join("tags", "|").alias("tags"), F.round("importance", 6).alias("importance"))
 
