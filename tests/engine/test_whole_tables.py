@@ -15,3 +15,8 @@ def test_every_event_is_normalised(spark, tmp_path):
     got = QUERIES["commit_normalise_all"](spark, events(spark, tmp_path, 700)).collect()
     assert {(r["index"], r.raw, r.tags, r.importance) for r in got} == {(k, (" VIEW ", " ERROR ")[k % 2], ("VIEW|scope", "ERROR|scope")[k % 2], min(1.0, k % 10 / 5)) for k in range(700)}
     assert len(got) == 700
+
+
+def test_every_answer_is_validated(spark, tmp_path):
+    got = QUERIES["extraction_validate_all"](spark, events(spark, tmp_path, 3100)).collect()
+    assert sorted((r.event_id, r.thought_type, r.content, r.importance) for r in got) == [(k, "Finding", ("view", "error")[k % 2], 1.0) for k in range(0, 3100, 3)]

@@ -568,8 +568,18 @@ def markdown_export(spark, d):
 
 @query("SELECT event_id, 'Finding' AS thought_type, trim(event_type) AS content, 1.0::DOUBLE AS importance FROM events WHERE event_id % 3 = 0 AND event_id < 3000")
 def extraction_validate(spark, d):
+    return _validated(spark.read.parquet(f"{d}/events.parquet").where("event_id < 3000"))
+
+
+@query("SELECT event_id, 'Finding' AS thought_type, trim(event_type) AS content, 1.0::DOUBLE AS importance FROM events WHERE event_id % 3 = 0")
+def extraction_validate_all(spark, d):
+    """extraction_validate over the whole table."""
+    return _validated(spark.read.parquet(f"{d}/events.parquet"))
+
+
+def _validated(events: DataFrame) -> DataFrame:
     one = F.to_json(F.struct(F.array(F.struct(F.when(F.col("event_id") % 3 == 0, "Finding").otherwise("Nonsense").alias("thought_type"), F.concat(F.lit(" "), "event_type").alias("content"), F.lit(7.5).alias("importance")), F.struct(F.lit("Idea").alias("thought_type"), F.lit("  ").alias("content"), F.lit(0.1).alias("importance"))).alias("thoughts")))
-    answers = spark.read.parquet(f"{d}/events.parquet").where("event_id < 3000").select("event_id", F.when(F.col("event_id") % 3 == 1, "no json").otherwise(one).alias("answer"))
+    answers = events.select("event_id", F.when(F.col("event_id") % 3 == 1, "no json").otherwise(one).alias("answer"))
     return extraction.validate(answers).select("event_id", "thought_type", "content", "importance")
 
 
