@@ -20,3 +20,13 @@ def test_every_event_is_normalised(spark, tmp_path):
 def test_every_answer_is_validated(spark, tmp_path):
     got = QUERIES["extraction_validate_all"](spark, events(spark, tmp_path, 3100)).collect()
     assert sorted((r.event_id, r.thought_type, r.content, r.importance) for r in got) == [(k, "Finding", ("view", "error")[k % 2], 1.0) for k in range(0, 3100, 3)]
+
+
+def test_whole_texts_are_searched_and_slugged(spark, tmp_path):
+    texts = ["a" * 300 + " Freiheit", "b" * 58 + "heit", "heit", "nothing", "a" * 300 + " b"]
+    rows = [(k, t, "de", "s") for k, t in enumerate(texts, 1)] + [(k, "heit", "de", "s") for k in range(10, 30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.updated_at for r in QUERIES["skill_search_all"](spark, str(tmp_path)).collect()}
+    assert found == {1, 2, 3, *range(10, 30)} - {18, 27}  # every ninth is revoked
+    slugs = {r.doc_id: r.slug for r in QUERIES["skill_slug_all"](spark, str(tmp_path)).collect()}
+    assert slugs[1] == "a" * 300 + "-freiheit" and slugs[5] == "a" * 300 + "-b"

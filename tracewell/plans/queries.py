@@ -523,9 +523,11 @@ def merge_chain(spark, d):
 # Versioned documents
 
 
-def _skills(spark, d):
+def _skills(spark, d, whole: bool = False):
+    """Documents as skills; whole: the section holds the whole text, else characters 61 to 260."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(F.concat(F.lit("skill-"), F.col("doc_id").cast("string")).alias("skill_id"), F.concat(F.lit("Skill "), "source").alias("name"), F.substring("text", 1, 60).alias("description"), F.array("lang").alias("tags"), F.array(F.upper("lang")).alias("triggers"), F.array(F.struct(F.lit(1).alias("level"), F.col("source").alias("heading"), F.substring("text", 61, 200).alias("body"))).alias("sections"), F.col("doc_id").alias("updated_at"), F.when(F.col("doc_id") % 9 == 0, "Revoked").otherwise("Active").alias("status"))
+    body = F.col("text") if whole else F.substring("text", 61, 200)
+    return docs.select(F.concat(F.lit("skill-"), F.col("doc_id").cast("string")).alias("skill_id"), F.concat(F.lit("Skill "), "source").alias("name"), F.substring("text", 1, 60).alias("description"), F.array("lang").alias("tags"), F.array(F.upper("lang")).alias("triggers"), F.array(F.struct(F.lit(1).alias("level"), F.col("source").alias("heading"), body.alias("body"))).alias("sections"), F.col("doc_id").alias("updated_at"), F.when(F.col("doc_id") % 9 == 0, "Revoked").otherwise("Active").alias("status"))
 
 
 @query("SELECT 'skill-' || doc_id AS skill_id, doc_id AS updated_at FROM documents WHERE lang = 'de' AND doc_id % 9 <> 0 AND (contains(lower('Skill ' || source), 'heit') OR contains(lower(substr(text, 1, 60)), 'heit') OR contains(lower(source), 'heit') OR contains(lower(substr(text, 61, 200)), 'heit')) ORDER BY doc_id DESC LIMIT 15")
@@ -533,11 +535,23 @@ def skill_search(spark, d):
     return skills.search(_skills(spark, d), tags=["DE"], statuses=["active"], text="HEIT", limit=15).select("skill_id", "updated_at")
 
 
+@query("SELECT 'skill-' || doc_id AS skill_id, doc_id AS updated_at FROM documents WHERE lang = 'de' AND doc_id % 9 <> 0 AND (contains(lower('Skill ' || source), 'heit') OR contains(lower(text), 'heit'))")
+def skill_search_all(spark, d):
+    """skill_search in whole texts; all matches."""
+    return skills.search(_skills(spark, d, whole=True), tags=["DE"], statuses=["active"], text="HEIT").select("skill_id", "updated_at")
+
+
 @query("SELECT doc_id, CASE WHEN s = '' THEN 'skill' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(substr(text, 1, 40), '[^A-Za-z0-9]+', '-', 'g')), '-+', '-', 'g'), '-') AS s FROM documents)")
 def skill_slug(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", slug(F.substring("text", 1, 40)).alias("slug"))
 
 
+@query("SELECT doc_id, CASE WHEN s = '' THEN 'skill' ELSE s END AS slug FROM (SELECT doc_id, trim(regexp_replace(lower(regexp_replace(text, '[^A-Za-z0-9]+', '-', 'g')), '-+', '-', 'g'), '-') AS s FROM documents)")
+def skill_slug_all(spark, d):
+    """skill_slug of whole texts."""
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", slug(F.col("text")).alias("slug"))
+
+
 @query("SELECT 'skill-' || conv_id AS skill_id, turn AS version, string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn) AS text, true AS intact FROM conversations")
 def skill_reconstruct(spark, d):
     w = Window.partitionBy("conv_id").orderBy("turn")
