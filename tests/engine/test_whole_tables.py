@@ -1,8 +1,13 @@
-"""Registered queries cover their whole tables: small tables beyond the cuts that the SQL of older queries has."""
+"""Queries and operators do the whole job: small inputs beyond the cuts that the SQL of older queries has, and beyond old caps."""
 
 import datetime as dt
+import json
 
+from tests.engine.test_behaviour import records, rel
+from tracewell.operators import federation, traverse
 from tracewell.plans.queries import QUERIES
+from tracewell.plans.schema import RELATION
+from tracewell.streaming import jobs
 
 
 def events(spark, tmp_path, n):
@@ -30,3 +35,33 @@ def test_whole_texts_are_searched_and_slugged(spark, tmp_path):
     assert found == {1, 2, 3, *range(10, 30)} - {18, 27}  # every ninth is revoked
     slugs = {r.doc_id: r.slug for r in QUERIES["skill_slug_all"](spark, str(tmp_path)).collect()}
     assert slugs[1] == "a" * 300 + "-freiheit" and slugs[5] == "a" * 300 + "-b"
+
+
+def test_closure_of_a_long_chain(spark):
+    rows = [{"relations": [rel("ContinuesFrom", f"r{k - 1}")] if k else []} for k in range(67)]
+    r = records(spark, rows).coalesce(1)
+    assert {x.id for x in traverse.closure(r, r.where("index = 66")).collect()} == {f"r{k}" for k in range(67)}
+
+
+def test_ancestors_of_a_long_line(spark):
+    rows = [(f"{k}", 0, [rel("BranchesFrom", "g", f"{k - 1}")] if k else []) for k in range(71)]
+    got = federation.ancestors(spark.createDataFrame(rows, f"chain_key string, index bigint, relations array<{RELATION}>").coalesce(1)).collect()
+    assert sorted((int(r.chain_key), int(r.ancestor), r.distance) for r in got) == [(k, a, k - a) for k in range(71) for a in range(k)]
+
+
+def test_fan_out_reaches_every_hook(spark, tmp_path):
+    log = str(tmp_path / "sent")
+    hooks = [(f"n{k}", f"other{k}", []) for k in range(10_000)] + [("all", None, []), ("chain", "c", []), ("type", None, ["Plan", "Plan"]), ("both", "c", ["Idea", "Plan", None]), ("none", "c", ["Goal"])]
+    hooks = spark.createDataFrame(hooks, "url string, chain_key string, types array<string>").coalesce(1)
+    schema = "chain_key string, index bigint, id string, thought_type string, content string"
+    spark.createDataFrame([("c", 0, "a", "Plan", ""), ("c", 1, "b", "Idea", ""), ("d", 0, "e", "Plan", ""), ("c", 2, "f", None, "")], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+
+    def send(url, body):
+        with open(log, "a") as f:
+            f.write(f"{url}:{json.loads(body)['id']}\n")
+        return True
+
+    q = jobs.fan_out(jobs.log_stream(spark, str(tmp_path / "in"), schema), hooks, send, str(tmp_path / "ck"))
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(open(log).read().split()) == sorted(["all:a", "all:b", "all:e", "all:f", "chain:a", "chain:b", "chain:f", "type:a", "type:e", "both:a", "both:b"])

@@ -27,18 +27,21 @@ def federated_rrf(hits: DataFrame, k: int = 60) -> DataFrame:
     return hits.withColumn("r", F.row_number().over(w)).groupBy("query_id", "id").agg(F.sum(1.0 / (k + F.col("r"))).alias("rrf"))
 
 
-def ancestors(records: DataFrame, rounds: int = 64) -> DataFrame:
-    """chain_key, ancestor, distance: chains reached over BranchesFrom relations of genesis records; a cycle ends where it closes."""
+def ancestors(records: DataFrame) -> DataFrame:
+    """chain_key, ancestor, distance: chains reached over BranchesFrom relations of genesis records; a cycle ends where it closes.
+
+    Distances double: what is up to 2 * step away is up to step away from something that is exactly step from its ancestor.
+    """
     first = records.where(F.col("index") == 0).select("chain_key", F.explode("relations").alias("r"))
-    parents = cut(first.where((F.col("r.kind") == "BranchesFrom") & F.col("r.chain_key").isNotNull()).select("chain_key", F.col("r.chain_key").alias("parent")).distinct())
-    seen = frontier = parents.where("chain_key <> parent").select("chain_key", F.col("parent").alias("ancestor"), F.lit(1).alias("distance"))
-    for d in range(2, rounds + 1):
-        up = frontier.select("chain_key", "ancestor").join(parents.select(F.col("chain_key").alias("ancestor"), "parent"), "ancestor").select("chain_key", F.col("parent").alias("ancestor")).where("chain_key <> ancestor").distinct()
-        frontier = cut(up.join(seen, ["chain_key", "ancestor"], "left_anti").withColumn("distance", F.lit(d)))
-        if not frontier.take(1):
-            break
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    parents = first.where((F.col("r.kind") == "BranchesFrom") & F.col("r.chain_key").isNotNull()).select("chain_key", F.col("r.chain_key").alias("ancestor")).distinct()
+    seen, step = cut(parents.where("chain_key <> ancestor").withColumn("distance", F.lit(1))), 1
+    while True:
+        far = seen.where(F.col("distance") == step).select(F.col("chain_key").alias("ancestor"), F.col("ancestor").alias("far"))
+        up = seen.join(far, "ancestor").where("chain_key <> far").groupBy("chain_key", F.col("far").alias("ancestor")).agg((F.min("distance") + step).alias("distance"))
+        found = cut(up.join(seen, ["chain_key", "ancestor"], "left_anti"))
+        if not found.take(1):
+            return seen
+        seen, step = cut(seen.unionByName(found)), 2 * step
 
 
 def branch(parent_chain: str, parent_id: str, new_chain: str, agent: str, spark) -> DataFrame:

@@ -67,16 +67,18 @@ def edges_within(records: DataFrame) -> DataFrame:
     return by_ref.unionByName(by_id.join(ids.select("chain_key", "dst"), ["chain_key", "dst"], "left_semi")).distinct()
 
 
-def closure(records: DataFrame, targets: DataFrame, rounds: int = 64, keep=None) -> DataFrame:
-    """(chain_key, target, id): everything reachable from the targets (chain_key, id) over refs and relations, themselves included."""
-    edges = edges_within(records)
+def closure(records: DataFrame, targets: DataFrame, keep=None) -> DataFrame:
+    """(chain_key, target, id): everything reachable from the targets (chain_key, id) over refs and relations, themselves included.
+
+    One round for each link of the longest way, until a round finds nothing new.
+    """
     keep = keep or cut
+    edges = keep(edges_within(records))
     seen = targets.select("chain_key", F.col("id").alias("target"), "id")
     frontier = seen
-    for _ in range(rounds):
-        nxt = frontier.join(edges, (edges.chain_key == frontier.chain_key) & (edges.src == frontier.id)).select(frontier.chain_key, "target", F.col("dst").alias("id")).distinct()
+    while True:
+        nxt = frontier.withColumnRenamed("id", "src").join(edges, ["chain_key", "src"]).select("chain_key", "target", F.col("dst").alias("id")).distinct()
         frontier = keep(nxt.join(seen, ["chain_key", "target", "id"], "left_anti"))
         if not frontier.take(1):
-            break
+            return seen
         seen = keep(seen.unionByName(frontier))
-    return seen

@@ -13,6 +13,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions.text import tokens
 
 ATTEMPTS, BACKOFF_S = 3, 1.0
+#: Rows of hooks up to this number are broadcast; more are joined like any table.
+BROADCAST_HOOKS = 10_000
 
 
 def log_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
@@ -75,10 +77,18 @@ def fan_out(stream: DataFrame, hooks: DataFrame, send: Callable[[str, str], bool
                 if k + 1 < attempts:
                     time.sleep(backoff * 2**k)
 
+    # A hook meets a record on equal keys (chain or any, type or any): one row for each of its types, four of a record.
+    of_types = F.when(F.size("types") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.array_distinct(F.array_compact("types")))
+    wanted = hooks.select("url", F.col("chain_key").isNull().alias("any_chain"), F.col("chain_key").alias("hook_chain"), (F.size("types") == 0).alias("any_type"), F.explode(of_types).alias("hook_type"))
+
     def batch(df: DataFrame, _: int) -> None:
-        fits = (F.col("hook_chain").isNull() | (F.col("hook_chain") == F.col("chain_key"))) & ((F.size("hook_types") == 0) | F.array_contains("hook_types", F.col("thought_type")))
-        few = F.broadcast(hooks.select("url", F.col("chain_key").alias("hook_chain"), F.col("types").alias("hook_types")).limit(10_000))  # registrations of a daemon
-        df.join(few, fits).select("url", F.to_json(F.struct("chain_key", "index", "id", "thought_type", "content")).alias("json")).foreachPartition(deliver)
+        no, yes, none = F.lit(False), F.lit(True), F.lit(None).cast("string")
+        chains, types = F.array(F.struct(yes.alias("any"), none.alias("v")), F.struct(no.alias("any"), F.col("chain_key").alias("v"))), F.array(F.struct(yes.alias("any"), none.alias("v")), F.struct(no.alias("any"), F.col("thought_type").alias("v")))
+        json = F.to_json(F.struct("chain_key", "index", "id", "thought_type", "content")).alias("json")
+        rows = df.select(json, F.explode(chains).alias("c"), types.alias("ts")).select("json", "c", F.explode("ts").alias("t"))
+        few = wanted.limit(BROADCAST_HOOKS + 1).count() <= BROADCAST_HOOKS
+        fits = (F.col("c.any") == F.col("any_chain")) & F.col("c.v").eqNullSafe(F.col("hook_chain")) & (F.col("t.any") == F.col("any_type")) & F.col("t.v").eqNullSafe(F.col("hook_type"))
+        rows.join(F.broadcast(wanted) if few else wanted, fits).select("url", "json").foreachPartition(deliver)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
