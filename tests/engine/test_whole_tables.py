@@ -4,7 +4,7 @@ import datetime as dt
 import json
 
 from tests.engine.test_behaviour import records, rel
-from tracewell.operators import federation, traverse
+from tracewell.operators import commit, federation, traverse
 from tracewell.plans.queries import QUERIES
 from tracewell.plans.schema import RELATION
 from tracewell.streaming import jobs
@@ -65,3 +65,22 @@ def test_fan_out_reaches_every_hook(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(open(log).read().split()) == sorted(["all:a", "all:b", "all:e", "all:f", "chain:a", "chain:b", "chain:f", "type:a", "type:e", "both:a", "both:b"])
+
+
+def test_inflected_copies_are_duplicates(spark, tmp_path):
+    texts = ["she went running home", "other words entirely", "she go run home", "", "go goes"]
+    r = records(spark, [{"content": t} for t in texts])
+    want = [(2, 4 / 5, "r0")]  # she, went, go, run, home against she, go, run, home
+    got = [(x["index"], x.similarity, x.supersedes) for x in commit.recent_duplicates(r, 0.6).collect()]
+    assert got == want and commit.recent_duplicates(r, 0.6, words=commit.plain_words()).collect() == []
+    r.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = jobs.log_stream(spark, str(tmp_path / "in"), r.schema)
+    q = jobs.dedup(stream, 0.6).writeStream.outputMode("append").format("memory").queryName("stems_t").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(x["index"], x.similarity, x.supersedes) for x in spark.table("stems_t").collect()] == want
+
+
+def test_stems_in_batch_and_stream_agree(spark):
+    data = "/root/testdata/sf0.001"
+    batch, stream = ({(r.chain_key, r["index"], r.similarity) for r in QUERIES[n](spark, data).collect()} for n in ("near_duplicate_stems", "stream_dedup_stems"))
+    assert batch == stream and batch

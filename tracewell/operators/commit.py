@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import query_terms, tokens, with_stems
 from ..plans.schema import relation
 
 HASHED = ("index", "agent_id", "thought_type", "role", "content", "importance", "confidence", "tags", "concepts")
@@ -81,13 +81,22 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def plain_words() -> Column:
+    return F.array_distinct(tokens(F.col("content")))
+
+
 def recent_duplicates(records: DataFrame, threshold: float, window: int = 64, words: Column | None = None) -> DataFrame:
     """chain_key, index, similarity, supersedes: for each record the most similar of the `window` before it in its chain, from threshold on; the earliest of equals.
 
+    Similarity is Jaccard of the stems of tokens and of their irregular base forms, or of `words` (plain_words: distinct tokens).
     Records meet in buckets of `window` indexes, each joined with its own and the next: an equi-join, not a band join.
     """
-    words = F.array_distinct(tokens(F.col("content"))) if words is None else words
-    rows = records.select("chain_key", "index", "id", words.alias("w")).where(F.size("w") > 0).withColumn("bucket", F.floor(F.col("index") / window))
+    if words is None:
+        terms = records.select("chain_key", "index", "id", F.explode(query_terms(F.col("content"))).alias("term"))
+        rows = with_stems(terms).groupBy("chain_key", "index", "id").agg(F.collect_set("term").alias("w"))
+    else:
+        rows = records.select("chain_key", "index", "id", words.alias("w"))
+    rows = rows.where(F.size("w") > 0).withColumn("bucket", F.floor(F.col("index") / window))
     old = rows.select("chain_key", F.col("index").alias("old_index"), F.col("id").alias("old_id"), F.col("w").alias("old_w"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     met = rows.join(old, ["chain_key", "bucket"]).where((F.col("old_index") < F.col("index")) & (F.col("old_index") >= F.col("index") - window))
     scored = met.withColumn("similarity", jaccard(F.col("w"), F.col("old_w"))).where(F.col("similarity") >= threshold)

@@ -418,6 +418,12 @@ def invalidated_set(spark, d):
   SELECT a.chain_key, a.idx, b.id AS old, b.idx AS old_idx, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.chain_key = b.chain_key AND b.idx < a.idx AND b.idx >= a.idx - 64 WHERE len(a.w) > 0 AND len(b.w) > 0)
 SELECT chain_key, idx AS "index", round(s, 6) AS similarity, old AS supersedes FROM (SELECT *, row_number() OVER (PARTITION BY chain_key, idx ORDER BY s DESC, old_idx) AS r FROM p WHERE s >= 0.05) WHERE r = 1""")
 def near_duplicate_jaccard(spark, d):
+    return commit.recent_duplicates(S.conversation_records(spark, d), 0.05, words=commit.plain_words()).withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def near_duplicate_stems(spark, d):
+    """near_duplicate_jaccard of stem sets."""
     return commit.recent_duplicates(S.conversation_records(spark, d), 0.05).withColumn("similarity", F.round("similarity", 6))
 
 
@@ -629,4 +635,12 @@ SELECT conv_id::VARCHAR AS chain_key, turn AS "index", round(s, 6) AS similarity
 def stream_dedup(spark, d):
     from ..streaming import jobs
 
-    return _drain(jobs.dedup(_conversation_stream(spark, d), 0.05), "stream_dedup", "append").withColumn("similarity", F.round("similarity", 6))
+    return _drain(jobs.dedup(_conversation_stream(spark, d), 0.05, words=commit.plain_words()), "stream_dedup", "append").withColumn("similarity", F.round("similarity", 6))
+
+
+@query()
+def stream_dedup_stems(spark, d):
+    """stream_dedup of stem sets."""
+    from ..streaming import jobs
+
+    return _drain(jobs.dedup(_conversation_stream(spark, d), 0.05), "stream_dedup_stems", "append").withColumn("similarity", F.round("similarity", 6))

@@ -6,11 +6,11 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import tokens
+from ..functions.text import query_terms, tokens
 
 ATTEMPTS, BACKOFF_S = 3, 1.0
 #: Rows of hooks up to this number are broadcast; more are joined like any table.
@@ -36,16 +36,29 @@ def running_lengths(stream: DataFrame) -> DataFrame:
     return stream.select("chain_key", F.size(tokens(F.col("content"))).alias("len")).groupBy("chain_key").agg(F.count("*").alias("n_docs"), F.sum("len").alias("tokens"))
 
 
-def dedup(stream: DataFrame, threshold: float, window: int = 64) -> DataFrame:
-    """chain_key, index, similarity, supersedes: the most similar of the last `window` records of the chain, from threshold on. State: that many token sets a chain."""
-    rows = stream.select("chain_key", "index", "id", F.array_distinct(tokens(F.col("content"))).alias("words"))
+def dedup(stream: DataFrame, threshold: float, window: int = 64, words: Column | None = None) -> DataFrame:
+    """chain_key, index, similarity, supersedes: the most similar of the last `window` records of the chain, from threshold on. State: that many word sets a chain.
+
+    Words are stems of tokens and of their irregular base forms, or those given (commit.plain_words: distinct tokens).
+    """
+    stems = words is None
+    rows = stream.select("chain_key", "index", "id", (query_terms(F.col("content")) if stems else words).alias("words"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        from tracewell.functions.stem import stem
+
+        known: dict[str, str] = {}  # each distinct word of the batch is stemmed once
+
+        def base(word: str) -> str:
+            if word not in known:
+                known[word] = stem(word)
+            return known[word]
+
         kept = [(i, d, set(w)) for i, d, w in zip(*state.get, strict=True)] if state.exists else []
         new = pd.concat(list(batches)).sort_values("index")
         out = []
         for index, ident, words in zip(new["index"], new["id"], new["words"], strict=True):
-            mine, best = set(words), (0.0, None)
+            mine, best = {base(w) for w in words} if stems else set(words), (0.0, None)
             for i, d, w in kept:
                 if mine and w and i >= index - window:
                     s = len(mine & w) / len(mine | w)
