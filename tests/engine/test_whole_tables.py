@@ -84,3 +84,10 @@ def test_stems_in_batch_and_stream_agree(spark):
     data = "/root/testdata/sf0.001"
     batch, stream = ({(r.chain_key, r["index"], r.similarity) for r in QUERIES[n](spark, data).collect()} for n in ("near_duplicate_stems", "stream_dedup_stems"))
     assert batch == stream and batch
+
+
+def test_rare_terms_have_statistics(spark, tmp_path):
+    rows = [(k, f"common rare{k}", "en", "s") for k in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.term: r.df for r in QUERIES["postings_stats_all"](spark, str(tmp_path)).collect()}
+    assert got == {"common": 3, "rare0": 1, "rare1": 1, "rare2": 1}

@@ -89,6 +89,13 @@ def postings_stats(spark, d):
     return lexical.document_frequency(posts).where("df >= 20").select("term", "df")
 
 
+@query(f"WITH {S.DOC} SELECT term, count(*) AS df FROM (SELECT DISTINCT idx, unnest({TOK.format('content')}) AS term FROM doc) GROUP BY term")
+def postings_stats_all(spark, d):
+    """postings_stats of every term."""
+    posts = lexical.postings(lexical.field_tokens(S.document_records(spark, d), CONTENT), CONTENT)
+    return lexical.document_frequency(posts).select("term", "df")
+
+
 @query(f"WITH {S.DOC}, t AS (SELECT DISTINCT idx, unnest({TOK.format('content')}) AS term FROM doc), n AS (SELECT count(*)::DOUBLE AS n FROM doc) SELECT term, round(count(*) / max(n), 6) AS share, round(ln((max(n) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM t, n GROUP BY term HAVING count(*) / max(n) > 0.3")
 def df_gate_terms(spark, d):
     docs = lexical.field_tokens(S.document_records(spark, d), CONTENT)
