@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tracewell.llm.queries import URL_RULES
@@ -41,3 +43,15 @@ def test_no_rules_no_rows(spark):
     none = rule_table(spark, URL_RULES).where("false")
     assert [tuple(r) for r in judge_urls(pages, none).collect()] == [(1, "a.b", "/c", None, "allow")]
     assert judge_urls(pages.where("false"), rule_table(spark, URL_RULES)).collect() == []
+
+
+def test_very_long_urls(spark):
+    rules = [*URL_RULES, ("block", "d.c.b.a", "/x"), ("allow", "b.a", "/" + "y" * 300), ("block", "", "/z")]
+    urls = ["http://" + "n." * 100_000 + "example.org/es/" + "p" * 100_000, "http://" + "d.c.b.a." * 30_000 + "d.c.b.a/xx", "x://b.a/" + "y" * 301, "x://b.a/" + "y" * 299, "x://" + "." * 50_000 + "/z"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    began = time.time()
+    got = judge_urls(pages, rule_table(spark, rules)).collect()
+    assert time.time() - began < 20
+    assert len(got) == len(urls)
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == brute(urls[r.page_id], rules)
