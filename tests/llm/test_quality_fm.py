@@ -37,3 +37,25 @@ def test_no_labels_and_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert [(r.score, r.predicted) for r in q.quality(docs, labels).collect()] == [(0.5, 1)]
     assert q.quality(docs.where("false"), labels).collect() == []
+
+
+def test_whole_score_by_a_naive_loop():
+    texts = [" ".join(f"w{(7 * i + j * j) % 31}" for j in range(5 + i % 9)) + ("!!!" if i % 2 else ".") for i in range(60)]
+    fm = q.train([q.features(t) for t in texts], [i % 2 for i in range(60)], epochs=2)
+    for text in [*texts[:5], "", "never seen w3 w4!"]:
+        indices, values = q.features(text)
+        z = float(fm.w0)
+        for a, x in zip(indices, values, strict=True):
+            z += float(fm.w[a]) * float(x)
+        for (a, x), (b, y) in itertools.combinations(zip(indices, values, strict=True), 2):
+            z += sum(float(s) * float(t) for s, t in zip(fm.v[a], fm.v[b], strict=True)) * float(x) * float(y)
+        assert abs(fm.score([(indices, values)])[0] - 1 / (1 + np.exp(-z))) < 1e-5
+
+
+def test_driver_rows_are_bounded_when_ids_repeat(spark, monkeypatch):
+    docs = spark.createDataFrame([(i % 2, f"text {i}", 1) for i in range(200)] + [(i, "t", 1) for i in range(2, 20)], "doc_id long, text string, h int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] * 3, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(q, "train", lambda rows, labels: seen.append(labels) or q.FactorisationMachine())
+    q.fit(docs, labels, train_rows=4)
+    assert sorted(seen[0]) == [0, 0, 1, 1]

@@ -148,10 +148,11 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, parts:
     """Learns labels.<label> (0 or 1; others and nulls are left out) from rows outside the held-out part.
 
     Of either label up to train_rows / 2 rows are taken, in the order of a hash of doc_id: a bounded sample of labelled
-    rows. Their features, not their texts, come to the driver. A doc_id with several labels counts with each.
+    rows. Their features, not their texts, come to the driver. A doc_id with several labels counts with each, one with
+    several texts with the smallest of them, so no more than train_rows rows arrive however often ids repeat.
     """
     ship(docs.sparkSession)
-    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, which)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id", F.lit("sample")).alias("h"))
+    known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"), parts, which)).select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"), F.xxhash64("doc_id", F.lit("sample")).alias("h")).distinct()
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}  # two rows at most
     some = None
     for y in sorted(counts):  # the smallest hashes of either label, found by merging heads of partitions
@@ -167,7 +168,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, parts:
             rows = [features(t) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.float32()))], names=["h", "y", "i", "x"])
 
-    joined = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some), "id").select("h", "y", "text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(some.select("id").distinct()), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    joined = texts.join(F.broadcast(some), "id").select("h", "y", "text")
     import numpy as np
 
     got = joined.mapInArrow(run, "h long, y int, i array<int>, x array<float>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
@@ -178,6 +180,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, parts:
 def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") -> DataFrame:
     """docs with a column `name`: 0 to 1, higher: label 1 likelier. Null and empty texts are scored by their statistics."""
     ship(docs.sparkSession)
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     column, names = docs.columns.index("text"), [*docs.columns, name]
 
