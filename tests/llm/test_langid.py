@@ -17,18 +17,48 @@ def make(n, seed):
 
 def test_held_out_accuracy_and_odd_texts(spark):
     rows = make(400, 0)
-    odd = [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "kati moka", None), (None, "schüber eit", "bb"), (0, rows[0][1], "aa")]
+    odd = [(900, None, "aa"), (901, "123 !!", "bb"), (902, "", None), (903, "kati moka", None), (None, "schüber eit", "bb"), (0, rows[0][1], "aa"), (904, "½ ² ① Ⅷ ٣ _", "aa"), (905, "\u0301\u20dd", "bb"), (906, "1²kati½moka", "aa"), (907, "katimo tika " * 20_000, "aa")]
     docs = spark.createDataFrame([(*r, "s") for r in rows + odd], "doc_id long, text string, lang string, score string")
     got = langid.languages(docs).collect()
     assert len(got) == len(rows) + len(odd)
     for r in got:
         assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
         assert 0 <= r.score <= 1 and r.lang_pred in {"aa", "bb", "cc", "und"}
-        assert (r.lang_pred == "und") == (r.doc_id in (900, 901, 902))
+        assert (r.lang_pred == "und") == (r.doc_id in (900, 901, 902, 904, 905))
     true = {i: x for i, _, x in rows}
     tested = [r for r in got if r.held_out and r.doc_id in true]
     assert np.mean([r.lang_pred == true[r.doc_id] for r in tested]) > 0.97
     assert np.mean([r.accepted for r in tested]) > 0.9
+    assert {r.doc_id: r.lang_pred for r in got}[906] == {r.doc_id: r.lang_pred for r in got}[907] == "aa"
+
+
+def test_whole_score_by_a_naive_loop():
+    rows = make(60, 5)
+    counts = [np.unique(np.array(langid.subwords(t), np.int32), return_counts=True) for _, t, _ in rows]
+    m = langid.train(counts, [x for *_, x in rows])
+    for _, text, _ in make(12, 6):
+        total, n = [0.0] * langid.DIM, 0
+        for word in text.lower().split():
+            marked = f"<{word}>"
+            grams = [marked, *(marked[i : i + k] for k in langid.NGRAMS for i in range(len(marked) - k + 1))]
+            for g in grams:
+                row = m.embeddings[zlib.crc32(g.encode()) % (1 << langid.BITS)]
+                total = [a + float(b) for a, b in zip(total, row, strict=True)]
+                n += 1
+        z = [sum(t / n * float(w) for t, w in zip(total, m.weights[k], strict=True)) + float(m.bias[k]) for k in range(len(m.languages))]
+        e = [np.exp((x - max(z)) / m.temperature) for x in z]
+        best = max(range(len(z)), key=z.__getitem__)
+        lang, score, _ = m.predict(text)
+        assert lang == m.languages[best] and abs(score - e[best] / sum(e)) < 1e-4
+
+
+def test_sample_is_bounded_and_repeats_count_once(spark, monkeypatch):
+    rows = [(1, "kati moka", "aa")] * 500 + make(90, 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda rows, labels: seen.append(labels))
+    langid.fit(docs, rows_per_language=10)
+    assert {x: seen[0].count(x) for x in set(seen[0])} == {"aa": 10, "bb": 10, "cc": 10}
 
 
 def test_word_sums_equal_the_average():

@@ -12,7 +12,7 @@ import re
 import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship
@@ -21,20 +21,31 @@ from .quality_fm import held_out
 UNKNOWN = "und"
 BITS, DIM = 15, 16
 NGRAMS = (2, 3, 4)
-#: Training rows of each language, at most (about; by a hash of doc_id); their whole texts are used.
-ROWS_PER_LANGUAGE = 600
+#: Training rows of each language, at most (those with the smallest hashes of doc_id and text), and of all; whole texts are used.
+ROWS_PER_LANGUAGE, TRAIN_ROWS = 600, 60_000
 #: Share of correct answers that rejection may lose on the rows held back for calibration.
 LOST = 0.01
 #: Words that a worker remembers; those met later are hashed each time.
 CACHE_WORDS = 800_000
-LETTERS = re.compile(r"[^\W\d_]+")
+ALNUM = re.compile(r"[^\W\d_]+")
 MASK = (1 << BITS) - 1
 
 
+def letter_runs(text: str) -> list[str]:
+    """Maximal runs of letters (Unicode categories L*). Number signs such as fractions are word characters to `re`, but no letters."""
+    out = []
+    for run in ALNUM.findall(text):
+        if run.isalpha():
+            out.append(run)
+        else:
+            out += "".join(c if c.isalpha() else " " for c in run).split()
+    return out
+
+
 def subwords(chunk: str) -> list[int]:
     """Hashes of the words of a chunk and of their n-grams with word marks; lower-cased."""
     out = []
-    for word in LETTERS.findall(chunk.lower()):
+    for word in letter_runs(chunk.lower()):
         marked = f"<{word}>"
         out.append(zlib.crc32(marked.encode("utf-8", "surrogatepass")) & MASK)
         for n in NGRAMS:
@@ -175,15 +186,19 @@ def train(rows: list[tuple[object, object]], labels: list[str], seed: int = 3, e
 def fit(docs: DataFrame, parts: int = 4, which: int = 2, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learns lang from text, from rows with both and outside the held-out part.
 
-    Training takes a bounded sample: about rows_per_language rows of each language (all of a rarer one), chosen by a hash
-    of doc_id. Whole texts are turned into counts of subword ids where they are; only those come to the driver.
+    Training takes a bounded sample: rows_per_language rows of each language (all of a rarer one; fewer of each if that
+    would be over TRAIN_ROWS), those with the smallest hashes of doc_id and text; rows that repeat both count once. Only
+    hashes are ranked, and only the chosen texts move. They are turned into counts of subword ids before they come to the
+    driver.
     """
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, which))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    at = F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    some = known.select("doc_id", "text", "lang", at.alias("at"))
-    some = some.join(counts, "lang").where(F.col("at") * F.col("n") <= rows_per_language).select("doc_id", "lang", "text")
+    known = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("language sample")).alias("h"))
+    n_languages = known.agg(F.count_distinct("lang")).first()[0]
+    most = max(1, min(rows_per_language, TRAIN_ROWS // max(1, n_languages)))
+    first = Window.partitionBy("lang").orderBy("h")
+    chosen = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "h")  # TRAIN_ROWS at most
+    some = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches):
         import numpy as np
@@ -191,10 +206,10 @@ def fit(docs: DataFrame, parts: int = 4, which: int = 2, rows_per_language: int
 
         for b in batches:
             rows = [np.unique(np.array(subwords(t), np.int32), return_counts=True) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["doc_id", "lang", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["lang", "h", "ids", "counts"])
 
-    got = some.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang string, ids array<int>, counts array<long>").toArrow()
-    got = got.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    got = some.select("lang", "h", "text").mapInArrow(run, "lang string, h long, ids array<int>, counts array<long>").toArrow()
+    got = got.sort_by([("h", "ascending"), ("lang", "ascending")])
     rows = [(i.values.to_numpy(), c.values.to_numpy()) for i, c in zip(got["ids"], got["counts"], strict=True)]
     return train(rows, got["lang"].to_pylist())
 
