@@ -8,6 +8,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys with more rows than both are joined by broadcast: HOT_ROWS, and the HOT_KEYS-th part of all rows.
+HOT_ROWS, HOT_KEYS = 256, 50_000
 
 #: A-Z to a-z, all other bytes as they are.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -84,6 +88,33 @@ def steady(df: DataFrame, name: str) -> DataFrame:
     return df if "FileScan" in plan and "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan else stored(df, name)
 
 
+def join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
+    """left.join(counted, keys) for a table `counted` with one row and the number `n` of left rows for each key.
+
+    Keys of more than a HOT_KEYS-th of all rows (and HOT_ROWS) meet their rows by broadcast, so none of them fills a task;
+    there are HOT_KEYS of those at most.
+    """
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    most = max(HOT_ROWS, total // HOT_KEYS)
+    hot = counted.where(F.col("n") > most)
+    if not hot.take(1):
+        return left.join(counted, keys)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(counted.where(F.col("n") <= most), keys)
+    return rest.unionByName(left.join(F.broadcast(hot), keys))
+
+
+def publish(fs, temp: str, name: str) -> None:
+    """Gives a finished file its name. Where another try of the task was first, its file stays: both hold the same."""
+    from pyarrow.fs import FileType
+
+    try:
+        fs.move(temp, name)
+    except OSError:  # stores whose rename does not replace
+        if fs.get_file_info(name).type != FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
 def file_system(uri: str):
     """pyarrow file system and path of a URI of the shared folder."""
     from pyarrow import fs
