@@ -61,3 +61,20 @@ def test_empty_tables(spark):
     assert decontam.contamination(docs.where("false"), bench).collect() == []
     assert [r.n_hit for r in decontam.contamination(docs, bench.where("false")).collect()] == [0]
     assert decontam.remove_contaminated(docs, bench.where("false")).count() == 1
+
+
+def test_very_long_texts_and_ids_that_are_no_numbers(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "SHARD_WORDS", 1000)
+    rng = random.Random(5)
+    passage = [f"p{i}" for i in range(40)]
+    long = [rng.choice("abcdefgh") for _ in range(60_000)]
+    long[30_000:30_040] = passage
+    texts = [" ".join(long), None, " ".join(passage[:12]), "short", " ".join(passage[5:] * 500), ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)
+    items = [("b-1", " ".join(passage)), ("a/2", " ".join(passage[:10])), ("10", "nothing like it"), ("x" * 50, " ".join(["zz"] * 50_000))]
+    got = {r.doc_id: r for r in decontam.contamination(docs, spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert len(got) == len(texts)
+    for d, t in enumerate(texts):
+        assert (got[d].n_words, got[d].n_items, got[d].contaminated) == (len(words(t)), {0: 2, 2: 2, 4: 1}.get(d, 0), d in (0, 2, 4))
+    assert (got[0].n_hit, got[0].longest, got[0].longest_at) == (40, 40, 30_000) and got[4].n_hit == 35 * 500
+    assert got[0].items_sha256 == hashlib.sha256(b"a/2,b-1").hexdigest()

@@ -28,12 +28,12 @@ class TestIndex:
 
     __test__ = False
 
-    def __init__(self, items: Iterable[tuple[int | None, str | None]], window: int = WINDOW):
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], window: int = WINDOW):
         import numpy as np
 
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        by_words: dict[bytes, tuple[object, list[int | None]]] = {}
+        by_words: dict[bytes, tuple[object, list[str | None]]] = {}
         for item_id, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)], dtype=np.int64)
             if len(ids):
@@ -110,7 +110,7 @@ def find(seq, suffixes, windows):
     return bound(False), bound(True)
 
 
-def shard_matches(encoded: list, index: TestIndex) -> Iterator[tuple[int, object, list[int], int, int]]:
+def shard_matches(encoded: list, index: TestIndex) -> Iterator[tuple[int, object, list[str], int, int]]:
     """(document, hit mask, ids of items, longest match, its place) of each document of the shard that has a match."""
     import numpy as np
 
@@ -155,7 +155,7 @@ def shard_matches(encoded: list, index: TestIndex) -> Iterator[tuple[int, object
 def _blocks(benchmark: DataFrame, window: int) -> Iterator[object]:
     """Broadcast test indexes, each over BLOCK_CHARS of text at most (or one longer item)."""
     spark = benchmark.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))
     total = items.agg(F.sum("n")).first()[0] or 0
     n = total // BLOCK_CHARS * 2 + 1
     for k in range(n):
@@ -164,19 +164,21 @@ def _blocks(benchmark: DataFrame, window: int) -> Iterator[object]:
 
 
 def _shards(batches, column: int, index: TestIndex):
-    """(batches, encoded texts) whenever SHARD_WORDS have come together, and at the end."""
+    """(batches, encoded texts) whenever SHARD_WORDS have come together, and at the end; a longer text is a shard of its own."""
     held, encoded, words = [], [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            held.append(part)
-            for text in part.column(column).to_pylist():
-                encoded.append(index.encode(text))
-                words += len(encoded[-1])
-            if words >= SHARD_WORDS:
+        first = 0
+        for at in range(batch.num_rows):
+            text = index.encode(batch.column(column)[at].as_py())
+            if encoded and words + len(text) > SHARD_WORDS:
+                if at > first:
+                    held.append(batch.slice(first, at - first))
                 yield held, encoded
-                held, encoded, words = [], [], 0
-    if held:
+                held, encoded, words, first = [], [], 0, at
+            encoded.append(text)
+            words += len(text)
+        held.append(batch.slice(first, batch.num_rows - first))
+    if encoded:
         yield held, encoded
 
 
@@ -186,7 +188,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     docs has doc_id and text, benchmark item_id and text; other columns are not read. Words are runs of ASCII letters
     (A-Z lower-cased), digits and non-ASCII characters. A word is hit if it lies in an occurrence of a window: `window`
     consecutive words of an item, or a whole item of fewer. Null or empty text has no words: no hits, and an item without
-    words has no window. An item whose id is null can hit but is not listed; an id given twice counts once. No item:
+    words has no window. Ids of items may be of any type and are listed as strings. An item whose id is null can hit but
+    is not listed; an id given twice counts once. Texts of any length are taken whole. No item:
     items_sha256 of the empty string. longest is the longest run that an item and the document share (0 without a hit),
     longest_at its first word's number (the earliest of equals). Empty tables: no rows, or no hits.
     """
@@ -194,7 +197,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     ship(spark)
     base = steady(docs.select("doc_id", "text"), "contamination-input").select("doc_id", "text", F.monotonically_increasing_id().alias("row_key"))
     id_type = base.schema["doc_id"].dataType.simpleString()
-    schema = f"row_key long, doc_id {id_type}, n_words long, hits binary, items array<long>, longest long, longest_at long"
+    schema = f"row_key long, doc_id {id_type}, n_words long, hits binary, items array<string>, longest long, longest_at long"
 
     def search(index):
         def run(batches):
@@ -210,7 +213,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 for part in held:
                     k = slice(at, at + part.num_rows)
                     at += part.num_rows
-                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array([len(e) for e in encoded[k]], pa.int64()), pa.array(hits[k], pa.binary()), pa.array(items[k], pa.list_(pa.int64())), pa.array(longest[k], pa.int64()), pa.array(place[k], pa.int64())], names=["row_key", "doc_id", "n_words", "hits", "items", "longest", "longest_at"])
+                    yield pa.RecordBatch.from_arrays([part.column(2), part.column(0), pa.array([len(e) for e in encoded[k]], pa.int64()), pa.array(hits[k], pa.binary()), pa.array(items[k], pa.list_(pa.string())), pa.array(longest[k], pa.int64()), pa.array(place[k], pa.int64())], names=["row_key", "doc_id", "n_words", "hits", "items", "longest", "longest_at"])
 
         return run
 
@@ -233,7 +236,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
             for hits, items in zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 hits = [np.frombuffer(h, np.uint8) for h in hits if h]
                 n_hit.append(int(np.bitwise_count(np.bitwise_or.reduce(hits)).sum()) if hits else 0)
-                ids = sorted({str(i) for i in items})
+                ids = sorted(set(items))
                 n_items.append(len(ids))
                 sums.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sums), pa.array([x > 0 for x in n_hit]), b.column(5), b.column(6)], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest", "longest_at"])
