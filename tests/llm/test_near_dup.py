@@ -1,7 +1,8 @@
+import collections
 import random
 import re
 
-from tracewell.llm import near_dup
+from tracewell.llm import common, near_dup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -12,25 +13,25 @@ def shingles(text):
 
 
 def brute(docs, percent=85):
-    sets = {d: shingles(t) for d, t in docs}
-    root = {d: d for d in sets}
+    """(n_shingles, component_id) of each (id, text) row."""
+    sets = {(d, t): shingles(t) for d, t in docs if d is not None}
+    root = {k: k for k in sets}
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    ids = sorted(sets)
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
+    keys = sorted(sets, key=lambda k: (k[0], str(k[1])))
+    for i, a in enumerate(keys):
+        for b in keys[i + 1 :]:
             if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
+                x, y = sorted((find(a), find(b)), key=lambda k: (k[0], str(k[1])))
                 root[y] = x
-    return {d: (len(sets[d]), find(d)) for d in sets}
+    return {k: (len(sets[k]), find(k)[0]) for k in sets}
 
 
-def test_against_brute_force(spark):
-    rng = random.Random(11)
+def make(rng):
     word = lambda: "".join(rng.choices("abcdeé", k=4))
     docs = []
     for _ in range(25):
@@ -48,16 +49,50 @@ def test_against_brute_force(spark):
     passage = " ".join(word() for _ in range(40))  # shared, but not enough to link
     docs += [(len(docs) + i, passage + " " + " ".join(word() for _ in range(25))) for i in range(25)]
     docs += [(1000, None), (1001, ""), (1002, "  \n"), (1003, "one two"), (1004, "One  TWO"), (-5, docs[0][1])]
+    return docs
+
+
+def check(spark, docs):
     rows = [(d, t, "s", 1) for d, t in docs] + [(1003, "one two", "s", 1), (None, "one two", "s", 1), (None, None, "s", 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, component_id string, digest int").repartition(3)
     got = near_dup.near_duplicates(frame).collect()
     want = brute(docs)
     assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is None:
-            assert r.component_id is None and r.kept
-        else:
-            assert (r.n_shingles, r.component_id, r.kept) == (*want[r.doc_id], r.doc_id == want[r.doc_id][1]), r.doc_id
+    mine = collections.Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None)
+    assert mine == collections.Counter((d, *want[d, t], d == want[d, t][1]) for d, t, *_ in rows if d is not None)
+    assert all(r.component_id is None and r.kept and r.first for r in got if r.doc_id is None)
+    firsts = collections.Counter(r.component_id for r in {(r.doc_id, r.mark): r for r in got if r.first and r.doc_id is not None and r.n_shingles}.values())
+    assert firsts == dict.fromkeys({c for n, c in want.values() if n}, 1) or len(docs) != len({d for d, _ in docs})
+    return got
+
+
+def test_against_brute_force(spark):
+    check(spark, make(random.Random(11)))
+
+
+def test_ids_with_several_texts_are_linked_by_each(spark):
+    docs = make(random.Random(12))
+    docs += [(7, docs[20][1]), (7, docs[3][1] + " x"), (3, "words of its own that nothing else has at all"), (90, docs[40][1])]
+    got = check(spark, docs)
+    assert {r.component_id for r in got if r.doc_id == 3} == {3}
+    assert sum(r.first for r in got if r.doc_id == 3) == 2
+
+
+def test_hot_buckets_and_hubs(spark, monkeypatch):
+    for name, value in (("HOT_ROWS", 3), ("HOT_KEYS", 10_000_000)):
+        monkeypatch.setattr(common, name, value)
+    monkeypatch.setattr(near_dup, "PAIRS_PER_PART", 4)
+    monkeypatch.setattr(near_dup, "ROWS_PER_PART", 3)
+    docs = make(random.Random(13))
+    check(spark, docs + [(2000 + i, docs[3][1]) for i in range(200)] + [(1003, docs[3][1])])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(4)
+    long = [str(rng.randrange(1000)) for _ in range(200_000)]
+    docs = [(1, " ".join(long)), (2, " ".join([*long[:-30], "x"])), (3, " ".join(long[:150_000])), (4, "a " * 100_000)]
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 3, 4: 4} and {r.n_shingles for r in got if r.doc_id == 4} == {1}
 
 
 def test_components_of_paths_and_stars(spark):

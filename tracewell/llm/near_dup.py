@@ -20,13 +20,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, space_words, stored
+from .common import join_counted, ship, space_words, stored
+from .line_dedup import running_sum
 
 SHINGLE = 5
 SIDE, HALF = 9, 3
 SEED = 20240607
 #: Candidate ids up to this number are broadcast to find their texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
+#: Pairs that are verified with one copy of the text that they have in common; and rows of a bucket that meet all others together.
+PAIRS_PER_PART, ROWS_PER_PART = 64, 256
 MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 CACHE_WORDS = 150_000
 
@@ -85,7 +88,7 @@ def half_keys(shingles, side: int, half: int):
 
 
 def _sketches(docs: DataFrame, side: int, half: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, and the half-keys of documents that have shingles."""
+    """doc_id, mark (hash of the text), n_shingles, digest of the set, and the half-keys of documents that have shingles."""
 
     def run(batches):
         import numpy as np
@@ -102,20 +105,33 @@ def _sketches(docs: DataFrame, side: int, half: int) -> DataFrame:
                     digests.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     keys.append(half_keys(s, side, half) if len(s) else np.zeros(0, np.int64))
                 ends = np.cumsum([0, *map(len, keys)])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))], names=["doc_id", "n_shingles", "digest", "halves"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))], names=["doc_id", "mark", "n_shingles", "digest", "halves"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, halves array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark")).mapInArrow(run, "doc_id long, mark long, n_shingles long, digest binary, halves array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents whose full shingle sets satisfy 100 * intersection >= percent * union."""
+def _texts(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of the classes in ids: the text of the row that stands for each."""
+    wanted = reps.join(ids, "id", "left_semi")
+    few = ids.count() <= BROADCAST_IDS
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep_doc"), "text")
+    met = rows.join(F.broadcast(wanted) if few else wanted, "rep_doc").where(F.xxhash64("text") == F.col("rep_mark"))
+    return met.groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat id and text
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full shingle sets satisfy 100 * intersection >= percent * union.
+
+    a may stand in any number of pairs: those are dealt out in parts of PAIRS_PER_PART, each with its own copy of a's
+    text. b is in a few pairs only.
+    """
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "dup-ids")
-    ids_side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(ids_side, "id", "left_semi")
-    texts = texts.groupBy("id").agg(F.min("text").alias("text"))
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    texts = stored(_texts(ids, reps, docs), "dup-texts")
+    counts = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / PAIRS_PER_PART)), "dup-parts")
+    left = texts.withColumnRenamed("text", "text_a").join(counts.select(F.col("a").alias("id"), "parts"), "id").select(F.col("id").alias("a"), "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(right, "b").join(left, "a")
+    dealt = join_counted(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    both = dealt.join(right, "b").join(left, ["a", "part"])
 
     def run(batches):
         import numpy as np
@@ -138,10 +154,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _lone_shingles(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, alone): how many shingles of each document of ids occur in no other of them; documents without such are left out."""
-    ids_side = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids_side, "rep", "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+def _lone_shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, alone): how many shingles of each class of ids occur in no other of them; classes without such are left out."""
+    texts = _texts(ids.withColumnRenamed("rep", "id"), reps, docs)
 
     def run(batches):
         import numpy as np
@@ -186,64 +201,88 @@ def components(edges: DataFrame, name: str = "dup") -> DataFrame:
         before = now
 
 
+def _classes(rows: DataFrame) -> DataFrame:
+    """One row for each distinct set: digest, n_shingles, halves, n (rows), rep_doc, rep_mark (smallest doc_id and its text's hash), id.
+
+    id grows with rep_doc; it is rep_doc itself unless one doc_id stands for several sets.
+    """
+    some = rows.where("doc_id is not null and n_shingles > 0").groupBy("digest", "n_shingles")
+    made = some.agg(F.min(F.struct("doc_id", "mark")).alias("r"), F.first("halves").alias("halves"), F.count("*").alias("n"))
+    made = stored(made.select("digest", "n_shingles", "halves", "n", F.col("r.doc_id").alias("rep_doc"), F.col("r.mark").alias("rep_mark")), "dup-classes")
+    if not made.groupBy("rep_doc").agg(F.count("*").alias("k")).where("k > 1").take(1):
+        return made.withColumn("id", F.col("rep_doc"))
+    numbered = running_sum(made.select("rep_doc", "digest", F.lit(1).alias("one")), ["rep_doc", "digest"], "one", "dup-numbers")
+    return stored(made.join(numbered.select("digest", F.col("before").alias("id")), "digest"), "dup-classes")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half: int = HALF) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of docs (doc_id, text; other columns are not read).
+    """doc_id, n_shingles, component_id, kept, mark, first: one row per row of docs (doc_id, text; other columns are not read).
 
     Words are runs without ASCII white space, A-Z lower-cased; a document's set is its distinct 5-word shingles, or the
-    whole sequence if it has fewer words. Null, empty and blank texts have an empty set and link with nothing. Documents
-    are linked if 100 * intersection >= percent * union; component_id is the smallest doc_id reachable and kept marks
-    the document it names. Rows that repeat a doc_id with the same text share everything; the same doc_id with different
-    texts counts as one node. A row with null doc_id is never linked and has a null component, kept. Empty table: no rows.
+    whole sequence if it has fewer words. Null, empty and blank texts have an empty set and link with nothing. Rows are
+    linked if 100 * intersection >= percent * union; component_id is the smallest doc_id reachable and kept marks the
+    rows it names. Rows that share a doc_id but not the text are rows of their own, each linked by its own set. mark is
+    the xxhash64 of the text, and `first` is true for the rows of one (doc_id, mark) of each component only, so these and
+    one of their repeats are what deduplication keeps. A row with null doc_id is never linked and has a null component,
+    kept and first. Empty table: no rows.
     """
     ship(docs.sparkSession)
     rows = stored(_sketches(docs, side, half), "dup-sketches")
-    with_set = rows.where("doc_id is not null and n_shingles > 0")
-    classes = stored(with_set.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min_by("halves", "doc_id").alias("halves")), "dup-classes")
+    classes = _classes(rows)
+    reps = classes.select("id", "rep_doc", "rep_mark")
     left, right = F.slice("halves", 1, side), F.slice("halves", side + 1, side)
     keys = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x, y))))
-    members = classes.select("rep", "n_shingles", F.posexplode(keys).alias("table", "key"))
+    members = classes.select(F.col("id").alias("rep"), "n_shingles", F.posexplode(keys).alias("table", "key"))
     smallest = F.min(F.struct("rep", F.col("n_shingles").alias("n")))
-    buckets = stored(members.groupBy("key").agg(smallest.alias("c"), F.count("*").alias("n_members")).where("n_members > 1").select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "n_members"), "dup-buckets")
-    met = members.join(buckets, "key").where("rep <> center")
+    buckets = stored(members.groupBy("key").agg(smallest.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "n"), "dup-buckets")
+    met = join_counted(members, buckets, ["key"]).where("rep <> center")
 
     def possible(n: Column, m: Column) -> Column:
         return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
     stars = stored(met.where(possible(F.col("n_shingles"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "dup-stars")
-    links = stored(_verified(stars, docs, percent), "dup-links")
+    links = stored(_verified(stars, reps, docs, percent), "dup-links")
     first = stored(components(links), "dup-first")
     # What stars can miss: pairs of a bucket in different components, one of them not in that of the bucket's smallest.
-    wide = buckets.where("n_members > 2").join(first.select(F.col("id").alias("center"), F.col("component").alias("cc")), "center", "left").select("key", "center", F.coalesce("cc", "center").alias("center_c"))
-    inside = members.join(wide, "key").join(first.withColumnRenamed("id", "rep"), "rep", "left").select("table", "key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
+    wide = buckets.where("n > 2").join(first.select(F.col("id").alias("center"), F.col("component").alias("cc")), "center", "left").select("key", "center", F.coalesce("cc", "center").alias("center_c"), "n")
+    inside = join_counted(members, stored(wide, "dup-wide"), ["key"]).join(first.withColumnRenamed("id", "rep"), "rep", "left").select("table", "key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
     inside = stored(inside, "dup-inside")
-    inside = inside.join(inside.where("c <> center_c").select("key").distinct(), "key", "left_semi")
-    alone = _lone_shingles(stored(inside.select("rep").distinct(), "dup-open"), docs)
+    split = stored(inside.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("c") != F.col("center_c")).alias("open")).where("open").select("key", "n"), "dup-split")
+    inside = join_counted(inside, split, ["key"]).drop("n")
+    alone = _lone_shingles(stored(inside.select("rep").distinct(), "dup-open"), reps, docs)
     inside = inside.join(alone, "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).drop("center_c"), "dup-able")
+    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).drop("center_c", "alone"), "dup-able")
 
     def reachable(n: Column, n_shared: Column, m: Column, m_shared: Column) -> Column:
         most = F.least(n_shared, m_shared)  # no pair has more in common
         return most * 100 >= (n + m - most) * percent
 
     # A second star around the member with the least of its own: of a group of edited copies, the one nearest to their origin.
-    hubs = stored(inside.groupBy("key").agg(F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), (-F.col("rep")).alias("o"), F.col("rep").alias("hub"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("hub_c"))).alias("hub")).select("key", "hub.hub", "hub.m", "hub.m_shared", "hub.hub_c"), "dup-hubs")
-    near = inside.join(hubs, "key").where("rep <> hub and c <> hub_c").where(reachable(F.col("n_shingles"), F.col("shared"), F.col("m"), F.col("m_shared")))
-    near = stored(near.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct(), "dup-near")
+    best = F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), (-F.col("rep")).alias("o"), F.col("rep").alias("hub"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("hub_c")))
+    hubs = stored(inside.groupBy("key").agg(best.alias("hub"), F.count("*").alias("n")).select("key", "hub.hub", "hub.m", "hub.m_shared", "hub.hub_c", "n"), "dup-hubs")
+    near = join_counted(inside, hubs, ["key"]).where("rep <> hub and c <> hub_c").where(reachable(F.col("n_shingles"), F.col("shared"), F.col("m"), F.col("m_shared")))
+    near = stored(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "dup-near")
     if near.take(1):
-        links = stored(links.unionByName(_verified(near, docs, percent)), "dup-links")
+        links = stored(links.unionByName(_verified(near, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-second")
     label = first.select(F.col("id").alias("rep"), "component")
-    inside = inside.drop("c").join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component").join(classes.select("rep", "halves"), "rep")
-    hubs = hubs.select("key", "hub").join(label.withColumnRenamed("rep", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("hub_c"))
-    inside = inside.join(hubs, "key").where("rep <> center and rep <> hub")  # both have been compared with all of the bucket
-    outside = inside.where("c <> hub_c").select("key", "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
-    rest = outside.join(inside.select("key", F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "hub_c", F.col("halves").alias("hy")), "key")
-    rest = rest.where("cx <> cy and (cy = hub_c or x < y)").where(reachable(F.col("n"), F.col("n_shared"), F.col("m"), F.col("m_shared")))
+    inside = inside.drop("c").join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component").join(classes.select(F.col("id").alias("rep"), "halves"), "rep")
+    hubs = hubs.select("key", "hub", "n").join(label.withColumnRenamed("rep", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("hub_c"), "n")
+    inside = join_counted(inside, stored(hubs, "dup-hubs"), ["key"]).where("rep <> center and rep <> hub")  # both have been compared with all of the bucket
+    inside = stored(inside.drop("n", "center", "hub"), "dup-left")
+    most = stored(inside.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("hub_c")).alias("outside")).where("outside > 0 and n > 1").withColumn("parts", F.ceil(F.col("outside") / ROWS_PER_PART)), "dup-outside")
+    inside = join_counted(inside, most, ["key"])
+    outside = inside.where("c <> hub_c").select("key", F.pmod(F.xxhash64("rep"), "parts").alias("part"), "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
+    others = inside.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "hub_c", F.col("halves").alias("hy"))
+    rest = outside.join(others, ["key", "part"]).where("cx <> cy and (cy = hub_c or x < y)").where(reachable(F.col("n"), F.col("n_shared"), F.col("m"), F.col("m_shared")))
     more = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "table", "hx", "hy").where(~_met_before(side)).select("a", "b").distinct(), "dup-rest")
     if more.take(1):
-        links = stored(links.unionByName(_verified(more, docs, percent)), "dup-links")
+        links = stored(links.unionByName(_verified(more, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-all")
-    of_class = classes.join(first.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(of_class, "digest", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    names = first.groupBy("component").agg(F.count("*").alias("n")).join(reps.select(F.col("id").alias("component"), F.col("rep_doc").alias("component_id")), "component")
+    named = join_counted(first, stored(names, "dup-names"), ["component"]).select("id", "component", "component_id")
+    of_class = classes.join(named, "id", "left").select("digest", "n", "rep_doc", "rep_mark", F.coalesce("component_id", "rep_doc").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("leads"))
+    linked = join_counted(rows.where("doc_id is not null and digest is not null").drop("halves", "n_shingles").withColumnRenamed("digest", "of"), stored(of_class.join(classes.select("digest", "n_shingles"), "digest").withColumnRenamed("digest", "of"), "dup-of"), ["of"])
+    out = linked.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"), "mark", (F.col("leads") & (F.col("doc_id") == F.col("rep_doc")) & (F.col("mark") == F.col("rep_mark"))).alias("first"))
+    alone = rows.where("doc_id is null or digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), "mark", F.lit(True).alias("first"))
+    return out.unionByName(alone)
