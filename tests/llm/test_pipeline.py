@@ -42,15 +42,16 @@ def test_stages_against_what_they_say(spark, tmp_path):
 
 
 def test_repeated_ids_and_null_ids(spark):
-    rows = [(1, "a b c", 0), (1, "a b c", 0), (1, "x y z", 0), (None, "a b c", 0), (2, None, 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({c: F.lit(5) for c in ("h", "row", "copies", "component_id", "kept")})
+    rows = [(1, "a b c", 0), (1, "a b c", 0), (1, "a b c", 1), (1, "x y z", 0), (None, "a b c", 0), (2, None, 0), (2, None, 0), (3, "A b c", 0), (4, "x y z ", 0), (5, "of its own", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int").withColumns({c: F.lit(5) for c in ("h", "row", "copies", "component_id", "kept", "mark", "first", "score", "copy")})
     got = corpus_pipeline.near_duplicates(spark, docs, "")
-    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "2", "None"] and got.columns == docs.columns
+    assert got.columns == docs.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("1", "a b c"), ("1", "x y z"), ("2", "None"), ("5", "of its own"), ("None", "a b c")]
 
 
 def test_empty_documents_and_clashing_names(spark, tmp_path):
     d = str(tmp_path)
-    schema = "doc_id long, text string, lang string, source string, quality_score double, copies int, score int"
+    schema = "doc_id long, text string, lang string, source string, row double, copies int, score int"
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     for rows in ([], [(None, None, None, None, None, None, None), (1, "w " * 5000, "en", None, 0.0, 1, 1), (2, "", None, "s", None, 2, 2)]):
