@@ -12,39 +12,65 @@ from tracewell.llm.common import steady, stored, table
 BROADCAST_ROWS = 1_000_000
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned from the labels of the documents given, scores at 0.5 or more."""
-    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), "__quality")
-    return scored.where("__quality >= 0.5").select(*docs.columns)
+    """Documents that the quality classifier, learned from the labels of the documents given, scores at 0.5 or more.
+
+    Null and empty texts are scored by their statistics like any other; a null doc_id has no label. No usable label:
+    every score is 0.5 and all stay. Repeated rows share a fate. Empty table: no rows.
+    """
+    name = _unused(docs, "score")
+    scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), name)
+    return scored.where(F.col(name) >= 0.5).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id. Similarity 0.8, shingles of five words.
 
-    Rows that repeat a doc_id are copies, too: one of them stays, the one whose text has the smallest hash.
+    Of rows that repeat doc_id and text one stays; rows that share a doc_id but not the text are documents of their own.
+    Documents without words and rows without doc_id link with nothing and stay. Empty table: no rows.
     """
     found = near_dup.near_duplicates(docs, percent=80)
-    keep = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    repeated = one.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select("doc_id")
-    if repeated.take(1):
-        first = one.join(repeated, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text")).groupBy("doc_id").agg(F.min_by(F.struct(*[c for c in docs.columns if c != "doc_id"]), "__hash").alias("__row"))
-        one = one.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select("doc_id", "__row.*").select(*docs.columns))
-    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    mark, n, row = _unused(docs, "mark"), _unused(docs, "n"), _unused(docs, "row")
+    keep = stored(found.where("first and doc_id is not null").groupBy("doc_id", F.col("mark").alias(mark)).agg(F.count("*").alias(n)), "dedup-kept")
+    key = ["doc_id", mark]
+    marked = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("text"))
+    once = marked.join(keep.where(F.col(n) == 1).select(*key), key, "left_semi").select(*docs.columns)
+    repeated = stored(keep.where(F.col(n) > 1).select(*key), "dedup-repeated")
+    if repeated.take(1):  # map-side, only one of each key of a partition moves
+        others = F.struct(*[c for c in docs.columns if c != "doc_id"])
+        one = marked.join(repeated, key, "left_semi").groupBy(*key).agg(F.min_by(others, F.xxhash64(F.to_json(others))).alias(row))
+        once = once.unionByName(one.select("doc_id", f"{row}.*").select(*docs.columns))
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of ten words of the benchmark."""
+    """Documents without a window of ten words of the benchmark (or a whole shorter item).
+
+    Null and empty texts have no words and stay, null doc_ids and repeated rows are judged like any other. Items without
+    words match nothing. Empty tables: no rows, or all stay.
+    """
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: not at all, once or twice."""
+    """Documents as often as the mix takes them: not at all, once or twice.
+
+    Null and empty texts have size 0 and are not taken; a null source is a source; repeated rows are rows of their own.
+    Empty table: no rows.
+    """
     docs = steady(docs, "mix-input")
-    place = docs.withColumn("__row", F.monotonically_increasing_id())
-    taken = mixing.mix(docs, row=F.monotonically_increasing_id()).where("copies > 0").select(F.col("row_key").alias("__row"), F.col("copies").alias("__copies"))
+    row, copies = _unused(docs, "row"), _unused(docs, "copies")
+    place = docs.withColumn(row, F.monotonically_increasing_id())
+    taken = mixing.mix(docs, row=F.monotonically_increasing_id()).where("copies > 0").select(F.col("row_key").alias(row), F.col("copies").alias(copies))
     few = taken.count() <= BROADCAST_ROWS
-    out = place.join(F.broadcast(taken) if few else taken, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
+    out = place.join(F.broadcast(taken) if few else taken, row).withColumn(_unused(place, "copy"), F.explode(F.sequence(F.lit(1), F.col(copies))))
     return out.select(*docs.columns)
 
 
