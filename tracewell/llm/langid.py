@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, stored
 from .quality_fm import held_out
 
 UNKNOWN = "und"
@@ -194,10 +194,13 @@ def fit(docs: DataFrame, parts: int = 4, which: int = 2, rows_per_language: int
     ship(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), parts, which))
     known = known.select("lang", "text", F.xxhash64("doc_id", "text", F.lit("language sample")).alias("h"))
-    n_languages = known.agg(F.count_distinct("lang")).first()[0]
+    counts = stored(known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    n_languages = counts.count()
     most = max(1, min(rows_per_language, TRAIN_ROWS // max(1, n_languages)))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = known.select("lang", "h").distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "h")  # TRAIN_ROWS at most
+    share = F.shiftrightunsigned("h", 24) / F.lit(float(1 << 40))  # in 0 to 1; about 4 * most rows of a language pass
+    likely = known.select("lang", "h").join(F.broadcast(counts) if n_languages <= TRAIN_ROWS else counts, "lang").where(share * F.col("n") <= 4 * most).select("lang", "h").distinct()
+    first = Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 24), "h")
+    chosen = likely.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).select("lang", "h")  # TRAIN_ROWS at most
     some = known.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches):
