@@ -1,32 +1,41 @@
-"""Language-model scoring with a bigram trie in Elias-Fano levels, spread over shards by context.
-
-p(w | v) = ((1 - SHARE) * c(v w) + (MU + SHARE * c(v)) * p1(w)) / (c(v) + MU), p1 add-one smoothed: bigram counts mixed with
-a Dirichlet prior; for each v it sums to 1 over w. Texts are cut
-into blocks of BLOCK_TOKENS, which tasks write as files of word ids. Each block asks the shard of a context for its
-distinct bigrams, once each, along with their training counts; the shard adds the counts of all blocks up, builds its
-trie (contexts, monotone pointers, context-relative successors, the first part of p as an 8-bit quantised logarithm), maps it into
-memory and answers every block by successor search. What moves are distinct bigrams of blocks, so a frequent bigram is
-one row of each block, and contexts that hold much of the text are split over SALTS shards. Words are 64-bit hashes;
-inside a context, successors are told apart by 32 bits of theirs.
+"""Language-model scoring with a trie of n-grams up to order 3 in Elias-Fano levels, spread over shards by context.
+
+p(w | u v) = ((1 - SHARE3) c(u v w) + (MU3 + SHARE3 c(u v)) p(w | v)) / (c(u v) + MU3), and p(w | v) likewise from c(v w)
+and p1(w), which is add-one smoothed; where a context never occurred, the lower order stands. Each sums to 1 over w.
+
+Texts are cut into blocks of BLOCK_TOKENS, which tasks write as files of word ids. Each block asks the shard of a word v
+for its count, for the words after v, the words u before v, and the words after each u v, all of them distinct and along
+with their training counts. The shard adds the counts of all blocks up and builds its trie: contexts, monotone pointers,
+successors relative to their context (after u v they are told by their place among the successors of v), probabilities
+as 8-bit codes; maps it into memory, and answers every block by successor search. Where a folder is given the tries stay
+there, and other texts can be scored with them later.
+
+What moves are distinct n-grams of blocks, so an n-gram however frequent is one row of each block. A word v that holds
+much of the text is dealt out: the words after it to one set of shards, the pairs u v to another, as many of them as its
+count asks for. Words are 64-bit hashes; inside a context, they are told apart by 32 bits of theirs.
 """
 
 from __future__ import annotations
 
+import io
+import uuid
 import zlib
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ann import _load, _save
-from .common import file_system, new_folder, ship, space_words, stored
+from .common import file_system, new_folder, publish, ship, space_words, stored
 
-MU, SHARE = 8.0, 0.5
+MU2, SHARE2, MU3, SHARE3 = 16.0, 0.5, 1.0, 0.2
 BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_500_000
-#: A context with more than this share of a block's tokens anywhere is split; so there are HEAVY_SHARE^-1 of them a block at most.
-HEAVY_SHARE, SALTS = 1 / 256, 16
-END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set
-ABSENT = 255
+#: A word with more than this share of a block's tokens anywhere may be dealt out, in parts of about PART_TOKENS; there are MOST_HEAVY of them at most.
+HEAVY_SHARE, PART_TOKENS, MOST_HEAVY = 1 / 256, 200_000, 4096
+END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set, parts of dealt-out words do not
+WORD_BIT = 4
 CACHE_WORDS = 250_000
+#: The square of a code, scaled, is -log10 p: the smallest p that codes tell apart is 10 ** -DEPTH. 255: absent.
+DEPTH, ABSENT = 10.0, 255
+SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 _HASHES: dict[bytes, int] = {}
 
 
@@ -39,12 +48,38 @@ def word_hashes(words: list[bytes]) -> list[int]:
     if None in out:
         for i, h in enumerate(out):
             if h is None:
-                out[i] = _HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i]) | 4
+                out[i] = _HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i]) | WORD_BIT
     return out
 
 
-def _blocks(docs: DataFrame, folder: str, parts: int, which: int) -> DataFrame:
-    """Writes blocks; gives (block, tokens, train_tokens, heavy) for each."""
+def _write(folder: str, name: str, data: bytes) -> None:
+    fs, root = file_system(folder)
+    temp = f"{root}/{name}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp) as out:
+        out.write(data)
+    publish(fs, temp, f"{root}/{name}")
+
+
+def _save(folder: str, name: str, **arrays) -> None:
+    import numpy as np
+    import zstandard
+
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    _write(folder, name, zstandard.ZstdCompressor(level=1).compress(data.getbuffer()))
+
+
+def _load(folder: str, name: str) -> dict:
+    import numpy as np
+    import zstandard
+
+    fs, root = file_system(folder)
+    with fs.open_input_file(f"{root}/{name}") as source, np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(source.read()))) as data:
+        return dict(data)
+
+
+def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -> DataFrame:
+    """Writes blocks, and the words of each with their training counts beside it; gives (block, tokens, train_tokens, heavy) for each."""
 
     def run(batches):
         import numpy as np
@@ -56,63 +91,144 @@ def _blocks(docs: DataFrame, folder: str, parts: int, which: int) -> DataFrame:
         def flush():
             hashes = np.concatenate([h for h, _, _ in held])
             sizes = np.array([len(h) for h, _, _ in held])
-            train = np.array([t for _, _, t in held])
+            held_out = np.array([o for _, _, o in held])
+            train = ~held_out if learn else np.zeros(len(held), bool)
             there = np.array([d is not None for _, d, _ in held])
             ids = np.array([d or 0 for _, d, _ in held], np.int64)
-            vocabulary, tokens = np.unique(np.concatenate([[BEGIN], hashes]).astype(np.uint64), return_inverse=True)
+            vocabulary, tokens = np.unique(np.concatenate([np.array([BEGIN], np.uint64), hashes]), return_inverse=True)
             tokens = tokens[1:].astype(np.int32)
             many = np.bincount(tokens, minlength=len(vocabulary))
             heavy = vocabulary[many > max(64, HEAVY_SHARE * len(tokens))]
-            name = f"block-{task:07d}-{k:05d}.npz"
-            _save(folder, name, vocabulary=vocabulary, tokens=tokens, sizes=sizes, train=train, ids=ids, there=there)
+            counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(vocabulary))
+            counts[np.searchsorted(vocabulary, BEGIN)] = train.sum()
+            name = f"block-{task:07d}-{k:05d}"
+            _save(folder, name, vocabulary=vocabulary, tokens=tokens, sizes=sizes, train=train, held_out=held_out, ids=ids, there=there)
+            _save(folder, f"{name}-words", vocabulary=vocabulary, counts=counts)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(tokens)], pa.int64()), pa.array([int(sizes[train].sum())], pa.int64()), pa.array([heavy.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["block", "tokens", "train_tokens", "heavy"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    held.append((np.array([*word_hashes(space_words(text)), END], np.uint64), doc_id, doc_id is None or zlib.crc32(str(doc_id).encode()) % parts != which))
-                    n += len(held[-1][0])
-                    if n >= BLOCK_TOKENS:
-                        yield flush()
-                        held, n, k = [], 0, k + 1
+            for at in range(batch.num_rows):
+                doc_id, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
+                held.append((np.array([*word_hashes(space_words(text)), END], np.uint64), doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts == which))
+                n += len(held[-1][0])
+                if n >= BLOCK_TOKENS:
+                    yield flush()
+                    held, n, k = [], 0, k + 1
         if held:
             yield flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block string, tokens long, train_tokens long, heavy array<long>")
 
 
-def _bigrams(block: dict):
-    """Distinct (context, word) pairs of vocabulary indices in order, which of them each token is, and their training counts."""
+def _dealt(blocks: DataFrame, folder: str):
+    """(hash, training count, parts) of the words that are dealt out, by hash; MOST_HEAVY at most."""
+    import numpy as np
+
+    found = blocks.select(F.explode("heavy").alias("h")).groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_HEAVY - 1).collect()
+    heavy = np.unique(np.array([BEGIN, *(r["h"] for r in found)], np.int64).astype(np.uint64))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                words = _load(folder, f"{name}-words")
+                at = np.minimum(np.searchsorted(words["vocabulary"], heavy), len(words["vocabulary"]) - 1)
+                there = words["vocabulary"][at] == heavy
+                yield pa.RecordBatch.from_arrays([pa.array(heavy[there].astype(np.int64)), pa.array(words["counts"][at[there]].astype(np.int64))], names=["h", "n"])
+
+    sums = {r["h"]: r["n"] for r in blocks.select("block").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
+    counts = np.array([sums.get(h, 0) for h in heavy.astype(np.int64).tolist()], np.int64)
+    return heavy, counts, -(-np.maximum(counts, 1) // PART_TOKENS)
+
+
+def _mix(a, b):
+    """Hash of two numbers, without the bit that words have."""
     import numpy as np
 
-    tokens, sizes = block["tokens"].astype(np.int64), block["sizes"]
-    before = np.concatenate([[0], tokens[:-1]])
-    before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = int(np.searchsorted(block["vocabulary"], BEGIN))
-    width = len(block["vocabulary"])
-    pairs, which = np.unique(before * width + tokens, return_inverse=True)
-    train = np.repeat(block["train"], sizes)
-    counts = np.bincount(which[train], minlength=len(pairs))
-    context = np.bincount(before[train], minlength=width)
-    words = np.bincount(tokens[train], minlength=width)
-    return pairs // width, pairs % width, which, counts, np.where(block["vocabulary"] == BEGIN, context, words)
+    x = (a ^ (b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(32))) & np.uint64(~WORD_BIT & (1 << 64) - 1) | np.uint64(BEGIN)
 
 
-def _route(block: dict, pair_context, pair_word, heavy, n_shards: int):
-    """Shard of each bigram and, for each of SALTS, of each vocabulary entry (the first one is where its count is answered)."""
+class Grams:
+    """Distinct n-grams of a block, by context, and which of them each token ends.
+
+    A context is a word, or a part of a dealt-out one: `ids`, the vocabulary first. pairs (context, next word), befores
+    (context, word before it) and triples (one of befores, one of pairs) are sorted; pair, before and triple say which
+    one a token has.
+    """
+
+    def __init__(self, block: dict, dealt):
+        import numpy as np
+
+        self.block = block
+        vocabulary, tokens, sizes = block["vocabulary"], block["tokens"].astype(np.int64), block["sizes"]
+        heavy, totals, parts = dealt
+        n, width = len(tokens), len(vocabulary)
+        begin = int(np.searchsorted(vocabulary, BEGIN))
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        one, two = np.concatenate([[begin], tokens[:-1]]), np.concatenate([[begin, begin], tokens[:-2]])[:n]
+        one[starts] = two[starts] = begin
+        second = starts[sizes > 1] + 1
+        two[second] = begin
+        at = np.minimum(np.searchsorted(heavy, vocabulary), len(heavy) - 1)
+        self.is_dealt = heavy[at] == vocabulary
+        self.totals = np.where(self.is_dealt, totals[at], 0)
+        hot = np.flatnonzero(self.is_dealt[one])
+        many = parts[at][one[hot]].astype(np.uint64)
+        by_next = _mix(vocabulary[one[hot]], 2 * ((vocabulary[tokens[hot]] >> np.uint64(8)) % many))
+        by_before = _mix(vocabulary[one[hot]], 2 * ((vocabulary[two[hot]] >> np.uint64(8)) % many) + np.uint64(1))
+        extra, first = np.unique(np.concatenate([by_next, by_before]), return_index=True)
+        self.ids = np.concatenate([vocabulary, extra])
+        self.total_of_extra = self.totals[one[hot]][first % max(1, len(hot))] if len(hot) else np.zeros(0, np.int64)
+        after, before = one.copy(), one.copy()
+        after[hot], before[hot] = width + np.searchsorted(extra, by_next), width + np.searchsorted(extra, by_before)
+
+        keys = np.concatenate([after * width + tokens, before[hot] * width + tokens[hot]])
+        pairs, which = np.unique(keys, return_inverse=True)
+        self.pair, of_before = which[:n], which[:n].copy()
+        of_before[hot] = which[n:]
+        self.pair_context, self.pair_word = np.divmod(pairs, width)
+        befores, self.before = np.unique(before * width + two, return_inverse=True)
+        self.before_context, self.before_word = np.divmod(befores, width)
+        triples, self.triple = np.unique(self.before * len(pairs) + of_before, return_inverse=True)
+        self.triple_before, self.triple_pair = np.divmod(triples, len(pairs))
+        self.one = one
+
+    def counts(self):
+        """Training counts of pairs and triples; pairs that only carry triples have none."""
+        import numpy as np
+
+        train = np.repeat(self.block["train"], self.block["sizes"])
+        return np.bincount(self.pair[train], minlength=len(self.pair_context)), np.bincount(self.triple[train], minlength=len(self.triple_before))
+
+    def by_shard(self, n_shards: int):
+        """(shard, contexts, pairs, befores, triples) for each shard: indices of its contexts and of all that hangs on them, in turn."""
+        import numpy as np
+
+        shard = ((self.ids >> np.uint64(20)) % np.uint64(n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        n = len(self.ids)
+        pairs_of, befores_of = np.bincount(self.pair_context, minlength=n), np.bincount(self.before_context, minlength=n)
+        triples_of = np.bincount(self.before_context[self.triple_before], minlength=n)
+        lists = [_ranges(np.concatenate([[0], np.cumsum(k)[:-1]])[order], k[order]) for k in (pairs_of, befores_of, triples_of)]
+        edges = np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [n]])
+        ends = [np.concatenate([[0], np.cumsum(k[order])])[edges] for k in (pairs_of, befores_of, triples_of)]
+        for i, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            yield int(shard[order[a]]), order[a:b], *(x[e[i] : e[i + 1]] for x, e in zip(lists, ends, strict=True)), pairs_of, befores_of
+
+
+def _ranges(starts, sizes):
+    """starts[0], starts[0] + 1, ... of as many as sizes[0], then those of the next."""
     import numpy as np
 
-    vocabulary = block["vocabulary"]
-    home = vocabulary >> np.uint64(20)
-    split = np.isin(vocabulary, heavy)
-    salt = np.where(split[pair_context], vocabulary[pair_word] >> np.uint64(8) & np.uint64(SALTS - 1), np.uint64(0))
-    pair_shard = (home[pair_context] + salt * np.uint64(0x9E3779B9)) % np.uint64(n_shards)
-    entry_shards = [((home + np.uint64(s * 0x9E3779B9)) % np.uint64(n_shards), split if s else np.ones(len(vocabulary), bool)) for s in range(SALTS)]
-    return pair_shard.astype(np.int64), [(a.astype(np.int64), b) for a, b in entry_shards], salt.astype(np.int64)
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _requests(blocks: DataFrame, folder: str, heavy, n_shards: int) -> DataFrame:
-    """(shard, salt-part, block, blob) rows: contexts with their counts, and their distinct bigrams with theirs."""
+def _requests(blocks: DataFrame, folder: str, dealt, n_shards: int) -> DataFrame:
+    """(shard, block, blob) rows: what a block asks of a shard, with its counts."""
 
     def run(batches):
         import numpy as np
@@ -122,105 +238,160 @@ def _requests(blocks: DataFrame, folder: str, heavy, n_shards: int) -> DataFrame
         zstd = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                block = _load(folder, name)
-                v, w, _, counts, totals = _bigrams(block)
-                pair_shard, entry_shards, salt = _route(block, v, w, heavy, n_shards)
-                vocabulary = block["vocabulary"]
-                out = {"shard": [], "salt": [], "block": [], "blob": []}
-                order = np.lexsort((w, v, salt, pair_shard))
-                keys = pair_shard[order] * SALTS + salt[order]
-                for s in range(SALTS):
-                    shards, has = entry_shards[s]
-                    entries = np.flatnonzero(has)
-                    by_shard = entries[np.argsort(shards[entries], kind="stable")]
-                    present, begin = np.unique(shards[by_shard], return_index=True)
-                    for shard, i, j in zip(present.tolist(), begin, [*begin[1:], len(by_shard)], strict=True):
-                        mine = by_shard[i:j]
-                        a, b = np.searchsorted(keys, [shard * SALTS + s, shard * SALTS + s + 1])
-                        rows = order[a:b]
-                        many = np.bincount(np.searchsorted(mine, v[rows]), minlength=len(mine))
-                        low = (vocabulary[w[rows]] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                        arrays = (vocabulary[mine], totals[mine].astype(np.uint32), many.astype(np.uint32), low, counts[rows].astype(np.uint32))
-                        blob = len(mine).to_bytes(4, "little") + b"".join(x.tobytes() for x in arrays)
-                        for c, x in zip(out, (shard, s, name, zstd.compress(blob)), strict=True):
-                            out[c].append(x)
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(out["shard"], pa.int64()), "salt": pa.array(out["salt"], pa.int64()), "block": out["block"], "blob": pa.array(out["blob"], pa.binary())})
-
-    return blocks.select("block").mapInArrow(run, "shard long, salt long, block string, blob binary")
-
-
-def _unpack(blob: bytes):
+                g = Grams(_load(folder, name), dealt)
+                totals = np.concatenate([_load(folder, f"{name}-words")["counts"], g.total_of_extra])
+                first, begins = np.searchsorted(g.pair_context, np.arange(len(g.ids))), np.zeros(len(g.ids), np.int64)
+                pair_counts, triple_counts = g.counts()
+                low = (g.block["vocabulary"] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                triples_of = np.bincount(g.triple_before, minlength=len(g.before_context))
+                out = {"shard": [], "block": [], "blob": []}
+                for shard, contexts, pairs, befores, triples, pairs_of, befores_of in g.by_shard(n_shards):
+                    begins[contexts] = np.cumsum(pairs_of[contexts]) - pairs_of[contexts]
+                    place = g.triple_pair[triples]
+                    own = g.pair_context[place]
+                    place = place - first[own] + begins[own]  # among the pairs of the request
+                    arrays = (g.ids[contexts], totals[contexts].astype(np.int64), pairs_of[contexts].astype(np.uint32), befores_of[contexts].astype(np.uint32), low[g.pair_word[pairs]], pair_counts[pairs].astype(np.uint32), low[g.before_word[befores]], triples_of[befores].astype(np.uint32), place.astype(np.uint32), triple_counts[triples].astype(np.uint32))
+                    head = np.array([len(contexts), len(pairs), len(befores), len(triples)], np.uint32)
+                    for c, x in zip(out, (shard, name, zstd.compress(b"".join(x.tobytes() for x in (head, *arrays)))), strict=True):
+                        out[c].append(x)
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(out["shard"], pa.int64()), "block": out["block"], "blob": pa.array(out["blob"], pa.binary())})
+
+    return blocks.select("block").mapInArrow(run, "shard long, block string, blob binary")
+
+
+class Request:
+    def __init__(self, blob: bytes):
+        import numpy as np
+        import zstandard
+
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        n, m, k, t = np.frombuffer(raw, np.uint32, 4).tolist()
+        at = 16
+        names = (("ids", np.uint64, n), ("totals", np.int64, n), ("many_pairs", np.uint32, n), ("many_befores", np.uint32, n), ("words", np.uint32, m), ("pair_counts", np.uint32, m), ("befores", np.uint32, k), ("many_triples", np.uint32, k), ("places", np.uint32, t), ("triple_counts", np.uint32, t))
+        for name, kind, size in names:
+            x = np.frombuffer(raw, kind, size, at)
+            at += x.nbytes
+            setattr(self, name, x if name == "ids" else x.astype(np.int64))
+
+
+def build_trie(asked: list[Request]):
+    """The trie of a shard from the counts of all blocks, and how many words occur in training texts."""
+    import numpy as np
+
+    from .elias_fano import EliasFano, Level, Trie
+
+    contexts, back = np.unique(np.concatenate([a.ids for a in asked]), return_inverse=True)
+    totals, added = np.zeros(len(contexts), np.int64), np.concatenate([a.totals for a in asked])
+    is_word = (contexts & np.uint64(WORD_BIT) > 0) | (contexts <= BEGIN)
+    word_rows = is_word[back]
+    totals += np.bincount(back[word_rows], added[word_rows], len(contexts)).astype(np.int64)
+    totals[back[~word_rows]] = added[~word_rows]  # parts come with the whole word's count
+    types = int(((totals > 0) & is_word & (contexts != BEGIN)).sum())
+
+    of_pair = np.repeat(back, np.concatenate([a.many_pairs for a in asked]))
+    pairs, pair = np.unique(of_pair << 32 | np.concatenate([a.words for a in asked]), return_inverse=True)
+    counts = np.bincount(pair, np.concatenate([a.pair_counts for a in asked]), len(pairs)).astype(np.int64)
+    of_before = np.repeat(back, np.concatenate([a.many_befores for a in asked]))
+    befores, before = np.unique(of_before << 32 | np.concatenate([a.befores for a in asked]), return_inverse=True)
+    offsets = np.cumsum([0, *(len(a.words) for a in asked)])
+    triple_counts = np.concatenate([a.triple_counts for a in asked])
+    live = triple_counts > 0
+    triple_before = np.repeat(before, np.concatenate([a.many_triples for a in asked]))[live]
+    triple_pair = pair[np.concatenate([a.places + o for a, o in zip(asked, offsets, strict=False)])[live]]
+    triples, which = np.unique(triple_before * max(1, len(pairs)) + triple_pair, return_inverse=True)
+    triple_counts = np.bincount(which, triple_counts[live], len(triples)).astype(np.int64)
+    triple_before, triple_pair = np.divmod(triples, max(1, len(pairs)))
+    after_before = np.bincount(triple_before, triple_counts, len(befores))
+
+    kept = counts > 0
+    kept[triple_pair] = True
+    place = np.cumsum(kept) - 1
+    pair_context = (pairs >> 32)[kept]
+    pairs_of = np.bincount(pair_context, minlength=len(contexts))
+    begin = np.cumsum(pairs_of) - pairs_of
+    p2 = ((1 - SHARE2) * counts / (totals[pairs >> 32] + MU2))[kept]
+    p3 = (1 - SHARE3) * triple_counts / (after_before[triple_before] + MU3)
+    there = after_before > 0
+    number = np.cumsum(there) - 1
+    rest = MU3 / (after_before[there] + MU3)
+    levels = {
+        "words": Level.build(pairs_of, (pairs & 0xFFFFFFFF)[kept]),
+        "befores": Level.build(np.bincount((befores >> 32)[there], minlength=len(contexts)), (befores & 0xFFFFFFFF)[there]),
+        "triples": Level.build(np.bincount(number[triple_before], minlength=int(there.sum())), place[triple_pair] - begin[pairs[triple_pair] >> 32]),
+    }
+    plain = {"totals": totals, "p2": log_codes(p2), "rest": np.round(rest * 254).astype(np.uint8), "p3": log_codes(p3)}
+    return Trie(EliasFano.build(contexts), levels, plain), types
+
+
+def log_codes(p):
+    """8-bit codes of probabilities, finer towards 1; 0 is absent."""
+    import numpy as np
+
+    x = np.minimum(-np.log10(np.where(p > 0, p, 1.0)) / DEPTH, 1)
+    return np.where(p > 0, np.round((ABSENT - 1) * np.sqrt(x)), ABSENT).astype(np.uint8)
+
+
+def of_codes():
+    """What the 256 codes stand for."""
     import numpy as np
-    import zstandard
 
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int.from_bytes(raw[:4], "little")
-    v, c, many = np.frombuffer(raw, np.uint64, n, 4), np.frombuffer(raw, np.uint32, n, 4 + 8 * n), np.frombuffer(raw, np.uint32, n, 4 + 12 * n)
-    at = 4 + 16 * n
-    m = (len(raw) - at) // 8
-    return v, c.astype(np.int64), many.astype(np.int64), np.frombuffer(raw, np.uint32, m, at).astype(np.int64), np.frombuffer(raw, np.uint32, m, at + 4 * m).astype(np.int64)
+    return np.append(10.0 ** (-DEPTH * (np.arange(ABSENT) / (ABSENT - 1)) ** 2), 0.0)
 
 
-def _serve(requests: DataFrame, folder: str, mu: float) -> DataFrame:
-    """(block, shard, salt, types, answer): training counts of the contexts asked for, codes of the bigrams, the code book."""
+def _serve(requests: DataFrame, folder: str, learn: bool, keep: bool) -> DataFrame:
+    """(block, shard, types, answer): counts of the contexts asked for, and the codes of their n-grams."""
 
     def run(key, table):
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        from .elias_fano import Trie
-
-        shard, salt = (k.as_py() for k in key)
-        asked = [_unpack(b) for b in table["blob"].to_pylist()]
-        contexts, back = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        totals = np.bincount(back, np.concatenate([a[1] for a in asked]), len(contexts)).astype(np.int64)
-        pairs = np.repeat(back.astype(np.int64), np.concatenate([a[2] for a in asked])) << 32 | np.concatenate([a[3] for a in asked])
-        counts = np.concatenate([a[4] for a in asked])
-        pairs, counts = pairs[counts > 0], counts[counts > 0]
-        distinct, which = np.unique(pairs, return_inverse=True)
-        counts = np.bincount(which, counts, len(distinct))
-        starts = np.searchsorted(distinct >> 32, np.arange(len(contexts) + 1))
-        log_p = np.log10((1 - SHARE) * counts / (totals[distinct >> 32] + mu)) if len(distinct) else np.zeros(0)
-        name = f"trie-{shard}-{salt}"
-        del pairs, which
-        _write_trie(folder, name, Trie.build(contexts, starts, distinct & 0xFFFFFFFF, log_p))
+        shard = key[0].as_py()
+        asked = [Request(b) for b in table["blob"].to_pylist()]
+        types = 0
+        if learn:
+            trie, types = build_trie(asked)
+            name = f"trie-{shard:07d}" if keep else f"trie-{shard:07d}-{uuid.uuid4().hex}"  # of this try alone
+            _write_trie(folder, name, trie)
+            del trie
+        else:
+            name = f"trie-{shard:07d}"
         trie = _map_trie(folder, name)
-        types = int(((totals > 0) & (contexts != BEGIN)).sum()) if salt == 0 else 0
+        if not keep:
+            fs, root = file_system(folder)
+            fs.delete_file(f"{root}/{name}")  # what is mapped stays readable
         zstd = zstandard.ZstdCompressor(level=1)
         answers = []
-        for v, _, many, words, _ in asked:
-            codes = trie.find(v, many, words)
-            found = totals[np.searchsorted(contexts, v)].astype(np.uint32)
-            answers.append(zstd.compress(found.tobytes() + np.where(codes < 0, ABSENT, codes).astype(np.uint8).tobytes()))
+        for a in asked:
+            if trie is None:
+                found = np.zeros(len(a.ids), np.int64), *(np.full(len(x), ABSENT, np.uint8) for x in (a.words, a.befores, a.places))
+            else:
+                found = trie.find(a.ids, a.many_pairs, a.words, a.many_befores, a.befores, a.many_triples, a.places)
+            answers.append(zstd.compress(b"".join(x.tobytes() for x in found)))
         n = len(answers)
-        return pa.table({"block": table["block"], "shard": pa.array([shard] * n, pa.int64()), "salt": pa.array([salt] * n, pa.int64()), "types": pa.array([types] + [0] * (n - 1), pa.int64()), "book": pa.array([np.asarray(trie.book, np.float32).tobytes()] * n, pa.binary()), "answer": pa.array(answers, pa.binary())})
+        return pa.table({"block": table["block"], "shard": pa.array([shard] * n, pa.int64()), "types": pa.array([types] + [0] * (n - 1), pa.int64()), "answer": pa.array(answers, pa.binary())})
 
-    return requests.groupBy("shard", "salt").applyInArrow(run, "block string, shard long, salt long, types long, book binary, answer binary")
+    return requests.groupBy("shard").applyInArrow(run, "block string, shard long, types long, answer binary")
 
 
 def _write_trie(folder: str, name: str, trie) -> None:
     """One raw file: a header of names, types and sizes, then the arrays, each at a multiple of 64 bytes."""
     import json
-    import uuid
 
     import numpy as np
 
-    fs, root = file_system(folder)
     arrays = {k: np.ascontiguousarray(v) for k, v in trie.arrays().items()}
     head = json.dumps([[k, v.dtype.str, len(v)] for k, v in arrays.items()]).encode()
-    temp = f"{root}/{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as out:
-        out.write(len(head).to_bytes(8, "little") + head)
-        at = 8 + len(head)
-        for v in arrays.values():
-            out.write(b"\0" * (-at % 64) + v.tobytes())
-            at += -at % 64 + v.nbytes
-    fs.move(temp, f"{root}/{name}.trie")
+    out = [len(head).to_bytes(8, "little") + head]
+    at = len(out[0])
+    for v in arrays.values():
+        out.append(b"\0" * (-at % 64) + v.tobytes())
+        at += len(out[-1])
+    _write(folder, name, b"".join(out))
 
 
 def _map_trie(folder: str, name: str):
-    """The trie over a memory map of its file; in a store that cannot be mapped, over its bytes."""
+    """The trie over a memory map of its file; in a store that cannot be mapped, over its bytes. None if there is none."""
     import json
     import mmap
 
@@ -230,11 +401,14 @@ def _map_trie(folder: str, name: str):
     from .elias_fano import Trie
 
     fs, root = file_system(folder)
+    path = f"{root}/{name}"
+    if fs.get_file_info(path).type != pafs.FileType.File:
+        return None
     if isinstance(fs, pafs.LocalFileSystem):
-        with open(f"{root}/{name}.trie", "rb") as f:
+        with open(path, "rb") as f:
             data = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
     else:
-        with fs.open_input_file(f"{root}/{name}.trie") as f:
+        with fs.open_input_file(path) as f:
             data = f.read()
     n = int.from_bytes(data[:8], "little")
     arrays, at = {}, 8 + n
@@ -245,68 +419,77 @@ def _map_trie(folder: str, name: str):
     return Trie.load(arrays)
 
 
-def _scores(answers: DataFrame, folder: str, heavy, n_shards: int, total: int, types: int, mu: float) -> DataFrame:
+def _scores(answers: DataFrame, folder: str, dealt, n_shards: int, total: int, types: int) -> DataFrame:
     def run(key, table):
         import numpy as np
         import pyarrow as pa
         import zstandard
 
-        block = _load(folder, key[0].as_py())
-        v, w, which, _, _ = _bigrams(block)
-        pair_shard, entry_shards, salt = _route(block, v, w, heavy, n_shards)
-        width = len(block["vocabulary"])
-        order = np.lexsort((w, v, salt, pair_shard))
-        keys = pair_shard[order] * SALTS + salt[order]
-        log_alpha = np.full(len(v), -np.inf)
-        counts = np.zeros(width, np.int64)
-        by_salt = []
-        for shards, has in entry_shards:
-            entries = np.flatnonzero(has)
-            by_shard = entries[np.argsort(shards[entries], kind="stable")]
-            by_salt.append((by_shard, shards[by_shard]))
+        g = Grams(_load(folder, key[0].as_py()), dealt)
+        counts = np.zeros(len(g.ids), np.int64)
+        codes = [np.full(len(x), ABSENT, np.uint8) for x in (g.pair_context, g.before_context, g.triple_before)]
+        blobs = dict(zip(table["shard"].to_pylist(), table["answer"].to_pylist(), strict=True))
         zstd = zstandard.ZstdDecompressor()
-        for shard, s, book, answer in zip(*(table[c].to_pylist() for c in ("shard", "salt", "book", "answer")), strict=True):
-            by_shard, in_order = by_salt[s]
-            mine = by_shard[slice(*np.searchsorted(in_order, [shard, shard + 1]))]
-            raw = zstd.decompress(answer)
-            counts[mine] = np.frombuffer(raw, np.uint32, len(mine))
-            a, b = np.searchsorted(keys, [shard * SALTS + s, shard * SALTS + s + 1])
-            codes = np.frombuffer(raw, np.uint8, b - a, 4 * len(mine))
-            values = np.concatenate([np.frombuffer(book, np.float32), np.full(256 - len(book) // 4, -np.inf)])
-            log_alpha[order[a:b]] = values[codes]
-        of_word = np.where(block["vocabulary"] == BEGIN, 0, counts)
-        base = np.log10((of_word + 1) / (total + 1 * (types + 1)))
-        p = 10.0**log_alpha + (mu + SHARE * counts[v]) / (counts[v] + mu) * 10.0 ** base[w]
-        tokens, starts = block["tokens"], np.concatenate([[0], np.cumsum(block["sizes"])[:-1]])
-        sums = [np.add.reduceat(x, starts) for x in (base[tokens], np.log10(p)[which], (of_word[tokens] > 0).astype(np.int64))]
-        return pa.table({"doc_id": pa.array(block["ids"], pa.int64(), mask=~block["there"]), "held_out": pa.array(~block["train"]), "n_tokens": pa.array(block["sizes"], pa.int64()), "n_known": sums[2], "train_tokens": pa.array([total] * len(starts), pa.int64()), "base_score": sums[0], "score": sums[1]})
-
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.groupBy("block").applyInArrow(run, schema)
-
-
-def score_texts(docs: DataFrame, parts: int = 7, which: int = 2, mu: float = MU) -> DataFrame:
+        for shard, contexts, *lists, _, _ in g.by_shard(n_shards):
+            raw = zstd.decompress(blobs[shard])
+            counts[contexts] = np.frombuffer(raw, np.int64, len(contexts))
+            at = 8 * len(contexts)
+            for code, some in zip(codes, lists, strict=True):
+                code[some] = np.frombuffer(raw, np.uint8, len(some), at)
+                at += len(some)
+        values = of_codes()
+        left = np.append(np.arange(ABSENT) / 254.0, 1.0)
+        vocabulary, tokens, one = g.block["vocabulary"], g.block["tokens"], g.one
+        of_word = np.where(vocabulary == BEGIN, 0, counts[: len(vocabulary)])
+        as_context = np.where(g.is_dealt, g.totals, of_word)
+        base = np.log10((of_word + 1) / (total + types + 1))
+        c = as_context[one]
+        p2 = values[codes[0]][g.pair] + (MU2 + SHARE2 * c) / (c + MU2) * 10.0 ** base[tokens]
+        rest = left[codes[1]][g.before]
+        p3 = values[codes[2]][g.triple] + (SHARE3 * (1 - rest) + rest) * p2
+        starts = np.concatenate([[0], np.cumsum(g.block["sizes"])[:-1]])
+        sums = [np.add.reduceat(x, starts) for x in (base[tokens], np.log10(p3), (of_word[tokens] > 0).astype(np.int64))]
+        return pa.table({"doc_id": pa.array(g.block["ids"], pa.int64(), mask=~g.block["there"]), "held_out": pa.array(g.block["held_out"]), "n_tokens": pa.array(g.block["sizes"], pa.int64()), "n_known": sums[2], "train_tokens": pa.array([total] * len(starts), pa.int64()), "base_score": sums[0], "score": sums[1]})
+
+    return answers.groupBy("block").applyInArrow(run, SCHEMA)
+
+
+def score_texts(docs: DataFrame, parts: int = 7, which: int = 2, keep: str | None = None, model: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per row of docs (doc_id, text).
 
     Training texts are those whose crc32(doc_id as text) mod `parts` is not `which`; a null doc_id is a training text.
     Tokens are runs without ASCII white space, A-Z lower-cased, then one end; null counts as empty and has the end alone.
-    base_score sums log10((c + 1) / (N + V + 1)) over the tokens, score log10 p of the bigram model. Repeated rows are
-    texts of their own. No training text: c, N and V are 0. Empty table: no rows.
+    base_score sums log10((c + 1) / (N + V + 1)) over the tokens, score log10 p of the model. Repeated rows are texts of
+    their own. No training text: c, N and V are 0. Empty table: no rows. A text of any length is scored whole.
+
+    keep: URI of a folder, shared by driver and executors, in which the tries stay. model: such a folder; then nothing is
+    learned, and docs are scored with the counts that were.
     """
+    import json
+
     import numpy as np
 
     spark = docs.sparkSession
     ship(spark)
     folder = new_folder(spark, "lm")
-    blocks = stored(_blocks(docs, folder, parts, which), "lm-blocks")
+    blocks = stored(_blocks(docs, folder, parts, which, model is None), "lm-blocks")
     sums = blocks.agg(F.sum("tokens").alias("tokens"), F.sum("train_tokens").alias("total"), F.count("*").alias("n")).first()
-    if not sums["n"]:
-        return spark.createDataFrame([], "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    n_shards = int(sums["tokens"]) // SHARD_TOKENS + 4
-    # Words that are heavy in some block, and of those the heaviest over all: at most 16 / HEAVY_SHARE come here.
-    found = blocks.select(F.explode("heavy").alias("h")).groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(int(16 / HEAVY_SHARE)).collect()
-    heavy = np.unique(np.array([BEGIN, *(r["h"] for r in found)], np.int64).astype(np.uint64))
-    blocks = blocks.select("block").repartition(min(int(sums["n"]), 10_000), "block")
-    answers = stored(_serve(_requests(blocks, folder, heavy, n_shards), folder, mu), "lm-answers")
-    types = answers.agg(F.sum("types")).first()[0]
-    return _scores(answers.drop("types"), folder, heavy, n_shards, int(sums["total"]), int(types), mu)
+    n = int(sums["n"])
+    if model is not None:
+        fs, root = file_system(model)
+        with fs.open_input_file(f"{root}/model.json") as source:
+            known = json.loads(source.read())
+        dealt = tuple(np.array(known[k], kind) for k, kind in (("heavy", np.uint64), ("counts", np.int64), ("parts", np.int64)))
+        n_shards, total, types = known["n_shards"], known["total"], known["types"]
+    elif n:
+        dealt, n_shards, total = _dealt(blocks, folder), int(sums["tokens"]) // SHARD_TOKENS + 4, int(sums["total"])
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    blocks = blocks.select("block").repartition(min(n, 10_000), "block")
+    answers = stored(_serve(_requests(blocks, folder, dealt, n_shards), model or keep or folder, model is None, bool(model or keep)), "lm-answers")
+    if model is None:
+        types = int(answers.agg(F.sum("types")).first()[0])
+    if keep is not None and model is None:
+        state = {"heavy": dealt[0].tolist(), "counts": dealt[1].tolist(), "parts": dealt[2].tolist(), "n_shards": n_shards, "total": total, "types": types}
+        _write(keep, "model.json", json.dumps(state).encode())
+    return _scores(answers.drop("types"), folder, dealt, n_shards, total, types)
