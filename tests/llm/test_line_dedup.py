@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tracewell.llm import line_dedup
+from tracewell.llm import common, line_dedup
 
 
 def brute(rows, min_words):
@@ -32,7 +32,10 @@ def brute(rows, min_words):
 
 
 @pytest.mark.parametrize("parts", [1, 7])
-def test_against_brute_force(spark, parts):
+def test_against_brute_force(spark, parts, monkeypatch):
+    if parts == 7:  # very common lines, pairs and texts
+        monkeypatch.setattr(common, "HOT_ROWS", 2)
+        monkeypatch.setattr(common, "HOT_KEYS", 10**9)
     rng = random.Random(parts)
     vocabulary = ["a b c", "a", "", "long line of words here", "x y", "common line one two"]
     docs = []
@@ -65,3 +68,13 @@ def test_repeated_rows_nulls_and_empty(spark):
     assert [(r.doc_id, r.n_removed) for r in got if r.n_removed == 0] == [(None, 0)]
     assert sorted(r.text for r in got) == ["", "", text]
     assert line_dedup.dedup_lines(frame.where("false")).collect() == []
+
+
+def test_very_long_texts(spark):
+    run = "\n".join(f"a line of the run {i}" for i in range(20_000))
+    texts = [run, "own line\n" + run + "\nlast one of its own", "w " * 200_000, "start\n" + "w " * 200_000, "same old line again here\n" * 30_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(frame).collect()}
+    assert [got[d].n_removed for d in range(5)] == [0, 20_000, 0, 1, 29_999]
+    assert got[1].text == "own line\nlast one of its own" and got[3].text == "start" and got[0].text == run
+    assert got[4].text == "same old line again here\n"

@@ -3,6 +3,7 @@
 All lines get one global position, in the order of doc_id; copies of whole texts are settled by their hashes. Lines that occur once can be in no repeat, so the suffix array
 holds the others; a suffix ends where its stretch of them, or its document, ends. Each doubling joins every suffix with
 the rank of the one 2^k lines on, counts equal pairs, and ranks them by a global running sum over a range-sorted table.
+Whatever is very common (a line, a pair of ranks, a whole text) meets its rows by broadcast, not in one task.
 Neighbours in the finished array are compared with the ranks of all rounds, which gives the longest common prefixes.
 In the intervals these span, each suffix needs the nearest neighbour with a smaller position on either side: the longer
 of the two common prefixes is the longest run that starts there and occurred before. Parts of the array are scanned in
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, steady, stored
+from .common import join_counted, ship, steady, stored
 
 MIN_WORDS = 5
 #: Bits of a position that number the lines of a document; the others number documents.
@@ -38,8 +39,8 @@ def _later_copies(docs: DataFrame) -> DataFrame:
     """row_key of rows whose whole text an earlier row has, by two 64-bit hashes: all they hold occurred before."""
     marks = docs.where(F.length("text") > 0).select("doc_id", "row_key", F.xxhash64(F.lit(1), "text").alias("a"), F.xxhash64(F.lit(2), "text").alias("b"))
     marks = stored(marks, "line-texts")
-    first = marks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return stored(marks.join(first, ["a", "b"]).where(F.col("row_key") != F.col("first.row_key")).select("row_key"), "line-copies")
+    first = stored(marks.groupBy("a", "b").agg(F.min(F.struct("doc_id", "row_key")).alias("first"), F.count("*").alias("n")).where("n > 1"), "line-firsts")
+    return stored(join_counted(marks, first, ["a", "b"]).where(F.col("row_key") != F.col("first.row_key")).select("row_key"), "line-copies")
 
 
 def _line_table(docs: DataFrame, copies: DataFrame) -> DataFrame:
@@ -75,8 +76,8 @@ def suffix_array(lines: DataFrame) -> DataFrame:
     ranks[k] orders suffixes by their first 2^k lines; rem is the number of lines up to the suffix's end.
     """
     twice = stored(lines.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "line-classes")
-    first = running_sum(twice, ["h"], "n", "line-ranks").select("h", F.col("before").alias("rank"))
-    live = lines.join(first, "h").select("row_key", "pos", "rank")
+    first = stored(running_sum(twice, ["h"], "n", "line-ranks").select("h", "n", F.col("before").alias("rank")), "line-ranks")
+    live = join_counted(lines, first, ["h"]).select("row_key", "pos", "rank")
     stretch = Window.partitionBy("row_key").orderBy("pos")
     live = live.withColumn("stretch", F.col("pos") - F.row_number().over(stretch))
     last = Window.partitionBy("row_key", "stretch")
@@ -86,11 +87,11 @@ def suffix_array(lines: DataFrame) -> DataFrame:
         after = live.select((F.col("pos") - h).alias("pos"), F.col("ranks")[F.size("ranks") - 1].alias("second"))
         both = live.withColumn("first", F.col("ranks")[F.size("ranks") - 1]).join(after, "pos", "left").withColumn("second", F.when(F.col("rem") > h, F.col("second")).otherwise(-1))
         both = stored(both, "line-pairs")
-        pairs = stored(running_sum(both.groupBy("first", "second").agg(F.count("*").alias("n")), ["first", "second"], "n", "line-order").select("first", "second", F.col("before").alias("rank")), "line-named")
+        pairs = stored(running_sum(both.groupBy("first", "second").agg(F.count("*").alias("n")), ["first", "second"], "n", "line-order").select("first", "second", "n", F.col("before").alias("rank")), "line-named")
         now = pairs.count()
         if now == classes:
             return live
-        live = stored(both.join(pairs, ["first", "second"]).select("pos", "rem", F.array_append("ranks", F.col("rank")).alias("ranks")), "line-suffixes")
+        live = stored(join_counted(both, pairs, ["first", "second"]).select("pos", "rem", F.array_append("ranks", F.col("rank")).alias("ranks")), "line-suffixes")
         classes, h = now, 2 * h
     return live
 
