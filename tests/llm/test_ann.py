@@ -27,6 +27,9 @@ def recall(got, want):
 @pytest.mark.parametrize("shard_rows", [ann.SHARD_ROWS, 400])
 def test_recall_against_brute_force(spark, monkeypatch, shard_rows):
     monkeypatch.setattr(ann, "SHARD_ROWS", shard_rows)
+    if shard_rows == 400:
+        monkeypatch.setattr(ann, "SEEN_BYTES", 2000)
+        monkeypatch.setattr(ann, "BLOCK_ROWS", 8)
     rng = np.random.default_rng(4)
     centers = rng.standard_normal((10, 24))
     rows = [(i, (centers[i % 10] + 0.7 * rng.standard_normal(24)).tolist()) for i in range(1500)]
@@ -49,3 +52,16 @@ def test_few_rows(spark):
     frame = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(frame).collect()] == [(50, 1, 51, 0.0)]
     assert ann.nearest(frame.where("false")).collect() == []
+
+
+def test_recall_over_several_shards_of_hard_vectors(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SHARD_ROWS", 4000)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((12_000, 32)).astype(np.float32)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    got = ann.nearest(frame, every=50).collect()
+    unit = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1)[:, None]
+    near = unit[::50] @ unit.T
+    near[np.arange(240), np.arange(0, 12_000, 50)] = -2
+    want = {50 * i: set(np.argsort(-row)[:5].tolist()) for i, row in enumerate(near)}
+    assert sum(r.vec_id in want[r.query_id] for r in got) / 1200 >= 0.95 and len(got) == 1200

@@ -3,8 +3,9 @@
 Equal vectors are one node that keeps its k + 1 smallest ids, so copies cost nothing and ties come out right. Nodes go to
 shards of about SHARD_ROWS by a hash. A shard's graph is built by inserting nodes in batches: a greedy search from the
 medoid proposes neighbours, and pruning with a relaxed distance (ALPHA) keeps a diverse few; edges back are pruned the
-same way. Each index is one file in the shared folder. Queries are packed into blocks, also files; a task takes one
-(shard, block) pair, and the best k of every pair are merged. Scores are computed in double precision from the original
+same way. Each index is one file in the shared folder. Queries are packed into blocks, also files; a task takes
+(shard, block) pairs, one shard's in a row, and the best k of every pair are merged. A query visits a few thousand nodes
+of a shard, however many it holds, so shards are as large as a task builds in about a minute. Scores are computed in double precision from the original
 vectors.
 """
 
@@ -16,47 +17,62 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, ship, stored
+from .common import file_system, new_folder, publish, ship, stored
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 1024
-DEGREE, BEAM, ALPHA, BATCH = 32, 64, 1.2, 512
-SEARCH_BEAM = 96
+SHARD_ROWS, BLOCK_ROWS = 1 << 15, 1024
+#: Bytes of the marks of visited nodes that a search holds at once.
+SEEN_BYTES = 1 << 26
+DEGREE, BEAM, ALPHA, BATCH = 40, 80, 1.2, 512
+SEARCH_BEAM = 128
 
 
 def beam_search(x, graph, start: int, q, beam: int):
-    """(ids, distances) of the `beam` nearest nodes found for each row of q, by distance; unused places: -1 and infinity."""
+    """(ids, distances) of the `beam` nearest nodes found for each row of q, by distance; unused places: -1 and infinity.
+
+    x and q are unit vectors. Queries are taken in parts, so that the marks of visited nodes fit SEEN_BYTES whatever the
+    number of nodes.
+    """
+    import numpy as np
+
+    step = max(1, SEEN_BYTES // max(1, len(x)))
+    parts = [_search_part(x, graph, start, q[i : i + step], beam) for i in range(0, max(1, len(q)), step)]
+    return tuple(np.concatenate(p) for p in zip(*parts, strict=True))
+
+
+def _search_part(x, graph, start: int, q, beam: int):
     import numpy as np
 
     n_q = len(q)
     ids = np.full((n_q, beam), -1, np.int64)
     dist = np.full((n_q, beam), np.inf, np.float32)
-    done = np.ones((n_q, beam), bool)
-    ids[:, 0], dist[:, 0], done[:, 0] = start, ((q - x[start]) ** 2).sum(axis=1), False
+    todo = np.full((n_q, beam), np.inf, np.float32)  # distances of nodes that are not expanded yet
+    ids[:, 0], dist[:, 0] = start, 2 - 2 * (q @ x[start])
+    todo[:, 0] = dist[:, 0]
     seen = np.zeros((n_q, len(x)), bool)
     seen[:, start] = True
     active = np.arange(n_q)
     while len(active):
-        open_ = ~done[active]
-        has = open_.any(axis=1)
-        active, open_ = active[has], open_[has]
+        at = todo[active].argmin(axis=1)
+        has = todo[active, at] < np.inf
+        active, at = active[has], at[has]
         if not len(active):
             break
-        at = open_.argmax(axis=1)
         node = ids[active, at]
-        done[active, at] = True
+        todo[active, at] = np.inf
         near = graph[node].astype(np.int64)
         bad = near < 0
         near[bad] = start  # seen from the outset
         bad |= seen[active[:, None], near]
-        seen[active[:, None], near] |= ~bad
-        d = ((x[near] - q[active][:, None, :]) ** 2).sum(axis=2)
+        seen[active[:, None], near] = True
+        d = 2 - 2 * np.einsum("qkd,qd->qk", x[near], q[active])
         d[bad] = np.inf
         all_d = np.concatenate([dist[active], d], axis=1)
-        order = np.argsort(all_d, axis=1, kind="stable")[:, :beam]
-        dist[active] = np.take_along_axis(all_d, order, 1)
-        ids[active] = np.take_along_axis(np.concatenate([ids[active], np.where(bad, -1, near)], axis=1), order, 1)
-        done[active] = np.take_along_axis(np.concatenate([done[active], bad], axis=1), order, 1)
-    return ids, dist
+        best = np.argpartition(all_d, beam - 1, axis=1)[:, :beam]
+        dist[active] = np.take_along_axis(all_d, best, 1)
+        ids[active] = np.take_along_axis(np.concatenate([ids[active], np.where(bad, -1, near)], axis=1), best, 1)
+        todo[active] = np.take_along_axis(np.concatenate([todo[active], d], axis=1), best, 1)
+    order = np.argsort(dist, axis=1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
 def robust_prune(x, points, candidates, degree: int, alpha: float):
@@ -105,10 +121,17 @@ def build_graph(x, degree: int = DEGREE, beam: int = BEAM, alpha: float = ALPHA,
         graph[points] = robust_prune(x, points, found, degree, alpha)
         source = np.repeat(points, degree)
         target = graph[points].ravel()
-        source, target = source[target >= 0], target[target >= 0]
+        new = (target >= 0) & ~(graph[target] == source[:, None]).any(axis=1)
+        source, target = source[new], target[new]
         by = np.argsort(target, kind="stable")
         source, target = source[by], target[by]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
+        had = (graph[nodes] >= 0).sum(axis=1)  # lists have no gaps
+        room = np.repeat(had + count <= degree, count)
+        place = np.repeat(had - first, count) + np.arange(len(target))
+        graph[target[room], place[room]] = source[room]
+        full = had + count > degree  # only lists that overflow are pruned
+        nodes, first, count = nodes[full], first[full], count[full]
         for lo in range(0, len(nodes), BATCH):
             some = slice(lo, lo + BATCH)
             width = int(count[some].max())
@@ -147,8 +170,8 @@ def _save(folder: str, name: str, **arrays) -> None:
     np.savez(data, **arrays)
     temp = f"{root}/{name}.{uuid.uuid4().hex}"
     with fs.open_output_stream(temp) as out:
-        out.write(data.getvalue())
-    fs.move(temp, f"{root}/{name}")
+        out.write(data.getbuffer())
+    publish(fs, temp, f"{root}/{name}")
 
 
 def _load(folder: str, name: str) -> dict:
@@ -221,11 +244,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = SEARCH_
         return pa.table({"dim": pa.array([d], pa.int32()), "block": [block]})
 
     packed = queries.groupBy("dim", "block").applyInArrow(pack, "dim int, block long").collect()
-    pairs = [(d, r["shard"], b["block"]) for d in sorted(by_dim) for r in built if r["dim"] == d for b in packed if b["dim"] == d]
     schema = "query_id long, vec_id long, score double"
-    if not pairs:
+    # A row for each shard and each block came back; their pairs are numbered here and made where they are worked on.
+    plan, n_pairs = [], 0
+    for d in sorted(by_dim):
+        mine, blocks = sorted(r["shard"] for r in built if r["dim"] == d), sorted(b["block"] for b in packed if b["dim"] == d)
+        plan.append((n_pairs, d, mine, blocks))
+        n_pairs += len(mine) * len(blocks)
+    if not n_pairs:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    shared = spark.sparkContext.broadcast(sorted(pairs))  # names of files only
+    shared = spark.sparkContext.broadcast(plan)  # as many names as there are shards and blocks
 
     def search(batches):
         import numpy as np
@@ -234,13 +262,14 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, beam: int = SEARCH_
         held, index = None, None
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                d, shard, block = shared.value[i]
+                first, d, mine, blocks = next(p for p in reversed(shared.value) if p[0] <= i and p[2] and p[3])
+                shard, block = mine[(i - first) // len(blocks)], blocks[(i - first) % len(blocks)]
                 if held != (d, shard):
                     held, index = (d, shard), _load(folder, f"index-{d}-{shard}.npz")
                 q = _load(folder, f"queries-{d}-{block}.npz")
                 a, b, c = search_shard(index, q["vectors"].astype(np.float64), q["ids"], k, beam)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["query_id", "vec_id", "score"])
 
-    found = spark.range(0, len(pairs), 1, min(len(pairs), 10_000)).mapInArrow(search, schema)
+    found = spark.range(0, n_pairs, 1, min(n_pairs, 10_000)).mapInArrow(search, schema)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
