@@ -82,10 +82,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
+def steady_scan(df: DataFrame) -> bool:
+    """Whether df is a plain scan of files, projected and filtered at most: its rows come in the same order and partitions whenever it is read."""
+    todo, scans = [df._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() not in ("Project", "Filter", "LogicalRelation", "SubqueryAlias") and not node.nodeName().startswith("Relation"):
+            return False
+        scans += not node.children().size()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return scans == 1 and df._jdf.queryExecution().optimizedPlan().deterministic() and bool(df.inputFiles())
+
+
 def steady(df: DataFrame, name: str) -> DataFrame:
     """df if it is a plain scan of files, whose rows keep their numbers whenever it is read; else a stored copy of it."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return df if "FileScan" in plan and "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan else stored(df, name)
+    return df if steady_scan(df) else stored(df, name)
 
 
 def join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,6 +114,20 @@ def join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
     return rest.unionByName(left.join(F.broadcast(hot), keys))
 
 
+def slices(batch, column: int, rows: int = 1024, size: int = 8 << 20):
+    """Slices of an Arrow batch with up to `rows` rows and `size` bytes of the texts in a column; a longer text is alone."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        done = int(upto[at - 1]) if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, done + size, "right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def publish(fs, temp: str, name: str) -> None:
     """Gives a finished file its name. Where another try of the task was first, its file stays: both hold the same."""
     from pyarrow.fs import FileType

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ship, stored
+from .common import ship, slices, stored
 from .quality_fm import held_out
 
 UNKNOWN = "und"
@@ -226,9 +226,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            found = [shared.value.predict(t) for t in batch.column(1).to_pylist()]
-            lang, score, accepted = zip(*found, strict=True) if found else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
+            for part in slices(batch, 1, 4096):
+                lang, score, accepted = zip(*map(shared.value.predict, part.column(1).to_pylist()), strict=True)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())], names=["doc_id", "lang_pred", "score", "accepted"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, accepted boolean")
 

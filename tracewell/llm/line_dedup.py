@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_counted, ship, steady, stored
+from .common import join_counted, ship, slices, steady, stored
 
 MIN_WORDS = 5
 #: Bits of a position that number the lines of a document; the others number documents.
@@ -53,8 +53,7 @@ def _line_table(docs: DataFrame, copies: DataFrame) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 keys, numbers, hashes = [], [], []
                 for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     lines = _lines(text)

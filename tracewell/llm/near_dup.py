@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, ship, space_words, stored
+from .common import join_counted, ship, slices, space_words, stored
 from .line_dedup import running_sum
 
 SHINGLE = 5
@@ -96,8 +96,7 @@ def _sketches(docs: DataFrame, side: int, half: int) -> DataFrame:
         import xxhash
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in slices(batch, 1):
                 sizes, digests, keys = [], [], []
                 for text in part.column(1).to_pylist():
                     s = shingle_set(text)
@@ -163,8 +162,7 @@ def _lone_shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, 1, 256):
                 sets = [shingle_set(t) for t in part.column(1).to_pylist()]
                 reps = np.repeat(part.column(0).to_numpy(), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).astype(np.int64))], names=["rep", "h"])

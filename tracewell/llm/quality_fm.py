@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, slices
 
 #: Buckets of hashed words; statistics follow them.
 WORD_BITS = 16
@@ -189,8 +189,7 @@ def score(docs: DataFrame, model: FactorisationMachine, name: str = "score") ->
         import pyarrow as pa
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in slices(batch, column, 256):
                 s = shared.value.score([features(t) for t in part.column(column).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64())], names=names)
 

@@ -18,13 +18,15 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, ship
+from .common import file_system, new_folder, publish, ship, slices, steady_scan
 
 SKIPPABLE, SEEKABLE, CHECKED = 0x184D2A5E, 0x8F92EAB1, 128
 FRAME_IDS = 1 << 20
 #: Words that a worker remembers; those met later are encoded each time they come in a batch.
 CACHE_WORDS = 1_200_000
 READ_BYTES = 4 << 20
+#: Bytes of input files that a shard is made of, at most about; small inputs have as many shards as the session has partitions.
+SHARD_BYTES = 128 << 20
 
 
 def tokenizer_path() -> str:
@@ -204,8 +206,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
         encoder = _encoder(path)
         tail = end_id.to_bytes(int(encoder.dtype[-1]), "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in slices(batch, 1, 512):
                 if writer is None:
                     out = fs.open_output_stream(temp)
                     writer = ShardWriter(out, encoder.dtype)
@@ -215,11 +216,14 @@ def write_token_files(docs: DataFrame, folder: str | None = None, tokenizer: str
         if writer is not None:
             writer.close()
             out.close()
-            fs.move(temp, name)
+            publish(fs, temp, name)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [name], "n_docs": [n], "n_ids": [writer.n_ids]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
-    rows = rows.repartitionByRange(F.col("doc_id"), F.col("h")).sortWithinPartitions("doc_id", "h")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if steady_scan(docs):  # the size of files is known without reading them
+        n = max(n, int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) // SHARD_BYTES + 1)
+    rows = rows.repartitionByRange(n, F.col("doc_id"), F.col("h")).sortWithinPartitions("doc_id", "h")
     made = rows.select("doc_id", "text").mapInArrow(write, "shard long, path string, n_docs long, n_ids long").collect()  # a row for each shard
     return folder, [(r["path"], r["n_docs"], r["n_ids"]) for r in sorted(made, key=lambda r: r["shard"])]
 
