@@ -1,11 +1,14 @@
 """Elias-Fano sequences and an n-gram trie of three orders over them, in flat arrays that can be memory-mapped.
 
 A non-decreasing sequence of n integers below u keeps floor(log2(u / n)) low bits of each packed, and the high parts as
-unary gaps in a bit vector: about 2 + log2(u / n) bits each. All operations take arrays of queries.
+unary gaps in a bit vector: about 2 + log2(u / n) bits each. All operations take arrays of queries; what selects bits is
+expanded from the mapped words when a sequence is first asked, and lives as long as its reader.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 U1 = np.uint64(1)
@@ -13,19 +16,10 @@ U1 = np.uint64(1)
 ABSENT = 255
 
 
-def _select(words, directory, k):
-    """Place of the k-th (from 0) set bit; directory: set bits before each 64-bit word."""
-    at = np.searchsorted(directory, k, "right") - 1
-    rest = (k - directory[at]).astype(np.uint64)
-    word, place = words[at].copy(), np.zeros(len(k), np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & np.uint64((1 << width) - 1)).astype(np.uint64)
-        up = rest >= low
-        rest -= np.where(up, low, np.uint64(0))
-        step = np.where(up, np.uint64(width), np.uint64(0))
-        place += step
-        word >>= step
-    return at.astype(np.int64) * 64 + place.astype(np.int64)
+def _places(words, bit: int):
+    """Places of the bits that are `bit`, in order."""
+    places = np.flatnonzero(np.unpackbits(words.view(np.uint8), bitorder="little") == bit)
+    return places.astype(np.int32) if len(words) < 1 << 25 else places
 
 
 class EliasFano:
@@ -36,10 +30,7 @@ class EliasFano:
     def __init__(self, head, low, high):
         self.head, self.low, self.high = head, low, high
         self.n, self.bits = int(head[0]), int(head[1])
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.concatenate([[0], np.cumsum(ones)])[:-1]
-        self.zeros = np.arange(len(high), dtype=np.int64) * 64 - self.ones
-        self.buckets = len(high) * 64 - int(ones.sum())
+        self.buckets = len(high) * 64 - self.n
 
     @classmethod
     def build(cls, values) -> EliasFano:
@@ -69,6 +60,15 @@ class EliasFano:
     def load(cls, arrays: dict, prefix: str) -> EliasFano:
         return cls(*(arrays[f"{prefix}_{k}"] for k in cls.NAMES))
 
+    @cached_property
+    def ones(self):
+        """Select of set bits, expanded from the map when first asked for."""
+        return _places(self.high, 1)
+
+    @cached_property
+    def zeros(self):
+        return _places(self.high, 0)
+
     def _low(self, i):
         if not self.bits:
             return np.zeros(len(i), np.uint64)
@@ -81,7 +81,7 @@ class EliasFano:
     def access(self, i):
         """Values at indices i."""
         i = np.asarray(i, np.int64)
-        high = (_select(self.high, self.ones, i) - i).astype(np.uint64)
+        high = (self.ones[i] - i).astype(np.uint64)
         return (high << np.uint64(self.bits)) | self._low(i)
 
     def successor(self, x):
@@ -92,9 +92,9 @@ class EliasFano:
         equal = np.zeros(len(x), bool)
         rows = np.flatnonzero(bucket < self.buckets - 1)
         b = bucket[rows]
-        begin, end = np.zeros(len(rows), np.int64), _select(~self.high, self.zeros, b) - b
+        begin, end = np.zeros(len(rows), np.int64), self.zeros[b] - b
         inner = b > 0
-        begin[inner] = _select(~self.high, self.zeros, b[inner] - 1) - (b[inner] - 1)
+        begin[inner] = self.zeros[b[inner] - 1] - (b[inner] - 1)
         want = x[rows] & np.uint64((1 << self.bits) - 1)
         lo, hi = begin.copy(), np.minimum(end, self.n)
         begin = hi.copy()

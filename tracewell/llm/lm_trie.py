@@ -17,6 +17,7 @@ count asks for. Words are 64-bit hashes; inside a context, they are told apart b
 
 from __future__ import annotations
 
+import gc
 import io
 import uuid
 import zlib
@@ -27,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import file_system, new_folder, publish, ship, space_words, stored
 
 MU2, SHARE2, MU3, SHARE3 = 16.0, 0.5, 1.0, 0.2
-BLOCK_TOKENS, SHARD_TOKENS = 2_000_000, 1_500_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
+#: Shards are served in so many rounds, so that only a part of all requests is on disk at once.
+ROUNDS = 2
 #: A word with more than this share of a block's tokens anywhere may be dealt out, in parts of about PART_TOKENS; there are MOST_HEAVY of them at most.
 HEAVY_SHARE, PART_TOKENS, MOST_HEAVY = 1 / 256, 200_000, 4096
 END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set, parts of dealt-out words do not
@@ -102,7 +105,7 @@ def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -
             counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(vocabulary))
             counts[np.searchsorted(vocabulary, BEGIN)] = train.sum()
             name = f"block-{task:07d}-{k:05d}"
-            _save(folder, name, vocabulary=vocabulary, tokens=tokens, sizes=sizes, train=train, held_out=held_out, ids=ids, there=there)
+            _save(folder, name, tokens=tokens, sizes=sizes, train=train, held_out=held_out, ids=ids, there=there)
             _save(folder, f"{name}-words", vocabulary=vocabulary, counts=counts)
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(tokens)], pa.int64()), pa.array([int(sizes[train].sum())], pa.int64()), pa.array([heavy.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["block", "tokens", "train_tokens", "heavy"])
 
@@ -227,8 +230,8 @@ def _ranges(starts, sizes):
     return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def _requests(blocks: DataFrame, folder: str, dealt, n_shards: int) -> DataFrame:
-    """(shard, block, blob) rows: what a block asks of a shard, with its counts."""
+def _requests(blocks: DataFrame, folder: str, dealt, n_shards: int, turn: int) -> DataFrame:
+    """(shard, block, blob) rows: what a block asks of a shard of this round, with its counts."""
 
     def run(batches):
         import numpy as np
@@ -238,14 +241,16 @@ def _requests(blocks: DataFrame, folder: str, dealt, n_shards: int) -> DataFrame
         zstd = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                g = Grams(_load(folder, name), dealt)
-                totals = np.concatenate([_load(folder, f"{name}-words")["counts"], g.total_of_extra])
+                g = Grams(_load(folder, name) | _load(folder, f"{name}-words"), dealt)
+                totals = np.concatenate([g.block["counts"], g.total_of_extra])
                 first, begins = np.searchsorted(g.pair_context, np.arange(len(g.ids))), np.zeros(len(g.ids), np.int64)
                 pair_counts, triple_counts = g.counts()
                 low = (g.block["vocabulary"] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 triples_of = np.bincount(g.triple_before, minlength=len(g.before_context))
                 out = {"shard": [], "block": [], "blob": []}
                 for shard, contexts, pairs, befores, triples, pairs_of, befores_of in g.by_shard(n_shards):
+                    if shard % ROUNDS != turn:
+                        continue
                     begins[contexts] = np.cumsum(pairs_of[contexts]) - pairs_of[contexts]
                     place = g.triple_pair[triples]
                     own = g.pair_context[place]
@@ -425,7 +430,8 @@ def _scores(answers: DataFrame, folder: str, dealt, n_shards: int, total: int, t
         import pyarrow as pa
         import zstandard
 
-        g = Grams(_load(folder, key[0].as_py()), dealt)
+        name = key[0].as_py()
+        g = Grams(_load(folder, name) | _load(folder, f"{name}-words"), dealt)
         counts = np.zeros(len(g.ids), np.int64)
         codes = [np.full(len(x), ABSENT, np.uint8) for x in (g.pair_context, g.before_context, g.triple_before)]
         blobs = dict(zip(table["shard"].to_pylist(), table["answer"].to_pylist(), strict=True))
@@ -486,7 +492,12 @@ def score_texts(docs: DataFrame, parts: int = 7, which: int = 2, keep: str | Non
     if not n:
         return spark.createDataFrame([], SCHEMA)
     blocks = blocks.select("block").repartition(min(n, 10_000), "block")
-    answers = stored(_serve(_requests(blocks, folder, dealt, n_shards), model or keep or folder, model is None, bool(model or keep)), "lm-answers")
+    answers = None
+    for turn in range(ROUNDS):
+        made = stored(_serve(_requests(blocks, folder, dealt, n_shards, turn), model or keep or folder, model is None, bool(model or keep)), "lm-answers")
+        answers = made if answers is None else answers.unionByName(made)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round
     if model is None:
         types = int(answers.agg(F.sum("types")).first()[0])
     if keep is not None and model is None:
