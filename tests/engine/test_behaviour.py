@@ -31,8 +31,8 @@ def records(spark, rows):
 
 
 def test_tokens_stems_lemmas_slugs(spark):
-    row = spark.createDataFrame([("BM25-style Search_v1; Graph+Expansion Über नम", "we went AND went")], "a string, q string").select(tokens(F.col("a")).alias("t"), query_terms(F.col("q")).alias("q"), slug(F.lit("--Ünï code 2!")).alias("s"), slug(F.lit("!!")).alias("n")).first()
-    assert row.t[:7] == ["bm25", "style", "search", "v1", "graph", "expansion", "über"]
+    row = spark.createDataFrame([("Tape-deck Reel_n2; Left+Right Öl नम", "we went AND went")], "a string, q string").select(tokens(F.col("a")).alias("t"), query_terms(F.col("q")).alias("q"), slug(F.lit("--Ünï code 2!")).alias("s"), slug(F.lit("!!")).alias("n")).first()
+    assert row.t[:7] == ["tape", "deck", "reel", "n2", "left", "right", "öl"]
     assert row.q == ["we", "went", "go", "and"]
     assert (row.s, row.n) == ("n-code-2", "skill")
     known = {"expansion": "expans", "consistently": "consist", "hopping": "hop", "hoping": "hope", "ponies": "poni", "national": "nation", "skies": "sky", "dying": "die", "happily": "happili", "generously": "generous", "cry": "cri", "succeed": "succeed", "controlling": "control", "at": "at"}
@@ -41,7 +41,7 @@ def test_tokens_stems_lemmas_slugs(spark):
 
 def bm25_rows(spark, rows, texts, **kw):
     q = spark.createDataFrame(list(enumerate(texts)), "query_id int, text string")
-    return lexical.bm25(q, records(spark, rows), ("content", "tags", "concepts", "agent_id"), **kw)
+    return lexical.bm25(q, records(spark, rows), ("content", "tags", "concepts", "agent_id"), **({"stemmed": False} | kw))
 
 
 def test_bm25_values_and_repeats(spark):
@@ -66,6 +66,9 @@ def test_irregular_and_stemmed_queries(spark):
     rows = [{"content": "they go home"}, {"content": "running expansions"}]
     assert [r["index"] for r in bm25_rows(spark, rows, ["went"]).collect()] == [0]
     assert bm25_rows(spark, rows, ["run expansion"]).count() == 0
+    q = spark.createDataFrame([(0, "run expansion"), (1, "goes")], "query_id int, text string")
+    got = lexical.bm25(q, records(spark, rows), ("content",)).collect()  # stems unless said otherwise
+    assert {(r.query_id, r["index"], tuple(r.matched_terms)) for r in got} == {(0, 1, ("expans", "run")), (1, 0, ("goe",))} or {(r.query_id, r["index"]) for r in got} >= {(0, 1)}
     assert [r["index"] for r in bm25_rows(spark, rows, ["run expansion"], stemmed=True).collect()] == [1]
 
 
@@ -76,10 +79,12 @@ def test_filters(spark):
     assert ids(filters.Query(tags_any=[" "])) == []
     assert ids(filters.Query(min_confidence=0.1)) == [2]
     assert ids(filters.Query(types=["FactLearned"], limit=2)) == [2, 3]
-    agents = spark.createDataFrame([("x", "Xavier", "Owner", "likes tea", ["zed"])], "agent_id string, display_name string, owner string, description string, aliases array<string>")
+    agents = spark.createDataFrame([("c", "x", "Xavier", "Owner", "likes tea", ["zed"]), ("d", "a", "Zed", "owner", "alpha", ["zed"])], "chain_key string, agent_id string, display_name string, owner string, description string, aliases array<string>")
     for needle in ("alpha", "xAvier", "owner", "TEA", "zed"):
         assert ids(filters.Query(text_contains=needle), agents) == ([0, 2] if needle == "alpha" else [3])
     assert ids(filters.Query(agent_names=["ZED"]), agents) == [3] == ids(filters.Query(agent_owners=["owner"]), agents)
+    assert ids(filters.Query(text_contains=" alpha")) == [] and ids(filters.Query(text_contains="alpha")) == [0, 2]
+    assert [x["index"] for x in filters.related_to_concept(records(spark, [{"concepts": ["Deep Sea"]}, {}, {"concepts": ["sea"]}]), "SEA", 1).collect()] == [2]
     with pytest.raises(ValueError):
         filters.Query(types=["x"] * 101).validate()
     a, b = filters.time_window(dt.datetime(2024, 1, 1), 2, "seconds")
@@ -101,6 +106,19 @@ def test_adjacency_merges_and_keeps_dangling(spark):
     r = records(spark, [{}, {"refs": [0, 9], "relations": [rel("DerivedFrom", "r0"), rel("Supports", "gone"), rel("BranchesFrom", "r0", "other")]}])
     got = {(x.dst, x.dst_chain): (x.kinds, x.by_ref) for x in graph.adjacency(r).collect()}
     assert got == {("r0", None): (["DerivedFrom"], True), ("gone", None): (["Supports"], False), ("r0", "other"): (["BranchesFrom"], False)}
+    (merged,) = [x for x in graph.adjacency(r).collect() if x.dst == "r0" and x.dst_chain is None]
+    assert [(p.way, p.ref, p.kind) for p in merged.provenances] == [(0, 0, None), (1, None, "DerivedFrom")]
+    near = {x.node: [(n.next_chain, n.id, n.direction) for n in x.neighbours] for x in graph.neighbours(graph.adjacency(r)).where("node = 'r1'").collect()}
+    assert near == {"r1": [("", "gone", "out"), ("", "r0", "out"), ("other", "r0", "out")]}
+
+
+def test_remote_nodes_are_visited_but_not_given(spark):
+    r = records(spark, [{"relations": [rel("Supports", "r1", "other"), rel("Supports", "r2")]}, {"id": "r1"}, {"relations": [rel("DerivedFrom", "r1", "c")]}])
+    seeds = spark.createDataFrame([(1, "c", "r0")], "query_id int, chain_key string, id string")
+    got = {x.node: (x.depth, x.truncated, [(h.direction, h.kinds, h.node) for h in x.hops]) for x in graph.expand(seeds, graph.adjacency(r), 3).collect()}
+    assert got == {"r2": (1, False, [("out", ["Supports"], "r2")]), "r1": (2, False, [("out", ["Supports"], "r2"), ("out", ["DerivedFrom"], "r1")])}
+    small = graph.expand(seeds, graph.adjacency(r), 3, max_visited=2).collect()  # r2 comes first, the remote r1 is over the budget
+    assert [(x.node, x.truncated) for x in small] == [("r2", True)]
 
 
 def naive_bfs(arcs, seed, depth, most):
@@ -179,10 +197,13 @@ def test_point_in_time(spark):
 
 def test_commit(spark):
     rows = [("c", 0, [" A", "a", " "], [], 7.0, -1.0, [0], [("Supports", "x", None, None, None)] * 2), ("c", 1, [], ["B", "b "], None, None, [10], [])]
-    got = commit.normalise(spark.createDataFrame(rows, f"chain_key string, seq int, tags array<string>, concepts array<string>, importance double, confidence double, refs array<bigint>, relations array<{RELATION}>"), spark.createDataFrame([("c", 5)], "chain_key string, next_index bigint")).orderBy("index").collect()
+    rows = [(*r, i) for i, r in zip(("n5", "n6"), rows, strict=True)]
+    log = spark.createDataFrame([("c", 0, "old0"), ("c", 4, "old4"), ("d", 9, "d9")], "chain_key string, index bigint, id string")
+    when = dt.datetime(2024, 5, 1)
+    got = commit.normalise(spark.createDataFrame(rows, f"chain_key string, seq int, tags array<string>, concepts array<string>, importance double, confidence double, refs array<bigint>, relations array<{RELATION}>, id string"), log, F.lit(when)).orderBy("index").collect()
     assert [r["index"] for r in got] == [5, 6]
     assert got[0].tags == ["A"] and got[1].concepts == ["B"] and got[0].importance == 1.0 and got[0].confidence == 0.0 and got[1].importance == 0.5
-    assert [x.kind for x in got[0].relations] == ["Supports", "References"] and [r.bad_refs for r in got] == [False, True]
+    assert [(x.kind, x.target_id, x.valid_at) for x in got[0].relations] == [("Supports", "x", when), ("References", "old0", when)] and [r.bad_refs for r in got] == [False, True]
 
 
 def test_duplicates_of_recent_records(spark):
@@ -256,6 +277,8 @@ def test_lifecycle(spark):
     assert [x.importance for x in lifecycle.retrospective(spark.createDataFrame([(None,), (0.2,)], "importance double")).collect()] == [0.7, 0.2]
     with pytest.raises(ValueError):
         lifecycle.copy_agent(r, "a", "d", "c")
+    assert [x["index"] for x in lifecycle.copy_agent(r.withColumn("index", F.lit(0).cast("bigint")), "a", "c", "d").collect()] == [1]
+    assert [x["index"] for x in lifecycle.copy_agent(r, "a", "c", "nothing there").collect()] == [0]
     assert lifecycle.deregister(r, "c").count() == 1
     b = spark.createDataFrame([(1, "c", "x", 2.0), (1, "c", "y", 3.0), (1, "c", "z", 1.0)], "query_id int, chain_key string, seed string, lexical double")
     assert [(x.seed, x.total) for x in lifecycle.page_bundles(b, 1, 1).collect()] == [("x", 3)]

@@ -39,4 +39,4 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_others_run(spark, duck, name):
-    assert QUERIES[name](spark, DATA).columns
+    assert len(QUERIES[name](spark, DATA).collect()) > 0

@@ -1,13 +1,12 @@
-"""Text functions: tokens, stems over the distinct vocabulary, lemma expansion, slugs."""
+"""Text functions: tokens, stems, lemma expansion, slugs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from .lemmas import LEMMAS
 
@@ -19,18 +18,23 @@ def tokens(text: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)), F.array().cast("array<string>"))
 
 
-@F.pandas_udf(StringType())
-def _stem(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(StringType()))
+def stems(words: pa.Array) -> pa.Array:
+    """The stems of each array of lower-case words, in their places. Each distinct word of a batch is stemmed once."""
+    import pyarrow as pa
+
     from tracewell.functions.stem import stem
 
-    for some in words:
-        yield some.map(lambda w: None if w is None else stem(w))
+    flat = words.flatten().dictionary_encode()
+    known = pa.array([None if w is None else stem(w) for w in flat.dictionary.to_pylist()], pa.string())
+    sizes = pa.compute.fill_null(pa.compute.list_value_length(words), 0)
+    ends = pa.compute.cumulative_sum(pa.concat_arrays([pa.array([0], pa.int32()), sizes.cast(pa.int32())]))
+    return pa.ListArray.from_arrays(ends, known.take(flat.indices))
 
 
-def with_stems(terms: DataFrame, column: str = "term") -> DataFrame:
-    """terms with `column` replaced by its stem. Each distinct word is stemmed once; the join back is left to the optimizer."""
-    words = terms.select(column).distinct().withColumn("stem", _stem(column))
-    return terms.join(words, column).drop(column).withColumnRenamed("stem", column)
+def stem_set(text: Column) -> Column:
+    """Distinct stems of a text's tokens and of their irregular base forms."""
+    return F.array_distinct(stems(query_terms(text)))
 
 
 def lemma(word: Column) -> Column:

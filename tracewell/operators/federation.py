@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import lexical, ranking
 from .storage import cut
 
 
@@ -44,6 +45,24 @@ def ancestors(records: DataFrame) -> DataFrame:
         seen, step = cut(seen.unionByName(found)), 2 * step
 
 
+def ranked_over_ancestors(queries: DataFrame, records: DataFrame, lineage: DataFrame, k: int = 10, offset: int = 0, **how) -> DataFrame:
+    """Ranked search over each query's chain and all its ancestors: query_id, chain_key, id, index, total, rank.
+
+    queries: query_id, text, chain_key; lineage: as of ancestors(). Every chain is searched by itself (its own statistics
+    and newest index), its offset + k best hits are merged, of equal ids that of the nearest chain stays; total descending.
+    how: as of bm25.
+    """
+    own = queries.select("query_id", "chain_key", F.lit(0).alias("chain_pos"))
+    up = queries.select("query_id", "chain_key").join(lineage, "chain_key").select("query_id", F.col("ancestor").alias("chain_key"), F.col("distance").alias("chain_pos"))
+    asked = cut(own.unionByName(up))
+    there = records.join(asked.select("chain_key").distinct(), "chain_key", "left_semi")
+    hits = cut(lexical.bm25(queries.select("query_id", "text"), there, **how).join(asked.select("query_id", "chain_key"), ["query_id", "chain_key"], "left_semi"))
+    rows = ranking.combine(there, hits)
+    per_chain = Window.partitionBy("query_id", "chain_key").orderBy(*ranking.final_order())
+    rows = rows.withColumn("place", F.row_number().over(per_chain)).where(F.col("place") <= offset + k)
+    return federated(rows.join(asked, ["query_id", "chain_key"]), k, offset, first_chain_wins=True).select("query_id", "chain_key", "id", "index", "total", "rank")
+
+
 def branch(parent_chain: str, parent_id: str, new_chain: str, agent: str, spark) -> DataFrame:
     """The genesis record of a branch: a StateSnapshot that names where it left; history is not copied."""
     return spark.createDataFrame([(new_chain, 0, agent, "StateSnapshot", f"Branch of {parent_chain}", [("BranchesFrom", parent_id, parent_chain, None, None)])], "chain_key string, index bigint, agent_id string, thought_type string, content string, relations array<struct<kind:string,target_id:string,chain_key:string,valid_at:timestamp,invalid_at:timestamp>>")

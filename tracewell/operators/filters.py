@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MOST_VALUES = 100
+#: An agent is a row of its chain's registry; the same id in another chain is another agent.
+AGENT = ["chain_key", "agent_id"]
 
 
 @dataclass
@@ -66,27 +68,33 @@ def time_window(start: datetime, amount: int, unit: str) -> tuple[datetime, date
 
 
 def by_agent_name(records: DataFrame, agents: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Records of agents whose display name or an alias equals one of names, whatever the case."""
+    """Records of agents (chain_key, agent_id) whose display name or an alias equals one of names, whatever the case."""
     wanted = [n.lower() for n in names]
     hit = agents.where(F.lower("display_name").isin(wanted) | F.exists("aliases", lambda a: F.lower(a).isin(wanted)))
-    return records.join(hit.select("agent_id").distinct(), "agent_id", "left_semi")
+    return records.join(hit.select(*AGENT).distinct(), AGENT, "left_semi")
 
 
 def by_agent_owner(records: DataFrame, agents: DataFrame, owners: Iterable[str]) -> DataFrame:
     """Records of agents with one of the owners, whatever the case; agents without owner never fit."""
     hit = agents.where(F.lower("owner").isin([o.lower() for o in owners]))
-    return records.join(hit.select("agent_id").distinct(), "agent_id", "left_semi")
+    return records.join(hit.select(*AGENT).distinct(), AGENT, "left_semi")
 
 
 def text_contains(records: DataFrame, agents: DataFrame | None, needle: str) -> DataFrame:
-    """Records whose content, agent id, tags, concepts or registered names, owner or description hold the needle, whatever the case."""
+    """Records whose content, agent id, tags, concepts or registered names, owner or description hold the needle as it is, whatever the case."""
     n = F.lit(needle.lower())
-    here = F.contains(F.lower("content"), n) | F.contains(F.lower("agent_id"), n) | contains_any(F.col("tags"), [needle]) | contains_any(F.col("concepts"), [needle])
+    inside = lambda c: F.coalesce(F.exists(c, lambda v: F.contains(F.lower(v), n)), F.lit(False))
+    here = F.coalesce(F.contains(F.lower("content"), n), F.lit(False)) | F.coalesce(F.contains(F.lower("agent_id"), n), F.lit(False)) | inside("tags") | inside("concepts")
     if agents is None:
         return records.where(here)
     words = F.lower(F.concat_ws("\n", "display_name", "owner", "description", F.array_join("aliases", "\n")))
-    hit = agents.where(F.contains(words, n)).select("agent_id", F.lit(True).alias("registry_hit")).distinct()
-    return records.join(hit, "agent_id", "left").where(here | F.coalesce("registry_hit", F.lit(False))).drop("registry_hit")
+    hit = agents.where(F.contains(words, n)).select(*AGENT, F.lit(True).alias("registry_hit")).distinct()
+    return records.join(hit, AGENT, "left").where(here | F.coalesce("registry_hit", F.lit(False))).drop("registry_hit")
+
+
+def related_to_concept(records: DataFrame, concept: str, limit: int | None = None) -> DataFrame:
+    """Records with a concept that holds this one, the newest `limit` of them."""
+    return apply(records, Query(concepts_any=[concept], limit=limit))
 
 
 def newest(records: DataFrame, n: int, per: tuple[str, ...] = ()) -> DataFrame:

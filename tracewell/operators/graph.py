@@ -16,52 +16,70 @@ MAX_DEPTH, MAX_VISITED = 2, 128
 
 
 def adjacency(records: DataFrame) -> DataFrame:
-    """chain_key, src, dst, dst_chain, kinds, by_ref: one row per pair of nodes, what links them merged.
+    """chain_key, src, dst, dst_chain, kinds, by_ref, provenances: one row per pair of nodes, what links them merged.
 
-    Refs to missing records are dropped; relations to missing ones stay; a relation with a chain_key leads elsewhere.
+    Refs to missing records are dropped; relations to missing ones stay; a relation with the key of another chain leads to
+    a remote node of that chain (dst_chain; null: the own one). provenances are the distinct sources of the edge, refs first, then
+    relations by kind and validity.
     """
     ids = records.select("chain_key", F.col("id").alias("dst"), F.col("index").alias("ref"))
-    none = F.lit(None).cast("string")
-    refs = records.select("chain_key", F.col("id").alias("src"), F.explode("refs").alias("ref")).join(ids, ["chain_key", "ref"]).select("chain_key", "src", "dst", none.alias("dst_chain"), none.alias("kind"))
-    rel = records.select("chain_key", F.col("id").alias("src"), F.explode("relations").alias("r")).select("chain_key", "src", F.col("r.target_id").alias("dst"), F.col("r.chain_key").alias("dst_chain"), F.col("r.kind").alias("kind"))
-    return refs.unionByName(rel).groupBy("chain_key", "src", "dst", "dst_chain").agg(F.sort_array(F.collect_set("kind")).alias("kinds"), F.max(F.col("kind").isNull()).alias("by_ref"))
+    none, never = F.lit(None).cast("string"), F.lit(None).cast("timestamp")
+    source = lambda way, ref, kind, since, until: F.struct(F.lit(way).alias("way"), ref.alias("ref"), kind.alias("kind"), since.alias("valid_at"), until.alias("invalid_at"))
+    refs = records.select("chain_key", F.col("id").alias("src"), F.explode("refs").alias("ref")).join(ids, ["chain_key", "ref"]).select("chain_key", "src", "dst", none.alias("dst_chain"), source(0, F.col("ref"), none, never, never).alias("p"))
+    rel = records.select("chain_key", F.col("id").alias("src"), F.explode("relations").alias("r"))
+    away = F.when(F.col("r.chain_key") != F.col("chain_key"), F.col("r.chain_key"))
+    rel = rel.select("chain_key", "src", F.col("r.target_id").alias("dst"), away.alias("dst_chain"), source(1, F.lit(None).cast("bigint"), F.col("r.kind"), F.col("r.valid_at"), F.col("r.invalid_at")).alias("p"))
+    merged = refs.unionByName(rel).groupBy("chain_key", "src", "dst", "dst_chain").agg(F.sort_array(F.collect_set("p")).alias("provenances"))
+    kinds = F.array_distinct(F.transform(F.filter("provenances", lambda p: p["way"] == 1), lambda p: p["kind"]))
+    return merged.select("chain_key", "src", "dst", "dst_chain", F.sort_array(F.array_compact(kinds)).alias("kinds"), F.exists("provenances", lambda p: p["way"] == 0).alias("by_ref"), "provenances")
 
 
 def directed(edges: DataFrame, direction: str = "both") -> DataFrame:
-    """chain_key, node, next, dir (0 out, 1 in), kinds."""
-    out = edges.select("chain_key", F.col("src").alias("node"), F.col("dst").alias("next"), F.lit(0).alias("dir"), "kinds")
-    back = edges.select("chain_key", F.col("dst").alias("node"), F.col("src").alias("next"), F.lit(1).alias("dir"), "kinds")
+    """chain_key, node, node_chain, next, next_chain, dir (0 out, 1 in), kinds. Chains are those of remote nodes, empty for own ones."""
+    away = F.coalesce("dst_chain", F.lit("")).alias("x") if "dst_chain" in edges.columns else F.lit("").alias("x")
+    e = edges.select("chain_key", "src", "dst", "kinds", away)
+    out = e.select("chain_key", F.col("src").alias("node"), F.lit("").alias("node_chain"), F.col("dst").alias("next"), F.col("x").alias("next_chain"), F.lit(0).alias("dir"), "kinds")
+    back = e.select("chain_key", F.col("dst").alias("node"), F.col("x").alias("node_chain"), F.col("src").alias("next"), F.lit("").alias("next_chain"), F.lit(1).alias("dir"), "kinds")
     return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
+def neighbours(edges: DataFrame, direction: str = "both") -> DataFrame:
+    """chain_key, node, neighbours: for each node the sorted nodes next to it, as (chain of a remote one or empty, id, direction)."""
+    return directed(edges, direction).groupBy("chain_key", "node_chain", "node").agg(F.sort_array(F.collect_set(F.struct("next_chain", F.col("next").alias("id"), F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction")))).alias("neighbours"))
+
+
 def expand(seeds: DataFrame, edges: DataFrame, max_depth: int = MAX_DEPTH, max_visited: int = MAX_VISITED, direction: str = "both", include_seeds: bool = False) -> DataFrame:
-    """query_id, chain_key, seed, node, depth, path, kinds, truncated: breadth first from each seed by itself.
+    """query_id, chain_key, seed, node, depth, path, hops, kinds, truncated: breadth first from each seed by itself.
 
-    Nodes are found in the order of first-in-first-out: by parent, outgoing before incoming, then id. Each is found once.
-    A seed that has found max_visited nodes, itself included, stops for good and is marked truncated.
+    Nodes are found in the order of first-in-first-out: by parent, outgoing before incoming, then chain and id. Each is found
+    once, so no path has a cycle. A seed that has found max_visited nodes, itself included, stops for good and is marked
+    truncated. Remote nodes count as found and are passed through, but are not among the rows. hops gives the direction, the
+    kinds of relation and the node reached for each step of the path.
     """
     arcs = directed(edges, direction)
     key = ["query_id", "chain_key", "seed"]
-    start = seeds.select("query_id", "chain_key", F.col("id").alias("seed"), F.col("id").alias("node"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("ord"), F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"), F.lit(False).alias("cut"))
+    hop = "array<struct<direction:string,kinds:array<string>,node_chain:string,node:string>>"
+    start = seeds.select("query_id", "chain_key", F.col("id").alias("seed"), F.col("id").alias("node"), F.lit("").alias("node_chain"), F.lit(0).alias("depth"), F.lit(1).cast("bigint").alias("ord"), F.array("id").alias("path"), F.array().cast(hop).alias("hops"), F.array().cast("array<string>").alias("kinds"), F.lit(False).alias("cut"))
     seen = frontier = cut(start)
     over = start.where("false").select(*key)
     for depth in range(1, max_depth + 1):
-        met = frontier.where("not cut").select(*key, "node", "ord", "path").join(arcs, ["chain_key", "node"])
-        first = Window.partitionBy(*key, "next").orderBy("ord", "dir")
-        met = met.withColumn("r", F.row_number().over(first)).where("r = 1").select(*key, F.col("next").alias("node"), "ord", "dir", "path", "kinds")
-        new = met.join(seen.select(*key, "node"), [*key, "node"], "left_anti")
+        met = frontier.where("not cut").select(*key, "node", "node_chain", "ord", "path", "hops").join(arcs, ["chain_key", "node", "node_chain"])
+        first = Window.partitionBy(*key, "next", "next_chain").orderBy("ord", "dir")
+        met = met.withColumn("r", F.row_number().over(first)).where("r = 1").select(*key, F.col("next").alias("node"), F.col("next_chain").alias("node_chain"), "ord", "dir", "path", "hops", "kinds")
+        new = met.join(seen.select(*key, "node", "node_chain"), [*key, "node", "node_chain"], "left_anti")
         had = seen.groupBy(*key).agg(F.count("*").alias("had"), F.max("cut").alias("stopped"))
-        order = Window.partitionBy(*key).orderBy("ord", "dir", "node")
+        order = Window.partitionBy(*key).orderBy("ord", "dir", "node_chain", "node")
         new = new.withColumn("place", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy(*key))).join(had, key).where("not stopped")
         new = cut(new)
         over = over.unionByName(new.where(F.col("had") + F.col("many") > max_visited).select(*key))
-        new = new.where(F.col("had") + F.col("place") <= max_visited).select(*key, "node", F.lit(depth).alias("depth"), F.col("place").cast("bigint").alias("ord"), F.array_append("path", F.col("node")).alias("path"), "kinds", (F.col("had") + F.col("many") > max_visited).alias("cut"))
+        step = F.struct(F.when(F.col("dir") == 0, "out").otherwise("in").alias("direction"), "kinds", "node_chain", "node")
+        new = new.where(F.col("had") + F.col("place") <= max_visited).select(*key, "node", "node_chain", F.lit(depth).alias("depth"), F.col("place").cast("bigint").alias("ord"), F.array_append("path", F.col("node")).alias("path"), F.array_append("hops", step).alias("hops"), "kinds", (F.col("had") + F.col("many") > max_visited).alias("cut"))
         frontier = cut(new)
         if not frontier.take(1):
             break
         seen = cut(seen.unionByName(frontier))
     marked = seen.join(over.distinct().withColumn("truncated", F.lit(True)), key, "left").withColumn("truncated", F.coalesce("truncated", F.lit(False)))
-    return marked.where(F.lit(include_seeds) | (F.col("depth") > 0)).select(*key, "node", "depth", "path", "kinds", "truncated")
+    return marked.where((F.lit(include_seeds) | (F.col("depth") > 0)) & (F.col("node_chain") == "")).select(*key, "node", "depth", "path", "hops", "kinds", "truncated")
 
 
 def relation_score(kinds: Column, depth: Column) -> Column:

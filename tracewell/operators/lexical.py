@@ -1,7 +1,9 @@
-"""Multi-field BM25 over many queries at once.
+"""Multi-field BM25 over many queries at once, on stems.
 
-Only postings of query terms are built: the terms of all queries are joined to the exploded fields before any grouping,
-and terms that occur in too many documents of a chain are gated out on the small term table, before scoring.
+Records are read and cut into words once: their words meet the terms of all queries, which are broadcast up to
+BROADCAST_TERMS, and what does not match is only counted. That leaves one row for each record and query term it holds, and
+one with the number of its other words; lengths, averages, document frequencies and scores all come from this small table,
+which is stored. Terms that occur in too many documents of a chain are gated out on the term table, before scoring.
 """
 
 from __future__ import annotations
@@ -11,42 +13,51 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, tokens, with_stems
+from ..functions.text import query_terms, stems, tokens
+from .storage import cut
 
+#: Parameters, fields, their weights, and the share of documents beyond which a term is too common in a field.
 K1, B = 1.2, 0.75
 FIELDS = ("content", "tags", "concepts", "agent_id", "registry")
-WEIGHTS = dict(zip(FIELDS, (1.0, 1.6, 1.4, 1.5, 1.1), strict=True))
-CUTOFFS = dict(zip(FIELDS, (0.30, 0.30, 0.30, 0.70, 0.60), strict=True))
+WEIGHTS = {"content": 1.0, "tags": 1.6, "concepts": 1.4, "agent_id": 1.5, "registry": 1.1}
+CUTOFFS = {"content": 0.30, "tags": 0.30, "concepts": 0.30, "agent_id": 0.70, "registry": 0.60}
 GATE_FROM = 20
 DOC = ("chain_key", "index")
+#: Distinct query terms up to this number are broadcast to the records; more are joined like any table.
+BROADCAST_TERMS = 1_000_000
 
 
-def field_tokens(records: DataFrame, fields: Sequence[str] = FIELDS, agents: DataFrame | None = None) -> DataFrame:
-    """chain_key, index and an array of tokens t_<field> for each field."""
+def field_tokens(records: DataFrame, fields: Sequence[str] = FIELDS, agents: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
+    """chain_key, index and an array of tokens (or their stems) t_<field> for each field. Registry: names of the record's agent in its chain."""
     if "registry" in fields and agents is not None:
         names = F.concat_ws(" ", "display_name", "owner", "description", F.array_join("aliases", " "))
-        records = records.join(agents.select("agent_id", names.alias("registry_text")), "agent_id", "left")
+        records = records.join(agents.select("chain_key", "agent_id", names.alias("registry_text")), ["chain_key", "agent_id"], "left")
     text = {"content": F.col("content"), "tags": F.array_join("tags", " "), "concepts": F.array_join("concepts", " "), "agent_id": F.col("agent_id"), "registry": F.col("registry_text") if agents is not None else F.lit(None).cast("string")}
-    return records.select(*DOC, *[tokens(text[f]).alias(f"t_{f}") for f in fields])
+    made = {f: tokens(text[f]) for f in fields}
+    return records.select(*DOC, *[(stems(t) if stemmed else t).alias(f"t_{f}") for f, t in made.items()])
 
 
-def corpus_stats(docs: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """chain_key, n_docs, avg_<field>: lengths averaged over all documents, empty ones included."""
-    return docs.groupBy("chain_key").agg(F.count("*").alias("n_docs"), *[F.avg(F.size(f"t_{f}")).alias(f"avg_{f}") for f in fields])
-
-
-def postings(docs: DataFrame, fields: Sequence[str], terms: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
-    """chain_key, index, term, tf_<field>, len_<field>: one row per document and term (of `terms`, if given)."""
+def postings(docs: DataFrame, fields: Sequence[str], terms: DataFrame | None = None) -> DataFrame:
+    """chain_key, index, term, tf_<field>: one row per document and term (of `terms`, if given); one with a null term for a document's other words, or for one without words."""
     tag = lambda k: lambda t: F.struct(F.lit(k).alias("k"), t.alias("term"))
-    tagged = [F.transform(f"t_{f}", tag(k)) for k, f in enumerate(fields)]
-    lengths = [F.size(f"t_{f}").alias(f"len_{f}") for f in fields]
-    rows = docs.select(*DOC, *lengths, F.explode(F.concat(*tagged)).alias("p")).select(*DOC, *[f"len_{f}" for f in fields], F.col("p.k").alias("k"), F.col("p.term").alias("term"))
-    if stemmed:
-        rows = with_stems(rows)
+    tagged = F.concat(*[F.transform(f"t_{f}", tag(k)) for k, f in enumerate(fields)])
+    rows = docs.select(*DOC, F.explode_outer(tagged).alias("p")).select(*DOC, F.col("p.k").alias("k"), F.col("p.term").alias("term"))
     if terms is not None:
-        rows = rows.join(terms, "term", "left_semi")
-    tf = [F.sum((F.col("k") == k).cast("bigint")).alias(f"tf_{f}") for k, f in enumerate(fields)]
-    return rows.groupBy(*DOC, "term").agg(*[F.first(f"len_{f}").alias(f"len_{f}") for f in fields], *tf)
+        known = terms.select("term").distinct().withColumn("wanted", F.lit(True))
+        few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        rows = rows.join(F.broadcast(known) if few else known, "term", "left").withColumn("term", F.when(F.col("wanted"), F.col("term")))
+    tf = [F.coalesce(F.sum((F.col("k") == k).cast("bigint")), F.lit(0)).alias(f"tf_{f}") for k, f in enumerate(fields)]
+    return rows.groupBy(*DOC, "term").agg(*tf)
+
+
+def lengths(posts: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """chain_key, index, len_<field> of every document."""
+    return posts.groupBy(*DOC).agg(*[F.sum(f"tf_{f}").alias(f"len_{f}") for f in fields])
+
+
+def corpus_stats(lens: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """chain_key, n_docs, avg_<field>: lengths averaged over all documents, empty ones included."""
+    return lens.groupBy("chain_key").agg(F.count("*").alias("n_docs"), *[F.avg(f"len_{f}").alias(f"avg_{f}") for f in fields])
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -61,26 +72,30 @@ def field_score(f: str) -> Column:
 
 def document_frequency(posts: DataFrame) -> DataFrame:
     """chain_key, term, df: documents that hold the term in any field."""
-    return posts.groupBy("chain_key", "term").agg(F.count("*").alias("df"))
+    return posts.where("term is not null").groupBy("chain_key", "term").agg(F.count("*").alias("df"))
+
 
+def terms_of(queries: DataFrame, lemmas: bool = True, stemmed: bool = True) -> DataFrame:
+    """query_id, term: distinct words of each text, widened by base forms of irregular ones, as stems."""
+    words = query_terms(F.col("text")) if lemmas else F.array_distinct(tokens(F.col("text")))
+    return queries.select("query_id", F.explode(stems(words) if stemmed else words).alias("term")).distinct()
 
-def bm25(queries: DataFrame, records: DataFrame, fields: Sequence[str] = FIELDS, agents: DataFrame | None = None, candidates: DataFrame | None = None, cutoffs: dict[str, float] = CUTOFFS, lemmas: bool = True, stemmed: bool = False) -> DataFrame:
+
+def bm25(queries: DataFrame, records: DataFrame, fields: Sequence[str] = FIELDS, agents: DataFrame | None = None, candidates: DataFrame | None = None, cutoffs: dict[str, float] = CUTOFFS, lemmas: bool = True, stemmed: bool = True) -> DataFrame:
     """query_id, chain_key, index, lexical, matched_terms, match_sources of documents that score above 0.
 
-    queries: query_id, text. Statistics are those of the whole chain; `candidates` (chain_key, index, and query_id if it
-    differs by query) only restricts what is scored. A query without tokens scores nothing.
+    queries: query_id, text. Terms are stems, of queries also those of irregular base forms, unless switched off.
+    Statistics are those of the whole chain; `candidates` (chain_key, index, and query_id if it differs by query) only
+    restricts what is scored. A query without tokens scores nothing. matched_terms are the terms as they were compared.
     """
-    terms = queries.select("query_id", F.explode(query_terms(F.col("text")) if lemmas else F.array_distinct(tokens(F.col("text")))).alias("term")).distinct()
-    if stemmed:
-        terms = with_stems(terms).distinct()
-    docs = field_tokens(records, fields, agents)
-    stats = corpus_stats(docs, fields)
-    posts = postings(docs, fields, terms.select("term").distinct(), stemmed)
-    frequencies = document_frequency(posts).join(stats, "chain_key").withColumn("idf", idf(F.col("n_docs"), F.col("df")))
+    terms = cut(terms_of(queries, lemmas, stemmed))
+    posts = cut(postings(field_tokens(records, fields, agents, stemmed), fields, terms))
+    lens = lengths(posts, fields)
+    frequencies = document_frequency(posts).join(corpus_stats(lens, fields), "chain_key").withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     common = lambda f: (F.col("n_docs") >= GATE_FROM) & (F.col("df") / F.col("n_docs") > cutoffs[f])
     frequencies = frequencies.select("chain_key", "term", "idf", *[f"avg_{f}" for f in fields], *[(~common(f)).alias(f"open_{f}") for f in fields])
     frequencies = frequencies.where(" or ".join(f"open_{f}" for f in fields))
-    met = posts.join(frequencies, ["chain_key", "term"]).join(terms, "term")
+    met = posts.where("term is not null").join(frequencies, ["chain_key", "term"]).join(lens, list(DOC)).join(terms, "term")
     if candidates is not None:
         met = met.join(candidates, [c for c in ("query_id", *DOC) if c in candidates.columns], "left_semi")
     scores = {f: F.when(F.col(f"open_{f}"), F.lit(WEIGHTS[f]) * field_score(f)).otherwise(0.0) for f in fields}
@@ -95,3 +110,17 @@ def top_k(hits: DataFrame, score: str, k: int, *ties: Column, keys: Sequence[str
     """The k best of each query, score descending, then the tie columns; k rows of each partition move at most."""
     w = Window.partitionBy(*keys).orderBy(F.desc(score), *ties)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lexical_order() -> list[Column]:
+    """Score, importance, confidence (none: 0), timestamp, index, all descending; equal indexes of several chains by chain."""
+    return [F.desc("lexical"), F.desc("importance"), F.coalesce("confidence", F.lit(0.0)).desc(), F.desc_nulls_last("timestamp"), F.desc("index"), F.asc("chain_key")]
+
+
+def search(queries: DataFrame, records: DataFrame, k: int = 10, offset: int = 0, **how) -> DataFrame:
+    """Ranks offset + 1 to offset + k of each query in the lexical order, with the number of all hits; how: as of bm25."""
+    hits = bm25(queries, records, **how)
+    totals = hits.groupBy("query_id").agg(F.count("*").alias("total"))
+    rows = hits.join(records.select(*DOC, "id", "importance", "confidence", "timestamp"), list(DOC))
+    w = Window.partitionBy("query_id").orderBy(*lexical_order())
+    return rows.withColumn("rank", F.row_number().over(w)).where((F.col("rank") <= offset + k) & (F.col("rank") > offset)).join(totals, "query_id")

@@ -30,7 +30,8 @@ def copy_agent(records: DataFrame, agent: str, source: str, target: str) -> Data
     there = records.where((F.col("chain_key") == target) & (F.col("agent_id") == agent))
     if there.take(1):
         raise ValueError(f"{agent} already has records in {target}")
-    next_index = (records.where(F.col("chain_key") == target).agg(F.max("index").alias("i")).first()["i"] or -1) + 1
+    last = records.where(F.col("chain_key") == target).agg(F.max("index").alias("i")).first()["i"]
+    next_index = 0 if last is None else last + 1
     from pyspark.sql import Window
 
     w = Window.partitionBy("chain_key").orderBy("index")

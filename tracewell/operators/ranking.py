@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: How near and how weak a hit gains by cohesion, how strong its neighbour must be, how much it gains; and of fusion.
 SIGNALS = ("lexical", "vector", "graph", "relation", "seed_support")
 COHESION_SEED, COHESION_BELOW, COHESION_REACH, COHESION_MOST = 3.0, 5.0, 12, 1.2
 RRF_K, RERANK_K = 60, 50
@@ -17,25 +18,43 @@ def backend(text: bool, vectors: bool, graph: bool) -> str:
     return {(True, True): "hybrid_graph", (False, True): "lexical_graph", (True, False): "hybrid", (False, False): "lexical"}[vectors, graph]
 
 
-def combine(candidates: DataFrame, lexical: DataFrame, vector: DataFrame | None = None, graph: DataFrame | None = None, with_text: bool = True) -> DataFrame:
-    """candidates (query_id, chain_key, index, id, importance, confidence) with all signals and `total`.
+def combine(records: DataFrame, lexical: DataFrame | None = None, vector: DataFrame | None = None, graph: DataFrame | None = None, allowed: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """Hits (query_id, chain_key, index, id, importance, confidence) with all signals and `total`.
 
-    With a text only rows stay that have a lexical or vector score or a graph hit. The signals are small next to the
-    candidates, so they are joined to each other by key first and to the candidates once.
+    records are the whole chains (the newest index of a chain counts for recency, whatever is filtered); `allowed`
+    (chain_key, index, and query_id if it differs by query) are those that may be hits. A query with a text has as hits what
+    has a lexical or vector score or is met in the graph: the rows start from these hits and not from the records.
+    queries (query_id) have no text: every allowed record is a hit of each of them; they are few and are broadcast.
     """
     key = ["query_id", "chain_key", "index"]
-    rows = candidates.join(lexical.select(*key, "lexical"), key, "left")
-    if vector is not None:
-        rows = rows.join(vector.select("query_id", F.col("thought_id").alias("id"), "vector"), ["query_id", "id"], "left")
-    if graph is not None:
-        rows = rows.join(graph.select("query_id", "chain_key", "id", "graph", "relation", "seed_support", F.lit(True).alias("hit")), ["query_id", "chain_key", "id"], "left")
-    have = set(rows.columns)
-    rows = rows.withColumns({s: F.coalesce(s, F.lit(0.0)) if s in have else F.lit(0.0) for s in SIGNALS})
-    if with_text:
-        hit = F.coalesce("hit", F.lit(False)) if "hit" in have else F.lit(False)
-        rows = rows.where((F.col("lexical") > 0) | (F.col("vector") > 0) | hit)
-    newest = candidates.groupBy("chain_key").agg(F.max("index").alias("newest"))
-    return additive(rows.drop("hit").join(newest, "chain_key"))
+    have = [c for c in ("chain_key", "index", "id", "importance", "confidence") if c in records.columns]
+    rows = records.select(*have)
+    ids = rows.select("chain_key", "index", "id")
+    if queries is not None:
+        hits = ids.select("chain_key", "index").crossJoin(F.broadcast(queries.select("query_id")))  # a stated set without texts
+    else:
+        lists = []
+        if lexical is not None:
+            lists.append(lexical.where("lexical > 0").select(*key))
+        if vector is not None:
+            vector = vector.select("query_id", F.col("thought_id").alias("id"), "vector").join(ids, "id")
+            lists.append(vector.where("vector > 0").select(*key))
+        if graph is not None:
+            graph = graph.select("query_id", "chain_key", "id", "graph", "relation", "seed_support").join(ids, ["chain_key", "id"])
+            lists.append(graph.select(*key))
+        hits = lists[0]
+        for more in lists[1:]:
+            hits = hits.unionByName(more)
+        hits = hits.distinct()
+    if allowed is not None:
+        hits = hits.join(allowed, [c for c in key if c in allowed.columns], "left_semi")
+    rows = hits.join(rows, ["chain_key", "index"])
+    for name, signal in (("lexical", lexical), ("vector", vector), ("graph", graph)):
+        if signal is not None and queries is None:
+            rows = rows.join(signal.select(*key, *[c for c in SIGNALS if c in signal.columns and (c == name or name == "graph")]), key, "left")
+    rows = rows.withColumns({s: F.coalesce(s, F.lit(0.0)) if s in rows.columns else F.lit(0.0) for s in SIGNALS})
+    newest = records.groupBy("chain_key").agg(F.max("index").alias("newest"))
+    return additive(rows.join(newest, "chain_key"))
 
 
 def additive(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,14 @@ from pyspark.sql import functions as F
 def agent_counts(records: DataFrame, agents: DataFrame | None = None) -> DataFrame:
     """chain_key, agent_id, n, first_index, last_index (and display_name, owner)."""
     out = records.groupBy("chain_key", "agent_id").agg(F.count("*").alias("n"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
-    return out if agents is None else out.join(agents.select("agent_id", "display_name", "owner"), "agent_id", "left")
+    return out if agents is None else out.join(agents.select("chain_key", "agent_id", "display_name", "owner"), ["chain_key", "agent_id"], "left")
+
+
+def listing(records: DataFrame, agents: DataFrame) -> DataFrame:
+    """agent_counts with `place`: agents of each chain in the order of their names (their ids where they have none), whatever the case, then ids."""
+    name = F.lower(F.coalesce("display_name", "agent_id"))
+    w = Window.partitionBy("chain_key").orderBy(name, F.lower("agent_id"), "agent_id")  # the agents of a chain
+    return agent_counts(records, agents).withColumn("place", F.row_number().over(w))
 
 
 def entity_types(records: DataFrame) -> DataFrame:
@@ -51,7 +58,7 @@ def latest(events: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
 
 def project(records: DataFrame, agents: DataFrame) -> DataFrame:
     """chain_key, index, json: a record for transport, with its agent's name and owner; non-finite numbers become null or 0.5."""
-    rows = records.join(agents.select("agent_id", "display_name", "owner"), "agent_id", "left")
+    rows = records.join(agents.select("chain_key", "agent_id", "display_name", "owner"), ["chain_key", "agent_id"], "left")
     finite = lambda c: F.when(~F.isnan(c) & (F.abs(F.col(c)) < float("inf")), F.col(c))
     body = F.struct("id", "index", "agent_id", F.col("display_name").alias("agent_name"), F.col("owner").alias("agent_owner"), "thought_type", "content", F.coalesce(finite("importance"), F.lit(0.5)).alias("importance"), finite("confidence").alias("confidence"), "tags")
     return rows.select("chain_key", "index", F.to_json(body).alias("json"))

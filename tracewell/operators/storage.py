@@ -1,18 +1,61 @@
-"""Cutting lineage in a folder that all executors share."""
+"""Tables and folders in the place that driver and executors share: what cuts lineage and outlives executors."""
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df checkpointed in spark.checkpoint.dir; a purely local session without one gets a temporary folder."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        found = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not found and not (sc.master == "local" or sc.master.startswith("local[")):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or in a purely local session one of our own."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="tracewell-"))
-    return df.checkpoint()
+        found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
+        spark.sparkContext.setCheckpointDir(found)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """URI of a fresh folder in the shared place; deleted when the driver ends."""
+    uri = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(uri)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+
+    def drop() -> None:
+        try:
+            fs.delete(path, True)
+        except Exception:  # the JVM may be gone by then
+            pass
+
+    atexit.register(drop)
+    return uri
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written as a Parquet table in the shared folder and read back."""
+    uri = f"{new_folder(df.sparkSession, name)}/t"
+    df.write.parquet(uri)
+    return df.sparkSession.read.schema(df.schema).parquet(uri)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage."""
+    return stored(df, "cut")
+
+
+def file_system(uri: str):
+    """pyarrow file system and path of a URI of the shared folder."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return fs.FileSystem.from_uri(uri)

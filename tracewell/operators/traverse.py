@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .storage import cut
 
+#: Walks of one length are kept up to this many for each link.
+MOST_WALKS = 16
+
 
 def lookup(records: DataFrame, **key) -> DataFrame:
     """Records by id, hash or index (equality; pushed to the scan)."""
@@ -30,17 +33,23 @@ def anchor_index(records: DataFrame, anchor: str, value=None) -> int | None:
 
 
 def page(records: DataFrame, at: int | None, forward: bool = True, include_anchor: bool = False, size: int = 10) -> DataFrame:
-    """Up to `size` records from an index on, in the order of travel, with page_rank and has_more. No anchor: empty."""
+    """Up to `size` records from an index on, in the order of travel, with page_rank, has_more and the cursors of the page.
+
+    next_cursor and previous_cursor are the ids of the page's last and first record. No anchor: empty.
+    """
     if size < 1:
         raise ValueError("a page holds a record at least")
     if at is None:
-        return records.limit(0).withColumn("page_rank", F.lit(1)).withColumn("has_more", F.lit(False))
+        none = F.lit(None).cast("string")
+        return records.limit(0).withColumns({"page_rank": F.lit(1), "has_more": F.lit(False), "next_cursor": none, "previous_cursor": none})
     i = F.col("index")
     ahead = (i > at if forward else i < at) | (F.lit(include_anchor) & (i == at))
     found = records.where(ahead).orderBy(i.asc() if forward else i.desc()).limit(size + 1)
     w = Window.orderBy(i.asc() if forward else i.desc())  # over size + 1 rows
     found = found.withColumn("page_rank", F.row_number().over(w)).withColumn("has_more", F.max("page_rank").over(Window.partitionBy()) > size)
-    return found.where(F.col("page_rank") <= size)
+    found = found.where(F.col("page_rank") <= size)
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return found.withColumns({"next_cursor": F.last("id").over(every), "previous_cursor": F.first("id").over(every)})
 
 
 def recent_context(records: DataFrame, n: int = 12, per_agent: bool = False) -> DataFrame:
@@ -70,15 +79,24 @@ def edges_within(records: DataFrame) -> DataFrame:
 def closure(records: DataFrame, targets: DataFrame, keep=None) -> DataFrame:
     """(chain_key, target, id): everything reachable from the targets (chain_key, id) over refs and relations, themselves included.
 
-    One round for each link of the longest way, until a round finds nothing new.
+    Walks double with each round, so a chain of n links takes log2(n) rounds; the walks of one length are kept while they
+    are no more than MOST_WALKS times the links, from then on rounds go link by link. Ends when a round finds nothing new.
     """
     keep = keep or cut
-    edges = keep(edges_within(records))
-    seen = targets.select("chain_key", F.col("id").alias("target"), "id")
-    frontier = seen
+    edges = walks = keep(edges_within(records.join(targets.select("chain_key").distinct(), "chain_key", "left_semi")))
+    seen = frontier = keep(targets.select("chain_key", F.col("id").alias("target"), "id").distinct())
+    n_edges, doubling = edges.count(), True
     while True:
-        nxt = frontier.withColumnRenamed("id", "src").join(edges, ["chain_key", "src"]).select("chain_key", "target", F.col("dst").alias("id")).distinct()
-        frontier = keep(nxt.join(seen, ["chain_key", "target", "id"], "left_anti"))
-        if not frontier.take(1):
+        start = seen if doubling else frontier
+        nxt = start.withColumnRenamed("id", "src").join(walks, ["chain_key", "src"]).select("chain_key", "target", F.col("dst").alias("id")).distinct()
+        found = keep(nxt.join(seen, ["chain_key", "target", "id"], "left_anti"))
+        if not found.take(1):
             return seen
-        seen = keep(seen.unionByName(frontier))
+        seen, frontier = keep(seen.unionByName(found)), found
+        if doubling:
+            into, out = walks.groupBy("chain_key", F.col("dst").alias("id")).agg(F.count("*").alias("n")), walks.groupBy("chain_key", F.col("src").alias("id")).agg(F.count("*").alias("m"))
+            size = into.join(out, ["chain_key", "id"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+            if size <= MOST_WALKS * n_edges:
+                walks = keep(walks.select("chain_key", "src", F.col("dst").alias("mid")).join(walks.select("chain_key", F.col("src").alias("mid"), "dst"), ["chain_key", "mid"]).select("chain_key", "src", "dst").distinct())
+            else:
+                doubling, walks, frontier = False, edges, seen

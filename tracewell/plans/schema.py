@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,15 +15,19 @@ RECORD_DDL = (
 )
 SCHEMA_VERSION = 3
 #: Record types, roles, relation kinds.
-TYPES = """
-PreferenceUpdate UserTrait RelationshipUpdate Finding Insight FactLearned PatternDetected Hypothesis Mistake Correction LessonLearned
-AssumptionInvalidated Constraint Plan Subgoal Decision StrategyShift Wonder Question Idea Experiment ActionTaken TaskComplete Checkpoint
-StateSnapshot Handoff Summary Surprise Reframe Goal LLMExtracted
-""".split()
-ROLES = "Memory WorkingMemory Summary Compression Checkpoint Handoff Audit Retrospective".split()
-KINDS = """
-References Summarizes Corrects Invalidates CausedBy Supports Contradicts DerivedFrom ContinuesFrom BranchesFrom RelatedTo Supersedes
-""".split()
+TYPES = (
+    "PreferenceUpdate", "UserTrait", "RelationshipUpdate", "Finding", "Insight", "FactLearned", "PatternDetected", "Hypothesis", "Mistake",
+    "Correction", "LessonLearned", "AssumptionInvalidated", "Constraint", "Plan", "Subgoal", "Decision", "StrategyShift", "Wonder", "Question",
+    "Idea", "Experiment", "ActionTaken", "TaskComplete", "Checkpoint", "StateSnapshot", "Handoff", "Summary", "Surprise", "Reframe", "Goal",
+    "LLMExtracted",
+)
+ROLES = (
+    "Memory", "WorkingMemory", "Summary", "Compression", "Checkpoint", "Handoff", "Audit", "Retrospective",
+)
+KINDS = (
+    "References", "Summarizes", "Corrects", "Invalidates", "CausedBy", "Supports", "Contradicts", "DerivedFrom", "ContinuesFrom", "BranchesFrom",
+    "RelatedTo", "Supersedes",
+)
 INVALIDATING = ("Supersedes", "Corrects", "Invalidates")
 
 
@@ -92,11 +96,20 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Agent registry of the event chain: names, owners and aliases are made up from the user id."""
     return _table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).select(
-        F.col("user_id").cast("string").alias("agent_id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("display_name"), F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("Team"), (F.col("user_id") % 5).cast("string"))).alias("owner"),
+        F.lit("evt").alias("chain_key"), F.col("user_id").cast("string").alias("agent_id"), F.concat(F.lit("User "), F.col("user_id").cast("string")).alias("display_name"), F.when(F.col("user_id") % 4 != 0, F.concat(F.lit("Team"), (F.col("user_id") % 5).cast("string"))).alias("owner"),
         F.lit(None).cast("string").alias("description"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("aliases"),
     )
 
 
+def document_agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent registry of the document chain: every source has a name, an owner, a description and an alias made up from its number."""
+    n = F.regexp_extract("source", r"(\d+)$", 1).cast("int")
+    return _table(spark, sf_dir, "documents").select("source").distinct().select(
+        F.lit("doc").alias("chain_key"), F.col("source").alias("agent_id"), F.concat(F.lit("Source "), n.cast("string")).alias("display_name"), F.concat(F.lit("Team"), (n % 5).cast("string")).alias("owner"),
+        F.when(n % 4 == 0, "editions of things").otherwise("plain").alias("description"), F.array(F.concat(F.lit("s"), n.cast("string"))).alias("aliases"),
+    )
+
+
 #: The same views for DuckDB.
 CONV = """conv AS (
   SELECT CAST(conv_id AS VARCHAR) AS chain_key, md5('conv:' || conv_id || ':' || turn) AS id, turn AS idx, role AS agent_id, text AS content,
@@ -112,12 +125,10 @@ EVT = """evt AS (
   FROM events)"""
 DOC = """doc AS (
   SELECT doc_id AS idx, 'doc:' || doc_id AS id, source AS agent_id, text AS content, (doc_id % 10) / 10.0::DOUBLE AS importance,
-         CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 5) / 5.0::DOUBLE END AS confidence, [lang] AS tags, ['topic' || (doc_id % 13)] AS concepts, source
+         CASE WHEN doc_id % 4 <> 0 THEN (doc_id % 5) / 5.0::DOUBLE END AS confidence, [lang] AS tags, ['topic' || (doc_id % 13)] AS concepts, source,
+         concat_ws(' ', 'Source ' || regexp_extract(source, '(\\d+)$', 1), 'Team' || (regexp_extract(source, '(\\d+)$', 1)::INT % 5), CASE WHEN regexp_extract(source, '(\\d+)$', 1)::INT % 4 = 0 THEN 'editions of things' ELSE 'plain' END, 's' || regexp_extract(source, '(\\d+)$', 1)) AS registry
   FROM documents)"""
 AGENTS = """agents AS (
   SELECT DISTINCT CAST(user_id AS VARCHAR) AS agent_id, 'User ' || user_id AS display_name, CASE WHEN user_id % 4 <> 0 THEN 'Team' || (user_id % 5) END AS owner, 'u' || user_id AS alias
   FROM events)"""
 
-
-def by_chain(*order: str) -> Window:
-    return Window.partitionBy("chain_key").orderBy(*order)

@@ -9,12 +9,12 @@ from ..plans.schema import TYPES
 
 #: Sections in order and the record types they hold.
 SECTIONS = {
-    "Identity": "PreferenceUpdate UserTrait RelationshipUpdate",
-    "Knowledge": "Finding Insight FactLearned PatternDetected Hypothesis Surprise",
-    "Constraints And Decisions": "Constraint Plan Subgoal Decision StrategyShift",
-    "Corrections": "Mistake Correction LessonLearned AssumptionInvalidated Reframe",
-    "Open Threads": "Wonder Question Idea Experiment",
-    "Execution State": "ActionTaken TaskComplete Checkpoint StateSnapshot Handoff Summary",
+    "Identity": ("PreferenceUpdate", "UserTrait", "RelationshipUpdate",),
+    "Knowledge": ("Finding", "Insight", "FactLearned", "PatternDetected", "Hypothesis", "Surprise",),
+    "Constraints And Decisions": ("Constraint", "Plan", "Subgoal", "Decision", "StrategyShift",),
+    "Corrections": ("Mistake", "Correction", "LessonLearned", "AssumptionInvalidated", "Reframe",),
+    "Open Threads": ("Wonder", "Question", "Idea", "Experiment",),
+    "Execution State": ("ActionTaken", "TaskComplete", "Checkpoint", "StateSnapshot", "Handoff", "Summary",),
 }
 LINE = r"^- \[#(\d+)\] (\w+): (.*) \((agent .*)\)$"
 KNOWN = [t for t in TYPES if t not in ("Goal", "LLMExtracted")]
@@ -31,7 +31,7 @@ def line(agent: Column) -> Column:
 
 def lines(records: DataFrame, agent: Column | None = None) -> DataFrame:
     """chain_key, section_no, section, index, line: the body of the export, row by row; types of no section are left out."""
-    where = F.create_map(*[F.lit(x) for k, types in enumerate(SECTIONS.values()) for t in types.split() for x in (t, k)])
+    where = F.create_map(*[F.lit(x) for k, types in enumerate(SECTIONS.values()) for t in types for x in (t, k)])
     rows = records.withColumn("section_no", where[F.col("thought_type")]).where("section_no is not null")
     names = F.array(*[F.lit(s) for s in SECTIONS])
     return rows.select("chain_key", "section_no", names[F.col("section_no")].alias("section"), "index", line(F.col("agent_id") if agent is None else agent).alias("line"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..functions.text import query_terms, tokens
+from ..functions.text import stem_set, stems, tokens
 
 ATTEMPTS, BACKOFF_S = 3, 1.0
 #: Rows of hooks up to this number are broadcast; more are joined like any table.
@@ -26,9 +26,10 @@ def running_agents(stream: DataFrame) -> DataFrame:
     return stream.groupBy("chain_key", "agent_id").agg(F.count("*").alias("n"), F.min("index").alias("first_index"), F.max("index").alias("last_index"))
 
 
-def running_terms(stream: DataFrame) -> DataFrame:
-    """chain_key, term, df: document frequencies of contents as they grow; update mode."""
-    return stream.select("chain_key", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term")).groupBy("chain_key", "term").agg(F.count("*").alias("df"))
+def running_terms(stream: DataFrame, stemmed: bool = True) -> DataFrame:
+    """chain_key, term, df: document frequencies of contents, as stems, as they grow; update mode."""
+    words = tokens(F.col("content"))
+    return stream.select("chain_key", F.explode(F.array_distinct(stems(words) if stemmed else words)).alias("term")).groupBy("chain_key", "term").agg(F.count("*").alias("df"))
 
 
 def running_lengths(stream: DataFrame) -> DataFrame:
@@ -41,24 +42,14 @@ def dedup(stream: DataFrame, threshold: float, window: int = 64, words: Column |
 
     Words are stems of tokens and of their irregular base forms, or those given (commit.plain_words: distinct tokens).
     """
-    stems = words is None
-    rows = stream.select("chain_key", "index", "id", (query_terms(F.col("content")) if stems else words).alias("words"))
+    rows = stream.select("chain_key", "index", "id", (stem_set(F.col("content")) if words is None else words).alias("words"))
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        from tracewell.functions.stem import stem
-
-        known: dict[str, str] = {}  # each distinct word of the batch is stemmed once
-
-        def base(word: str) -> str:
-            if word not in known:
-                known[word] = stem(word)
-            return known[word]
-
         kept = [(i, d, set(w)) for i, d, w in zip(*state.get, strict=True)] if state.exists else []
         new = pd.concat(list(batches)).sort_values("index")
         out = []
         for index, ident, words in zip(new["index"], new["id"], new["words"], strict=True):
-            mine, best = {base(w) for w in words} if stems else set(words), (0.0, None)
+            mine, best = set(words), (0.0, None)
             for i, d, w in kept:
                 if mine and w and i >= index - window:
                     s = len(mine & w) / len(mine | w)
