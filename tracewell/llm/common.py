@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import file_system, new_folder, shared_dir, stored
+from ..plans.session import ship
+
+__all__ = ["alnum_words", "file_system", "join_counted", "new_folder", "publish", "shared_dir", "ship", "slices", "space_words", "steady", "stored", "table"]
+
 #: Keys with more rows than both are joined by broadcast: HOT_ROWS, and the HOT_KEYS-th part of all rows.
 HOT_ROWS, HOT_KEYS = 256, 50_000
 
@@ -35,53 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package, wherever the session was started."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
-    if root not in paths:
-        env["PYTHONPATH"] = ":".join([*paths, root])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in a purely local session one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        master = spark.sparkContext.master
-        if not (master == "local" or master.startswith("local[")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tracewell-")
-        spark.sparkContext.setCheckpointDir(found)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """URI of a fresh folder in the shared place; deleted when the driver ends."""
-    uri = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(uri)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(path)
-
-    def drop() -> None:
-        try:
-            fs.delete(path, True)
-        except Exception:  # the JVM may be gone by then
-            pass
-
-    atexit.register(drop)
-    return uri
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read back: cuts lineage and outlives executors."""
-    uri = f"{new_folder(df.sparkSession, name)}/t"
-    df.write.parquet(uri)
-    return df.sparkSession.read.schema(df.schema).parquet(uri)
-
-
 def steady_scan(df: DataFrame) -> bool:
     """Whether df is a plain scan of files, projected and filtered at most: its rows come in the same order and partitions whenever it is read."""
     todo, scans = [df._jdf.queryExecution().optimizedPlan()], 0
@@ -138,12 +91,3 @@ def publish(fs, temp: str, name: str) -> None:
         if fs.get_file_info(name).type != FileType.File:
             raise
         fs.delete_file(temp)
-
-
-def file_system(uri: str):
-    """pyarrow file system and path of a URI of the shared folder."""
-    from pyarrow import fs
-
-    if uri.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
