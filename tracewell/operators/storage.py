@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Setting by which Spark deletes the shuffle files of a job at its end, and not when the driver's garbage is next collected.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or in a purely local session one of our own."""
@@ -41,9 +44,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written as a Parquet table in the shared folder and read back."""
-    uri = f"{new_folder(df.sparkSession, name)}/t"
-    df.write.parquet(uri)
+    """df, written as a Parquet table in the shared folder and read back. Shuffle files of the job go as soon as it ends."""
+    conf, uri = df.sparkSession.conf, f"{new_folder(df.sparkSession, name)}/t"
+    before = conf.get(CLEANUP, "false")
+    try:
+        conf.set(CLEANUP, "true")
+        df.write.parquet(uri)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(uri)
 
 
