@@ -75,7 +75,7 @@ def keyed(got, docs):
 @pytest.mark.parametrize("small", [False, True])
 def test_against_brute_force(spark, monkeypatch, small):
     if small:
-        for name, value in (("BLOCK_TOKENS", 500), ("SHARD_TOKENS", 700), ("PART_TOKENS", 60)):
+        for name, value in (("BLOCK_TOKENS", 500), ("SHARD_TOKENS", 700), ("PART_TOKENS", 60), ("MOST_KEY", 0)):
             monkeypatch.setattr(lm_trie, name, value)
     docs, _ = make()
     frame = spark.createDataFrame([(d, t, 0) for d, t in docs], "doc_id long, text string, tokens int").repartition(3)

@@ -35,24 +35,17 @@ ROUNDS = 2
 HEAVY_SHARE, PART_TOKENS, MOST_HEAVY = 1 / 256, 200_000, 4096
 END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set, parts of dealt-out words do not
 WORD_BIT = 4
-CACHE_WORDS = 250_000
 #: The square of a code, scaled, is -log10 p: the smallest p that codes tell apart is 10 ** -DEPTH. 255: absent.
 DEPTH, ABSENT = 10.0, 255
+MOST_KEY = 1 << 62
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-_HASHES: dict[bytes, int] = {}
 
 
-def word_hashes(words: list[bytes]) -> list[int]:
+def word_hashes(words: list[bytes]):
+    import numpy as np
     import xxhash
 
-    if len(_HASHES) > CACHE_WORDS:
-        _HASHES.clear()
-    out = list(map(_HASHES.get, words))
-    if None in out:
-        for i, h in enumerate(out):
-            if h is None:
-                out[i] = _HASHES[words[i]] = xxhash.xxh3_64_intdigest(words[i]) | WORD_BIT
-    return out
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) | np.uint64(WORD_BIT)
 
 
 def _write(folder: str, name: str, data: bytes) -> None:
@@ -112,7 +105,7 @@ def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -
         for batch in batches:
             for at in range(batch.num_rows):
                 doc_id, text = batch.column(0)[at].as_py(), batch.column(1)[at].as_py()
-                held.append((np.array([*word_hashes(space_words(text)), END], np.uint64), doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts == which))
+                held.append((np.append(word_hashes(space_words(text)), np.uint64(END)), doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % parts == which))
                 n += len(held[-1][0])
                 if n >= BLOCK_TOKENS:
                     yield flush()
@@ -193,10 +186,22 @@ class Grams:
         self.pair, of_before = which[:n], which[:n].copy()
         of_before[hot] = which[n:]
         self.pair_context, self.pair_word = np.divmod(pairs, width)
-        befores, self.before = np.unique(before * width + two, return_inverse=True)
-        self.before_context, self.before_word = np.divmod(befores, width)
-        triples, self.triple = np.unique(self.before * len(pairs) + of_before, return_inverse=True)
-        self.triple_before, self.triple_pair = np.divmod(triples, len(pairs))
+        # Sorted by context, word before and pair, triples follow each other, and so do befores.
+        key = before * width + two
+        if (width + len(extra)) * width * len(pairs) > MOST_KEY:  # a block of a text of many millions of words
+            key = np.unique(key, return_inverse=True)[1]
+        key = key * len(pairs) + of_before
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        first = order[new]
+        self.triple = np.empty(n, np.int64)
+        self.triple[order] = np.cumsum(new) - 1
+        self.triple_pair = of_before[first]
+        start = np.concatenate([[True], np.diff(before[first] * width + two[first]) != 0])
+        self.triple_before = np.cumsum(start) - 1
+        self.before = self.triple_before[self.triple]
+        self.before_context, self.before_word = before[first[start]], two[first[start]]
         self.one = one
 
     def counts(self):
@@ -279,53 +284,70 @@ class Request:
             setattr(self, name, x if name == "ids" else x.astype(np.int64))
 
 
-def build_trie(asked: list[Request]):
-    """The trie of a shard from the counts of all blocks, and how many words occur in training texts."""
-    import numpy as np
+class Asked:
+    """What all blocks ask of a shard, each n-gram once; context, pair, before and triple say which one a place of a request names."""
+
+    def __init__(self, requests: list[Request]):
+        import numpy as np
+
+        joined = lambda name: np.concatenate([getattr(r, name) for r in requests])
+        self.ids, self.context = np.unique(joined("ids"), return_inverse=True)
+        self.is_word = (self.ids & np.uint64(WORD_BIT) > 0) | (self.ids <= BEGIN)
+        added = joined("totals")
+        rows = self.is_word[self.context]
+        self.totals = np.bincount(self.context[rows], added[rows], len(self.ids)).astype(np.int64)
+        self.totals[self.context[~rows]] = added[~rows]  # parts come with the whole word's count
+
+        pairs, self.pair = np.unique(np.repeat(self.context, joined("many_pairs")) << 32 | joined("words"), return_inverse=True)
+        self.pair_context, self.words = pairs >> 32, pairs & 0xFFFFFFFF
+        self.pair_counts = np.bincount(self.pair, joined("pair_counts"), len(pairs)).astype(np.int64)
+        befores, self.before = np.unique(np.repeat(self.context, joined("many_befores")) << 32 | joined("befores"), return_inverse=True)
+        self.before_context, self.befores = befores >> 32, befores & 0xFFFFFFFF
+        offsets = np.cumsum([0, *(len(r.words) for r in requests)])
+        places = self.pair[np.concatenate([r.places + o for r, o in zip(requests, offsets, strict=False)])]
+        triples, self.triple = np.unique(np.repeat(self.before, joined("many_triples")) * max(1, len(pairs)) + places, return_inverse=True)
+        self.triple_before, self.triple_pair = np.divmod(triples, max(1, len(pairs)))
+        self.triple_counts = np.bincount(self.triple, joined("triple_counts"), len(triples)).astype(np.int64)
+
+    def build(self):
+        """The trie of the shard from the counts of all blocks, and how many words occur in training texts."""
+        import numpy as np
 
-    from .elias_fano import EliasFano, Level, Trie
-
-    contexts, back = np.unique(np.concatenate([a.ids for a in asked]), return_inverse=True)
-    totals, added = np.zeros(len(contexts), np.int64), np.concatenate([a.totals for a in asked])
-    is_word = (contexts & np.uint64(WORD_BIT) > 0) | (contexts <= BEGIN)
-    word_rows = is_word[back]
-    totals += np.bincount(back[word_rows], added[word_rows], len(contexts)).astype(np.int64)
-    totals[back[~word_rows]] = added[~word_rows]  # parts come with the whole word's count
-    types = int(((totals > 0) & is_word & (contexts != BEGIN)).sum())
-
-    of_pair = np.repeat(back, np.concatenate([a.many_pairs for a in asked]))
-    pairs, pair = np.unique(of_pair << 32 | np.concatenate([a.words for a in asked]), return_inverse=True)
-    counts = np.bincount(pair, np.concatenate([a.pair_counts for a in asked]), len(pairs)).astype(np.int64)
-    of_before = np.repeat(back, np.concatenate([a.many_befores for a in asked]))
-    befores, before = np.unique(of_before << 32 | np.concatenate([a.befores for a in asked]), return_inverse=True)
-    offsets = np.cumsum([0, *(len(a.words) for a in asked)])
-    triple_counts = np.concatenate([a.triple_counts for a in asked])
-    live = triple_counts > 0
-    triple_before = np.repeat(before, np.concatenate([a.many_triples for a in asked]))[live]
-    triple_pair = pair[np.concatenate([a.places + o for a, o in zip(asked, offsets, strict=False)])[live]]
-    triples, which = np.unique(triple_before * max(1, len(pairs)) + triple_pair, return_inverse=True)
-    triple_counts = np.bincount(which, triple_counts[live], len(triples)).astype(np.int64)
-    triple_before, triple_pair = np.divmod(triples, max(1, len(pairs)))
-    after_before = np.bincount(triple_before, triple_counts, len(befores))
-
-    kept = counts > 0
-    kept[triple_pair] = True
-    place = np.cumsum(kept) - 1
-    pair_context = (pairs >> 32)[kept]
-    pairs_of = np.bincount(pair_context, minlength=len(contexts))
-    begin = np.cumsum(pairs_of) - pairs_of
-    p2 = ((1 - SHARE2) * counts / (totals[pairs >> 32] + MU2))[kept]
-    p3 = (1 - SHARE3) * triple_counts / (after_before[triple_before] + MU3)
-    there = after_before > 0
-    number = np.cumsum(there) - 1
-    rest = MU3 / (after_before[there] + MU3)
-    levels = {
-        "words": Level.build(pairs_of, (pairs & 0xFFFFFFFF)[kept]),
-        "befores": Level.build(np.bincount((befores >> 32)[there], minlength=len(contexts)), (befores & 0xFFFFFFFF)[there]),
-        "triples": Level.build(np.bincount(number[triple_before], minlength=int(there.sum())), place[triple_pair] - begin[pairs[triple_pair] >> 32]),
-    }
-    plain = {"totals": totals, "p2": log_codes(p2), "rest": np.round(rest * 254).astype(np.uint8), "p3": log_codes(p3)}
-    return Trie(EliasFano.build(contexts), levels, plain), types
+        from .elias_fano import EliasFano, Level, Trie
+
+        n = len(self.ids)
+        types = int(((self.totals > 0) & self.is_word & (self.ids != BEGIN)).sum())
+        live = self.triple_counts > 0
+        counts, of_before, of_pair = self.triple_counts[live], self.triple_before[live], self.triple_pair[live]
+        after_before = np.bincount(of_before, counts, len(self.befores))
+        kept = self.pair_counts > 0
+        kept[of_pair] = True
+        place = np.cumsum(kept) - 1
+        pairs_of = np.bincount(self.pair_context[kept], minlength=n)
+        begin = np.cumsum(pairs_of) - pairs_of
+        there = after_before > 0
+        number = np.cumsum(there) - 1
+        levels = {
+            "words": Level.build(pairs_of, self.words[kept]),
+            "befores": Level.build(np.bincount(self.before_context[there], minlength=n), self.befores[there]),
+            "triples": Level.build(np.bincount(number[of_before], minlength=int(there.sum())), place[of_pair] - begin[self.pair_context[of_pair]]),
+        }
+        plain = {
+            "totals": self.totals,
+            "p2": log_codes(((1 - SHARE2) * self.pair_counts / (self.totals[self.pair_context] + MU2))[kept]),
+            "rest": np.round(MU3 / (after_before[there] + MU3) * 254).astype(np.uint8),
+            "p3": log_codes((1 - SHARE3) * counts / (after_before[of_before] + MU3)),
+        }
+        return Trie(EliasFano.build(self.ids), levels, plain), types
+
+    def find(self, trie):
+        """(counts, p2, rest, p3) of what is asked, in its order; without a trie nothing is there."""
+        import numpy as np
+
+        if trie is None:
+            return np.zeros(len(self.ids), np.int64), *(np.full(len(x), ABSENT, np.uint8) for x in (self.words, self.befores, self.triple_pair))
+        many = [np.bincount(x, minlength=k) for x, k in ((self.pair_context, len(self.ids)), (self.before_context, len(self.ids)), (self.triple_before, len(self.befores)))]
+        return trie.find(self.ids, many[0], self.words, many[1], self.befores, many[2], self.triple_pair)
 
 
 def log_codes(p):
@@ -347,15 +369,14 @@ def _serve(requests: DataFrame, folder: str, learn: bool, keep: bool) -> DataFra
     """(block, shard, types, answer): counts of the contexts asked for, and the codes of their n-grams."""
 
     def run(key, table):
-        import numpy as np
         import pyarrow as pa
         import zstandard
 
         shard = key[0].as_py()
-        asked = [Request(b) for b in table["blob"].to_pylist()]
-        types = 0
+        requests = [Request(b) for b in table["blob"].to_pylist()]
+        asked, types = Asked(requests), 0
         if learn:
-            trie, types = build_trie(asked)
+            trie, types = asked.build()
             name = f"trie-{shard:07d}" if keep else f"trie-{shard:07d}-{uuid.uuid4().hex}"  # of this try alone
             _write_trie(folder, name, trie)
             del trie
@@ -365,14 +386,13 @@ def _serve(requests: DataFrame, folder: str, learn: bool, keep: bool) -> DataFra
         if not keep:
             fs, root = file_system(folder)
             fs.delete_file(f"{root}/{name}")  # what is mapped stays readable
-        zstd = zstandard.ZstdCompressor(level=1)
-        answers = []
-        for a in asked:
-            if trie is None:
-                found = np.zeros(len(a.ids), np.int64), *(np.full(len(x), ABSENT, np.uint8) for x in (a.words, a.befores, a.places))
-            else:
-                found = trie.find(a.ids, a.many_pairs, a.words, a.many_befores, a.befores, a.many_triples, a.places)
-            answers.append(zstd.compress(b"".join(x.tobytes() for x in found)))
+        found = asked.find(trie)
+        which = (asked.context, asked.pair, asked.before, asked.triple)
+        at, answers, zstd = [0, 0, 0, 0], [], zstandard.ZstdCompressor(level=1)
+        for r in requests:
+            sizes = (len(r.ids), len(r.words), len(r.befores), len(r.places))
+            answers.append(zstd.compress(b"".join(x[w[a : a + k]].tobytes() for x, w, a, k in zip(found, which, at, sizes, strict=True))))
+            at = [a + k for a, k in zip(at, sizes, strict=True)]
         n = len(answers)
         return pa.table({"block": table["block"], "shard": pa.array([shard] * n, pa.int64()), "types": pa.array([types] + [0] * (n - 1), pa.int64()), "answer": pa.array(answers, pa.binary())})
 
