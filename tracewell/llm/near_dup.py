@@ -31,9 +31,6 @@ BROADCAST_IDS = 1_000_000
 #: Pairs that are verified with one copy of the text that they have in common; and rows of a bucket that meet all others together.
 PAIRS_PER_PART, ROWS_PER_PART = 64, 256
 MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-CACHE_WORDS = 150_000
-
-_WORD_HASH: dict[bytes, int] = {}
 
 
 def shingle_set(text: str | None):
@@ -46,16 +43,7 @@ def shingle_set(text: str | None):
         return np.zeros(0, np.uint64)
     if len(words) < SHINGLE:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    if len(_WORD_HASH) > CACHE_WORDS:
-        _WORD_HASH.clear()
-    get = _WORD_HASH.get
-    ids = []
-    for w in words:
-        h = get(w)
-        if h is None:
-            h = _WORD_HASH[w] = xxhash.xxh3_64_intdigest(w)
-        ids.append(h)
-    a = np.array(ids, np.uint64)
+    a = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     n = len(a) - SHINGLE + 1
     h = np.full(n, SHINGLE, np.uint64)
     for k in range(SHINGLE):
