@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stem_set, tokens
+from ..plans.schema import SCHEMA_VERSION
 from .storage import cut
 
 #: Columns that a hash covers.
@@ -64,6 +65,13 @@ def payload(columns: tuple[str, ...] = HASHED) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
 
 
+def signable(schema_version: int = SCHEMA_VERSION) -> Column:
+    """What a caller signs of a record, as JSON: its own fields, cleaned as they will be stored, in this order; nulls are written."""
+    clamp = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(c))))
+    body = F.struct(F.lit(schema_version).alias("schema_version"), "agent_id", "session_id", "thought_type", "role", "content", clamp("confidence").alias("confidence"), clamp("importance").alias("importance"), clean_labels(F.col("tags")).alias("tags"), clean_labels(F.col("concepts")).alias("concepts"), "refs", "relations")
+    return F.to_json(body, {"ignoreNullFields": "false"})
+
+
 def record_hash(prev: Column, body: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(prev, F.lit("")), F.lit("\n"), body), 256)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.stem import stem
+from ..functions.text import stems, tokens
 from .graph import BOOSTS
 
 #: Version of how documents are cut into terms: a changed one makes stored postings stale.
@@ -44,14 +45,15 @@ def deregister(records: DataFrame, chain: str) -> DataFrame:
     return records.where(F.col("chain_key") != chain)
 
 
-def term_postings(records: DataFrame, term: str) -> DataFrame:
-    """chain_key, index, tf of one term in contents; more or fewer than one token give nothing."""
-    spark = records.sparkSession
-    words = spark.range(1).select(tokens(F.lit(term)).alias("w")).first()["w"]
+def term_postings(records: DataFrame, term: str, stemmed: bool = True) -> DataFrame:
+    """chain_key, index, tf of one term in contents, by its stem; more or fewer than one token give nothing."""
+    words = records.sparkSession.range(1).select(tokens(F.lit(term)).alias("w")).first()["w"]
     if len(words) != 1:
         return records.select("chain_key", "index", F.lit(0).alias("tf")).where("false")
-    tf = F.size(F.filter(tokens(F.col("content")), lambda t: t == words[0]))
-    return records.where(F.contains(F.lower("content"), F.lit(words[0]))).select("chain_key", "index", tf.alias("tf")).where("tf > 0")
+    wanted = stem(words[0]) if stemmed else words[0]
+    there = tokens(F.col("content"))
+    tf = F.size(F.filter(stems(there) if stemmed else there, lambda t: t == wanted))
+    return records.select("chain_key", "index", tf.alias("tf")).where("tf > 0")
 
 
 def index_freshness(meta: DataFrame, records: DataFrame) -> DataFrame:
@@ -81,3 +83,11 @@ def kind_label(kind: Column) -> Column:
     """snake_case name of a relation kind for transport."""
     names = F.create_map(*[F.lit(x) for k in BOOSTS for x in (k, "".join("_" + c.lower() if c.isupper() else c for c in k).lstrip("_"))])
     return names[kind]
+
+
+def graph_json(expansion: DataFrame) -> DataFrame:
+    """query_id, chain_key, seed, json: what a seed leads to, for transport: nodes with depth and path, and the steps of each path with labels of their relations."""
+    step = lambda h: F.struct(h["direction"].alias("direction"), F.transform(h["kinds"], kind_label).alias("relations"), F.nullif(h["node_chain"], F.lit("")).alias("chain_key"), h["node"].alias("node"))
+    node = F.struct("depth", "node", "path", F.transform("hops", step).alias("hops"))
+    made = expansion.groupBy("query_id", "chain_key", "seed").agg(F.sort_array(F.collect_list(node)).alias("nodes"), F.max("truncated").alias("truncated"))  # max_visited nodes at most
+    return made.select("query_id", "chain_key", "seed", F.to_json(F.struct("nodes", "truncated")).alias("json"))

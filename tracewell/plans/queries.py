@@ -283,9 +283,9 @@ def closure_of_a_long_chain(spark, d):
     return traverse.closure(rows, rows.where(i == LINKS - 1))
 
 
-@query(f"WITH {S.DOC} SELECT idx AS \"index\", len(list_filter({TOK.format('content')}, lambda t: t = 'resh')) AS tf FROM doc WHERE len(list_filter({TOK.format('content')}, lambda t: t = 'resh')) > 0")
+@query(f"WITH {S.DOC}, stems(word, term) AS (VALUES {_values(r for r in stem_table() if r[1] == 'resh')}) SELECT idx AS \"index\", count(*)::INT AS tf FROM (SELECT idx, unnest({TOK.format('content')}) AS word FROM doc) JOIN stems USING (word) GROUP BY idx")
 def term_postings(spark, d):
-    return lifecycle.term_postings(S.document_records(spark, d), "Resh!").select("index", "tf")
+    return lifecycle.term_postings(S.document_records(spark, d), "Reshes!").select("index", "tf")
 
 
 @query(f"WITH {S.CONV}, t AS (SELECT max(idx) AS top FROM conv WHERE chain_key = '8') SELECT '8' AS chain_key, top + row_number() OVER (ORDER BY idx) AS \"index\", 'copied' AS agent_id, content FROM conv, t WHERE chain_key = '7' AND agent_id = 'user'")

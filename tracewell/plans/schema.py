@@ -35,8 +35,8 @@ def record_schema() -> StructType:
     return StructType.fromDDL(RECORD_DDL)
 
 
-def upgrade(df: DataFrame) -> DataFrame:
-    """df of any schema version with the current schema: missing columns get their defaults, arrays are never null."""
+def upgrade(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """df of any schema version with the current schema (and the columns to keep): missing columns get their defaults, arrays are never null."""
     defaults = {"schema_version": F.lit(SCHEMA_VERSION), "role": F.lit("Memory"), "importance": F.lit(0.5)}
     out = []
     for f in record_schema().fields:
@@ -46,7 +46,7 @@ def upgrade(df: DataFrame) -> DataFrame:
         if f.dataType.typeName() == "array":
             value = F.coalesce(value.cast(f.dataType), F.array().cast(f.dataType))
         out.append(value.cast(f.dataType).alias(f.name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -102,3 +102,48 @@ def append_vectors(stream: DataFrame, path: str, checkpoint: str):
     from ..operators.vector import build_sidecar
 
     return stream.writeStream.foreachBatch(lambda df, _: build_sidecar(df).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).start()
+
+
+def commit_stream(stream: DataFrame, path: str, checkpoint: str, every: str = "2 seconds", threshold: float | None = None, on_append: Callable[[DataFrame], None] | None = None):
+    """Starts a query that appends what arrives to a log, one group for each micro-batch of `every`.
+
+    A group is first kept as it will be appended (`<checkpoint>-groups/<number>`), then appended, then marked as done. What
+    is replayed after a failure is the kept group, of which only records that the log lacks are written, so each is in the
+    log once. on_append is called with the records of each group. flush(query) waits until all that has arrived is there.
+    """
+    from ..sources.files import exists, open_log, prepare, write_log
+
+    groups = f"{checkpoint.rstrip('/')}-groups"
+
+    def write(rows: DataFrame, batch: int) -> None:
+        spark, kept = rows.sparkSession, f"{groups}/{batch}"
+        if exists(spark, f"{kept}/_DONE"):
+            return
+        if not exists(spark, f"{kept}/_SUCCESS"):
+            if not rows.take(1):
+                return
+            prepare(spark, path, rows, threshold).write.mode("overwrite").parquet(kept)
+        group = spark.read.parquet(kept)
+        new = group.join(open_log(spark, path).select("chain_key", "id"), ["chain_key", "id"], "left_anti") if exists(spark, path) else group
+        write_log(new, path)
+        if on_append is not None:
+            on_append(group)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{kept}/_DONE")
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True).close()
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def flush(query) -> None:
+    """Returns when everything that has arrived so far is committed."""
+    query.processAllAvailable()
+
+
+def running_postings(stream: DataFrame, path: str, checkpoint: str, fields: tuple[str, ...] = ("content", "tags", "concepts", "agent_id")):
+    """Starts a query that appends the postings of new records, as lexical.postings makes them, to a table; its sums are what bm25 needs."""
+    from ..operators import lexical
+
+    def write(rows: DataFrame, batch: int) -> None:
+        lexical.postings(lexical.field_tokens(rows, fields, stemmed=True), fields).write.mode("overwrite").parquet(f"{path}/group={batch}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).start()
