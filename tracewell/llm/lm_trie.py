@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 from .common import file_system, new_folder, publish, ship, space_words, stored
 
 MU2, SHARE2, MU3, SHARE3 = 16.0, 0.5, 1.0, 0.2
-BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
+BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 750_000
 #: Shards are served in so many rounds, so that only a part of all requests is on disk at once.
 ROUNDS = 2
-#: A word with more than this share of a block's tokens anywhere may be dealt out, in parts of about PART_TOKENS; there are MOST_HEAVY of them at most.
-HEAVY_SHARE, PART_TOKENS, MOST_HEAVY = 1 / 256, 200_000, 4096
+#: Words of more training tokens than this are dealt out in parts of about as many; the MOST_HEAVY most frequent of them at most.
+PART_TOKENS, MOST_HEAVY = 500_000, 1_000_000
 END, BEGIN = 1, 2  # hashes of no word: those get bit 2 set, parts of dealt-out words do not
 WORD_BIT = 4
 #: The square of a code, scaled, is -log10 p: the smallest p that codes tell apart is 10 ** -DEPTH. 255: absent.
@@ -75,7 +75,7 @@ def _load(folder: str, name: str) -> dict:
 
 
 def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -> DataFrame:
-    """Writes blocks, and the words of each with their training counts beside it; gives (block, tokens, train_tokens, heavy) for each."""
+    """Writes blocks, and the words of each with their training counts beside it; gives (block, tokens, train_tokens) for each."""
 
     def run(batches):
         import numpy as np
@@ -93,14 +93,12 @@ def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -
             ids = np.array([d or 0 for _, d, _ in held], np.int64)
             vocabulary, tokens = np.unique(np.concatenate([np.array([BEGIN], np.uint64), hashes]), return_inverse=True)
             tokens = tokens[1:].astype(np.int32)
-            many = np.bincount(tokens, minlength=len(vocabulary))
-            heavy = vocabulary[many > max(64, HEAVY_SHARE * len(tokens))]
             counts = np.bincount(tokens[np.repeat(train, sizes)], minlength=len(vocabulary))
             counts[np.searchsorted(vocabulary, BEGIN)] = train.sum()
             name = f"block-{task:07d}-{k:05d}"
             _save(folder, name, tokens=tokens, sizes=sizes, train=train, held_out=held_out, ids=ids, there=there)
             _save(folder, f"{name}-words", vocabulary=vocabulary, counts=counts)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(tokens)], pa.int64()), pa.array([int(sizes[train].sum())], pa.int64()), pa.array([heavy.astype(np.int64).tolist()], pa.list_(pa.int64()))], names=["block", "tokens", "train_tokens", "heavy"])
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(tokens)], pa.int64()), pa.array([int(sizes[train].sum())], pa.int64())], names=["block", "tokens", "train_tokens"])
 
         for batch in batches:
             for at in range(batch.num_rows):
@@ -113,29 +111,45 @@ def _blocks(docs: DataFrame, folder: str, parts: int, which: int, learn: bool) -
         if held:
             yield flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block string, tokens long, train_tokens long, heavy array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block string, tokens long, train_tokens long")
 
 
-def _dealt(blocks: DataFrame, folder: str):
-    """(hash, training count, parts) of the words that are dealt out, by hash; MOST_HEAVY at most."""
+def _dealt(blocks: DataFrame, folder: str, n_blocks: int):
+    """(hash, training count, parts) of the words that are dealt out, by hash; MOST_HEAVY at most.
+
+    A word of more than PART_TOKENS has PART_TOKENS / n_blocks or more in some block: only such counts are added up to find
+    the words, then those words are counted in full.
+    """
     import numpy as np
 
-    found = blocks.select(F.explode("heavy").alias("h")).groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_HEAVY - 1).collect()
-    heavy = np.unique(np.array([BEGIN, *(r["h"] for r in found)], np.int64).astype(np.uint64))
+    least = max(1, PART_TOKENS // n_blocks)
 
-    def run(batches):
-        import pyarrow as pa
+    def counted(pick):
+        def run(batches):
+            import pyarrow as pa
 
-        for batch in batches:
-            for name in batch.column(0).to_pylist():
-                words = _load(folder, f"{name}-words")
-                at = np.minimum(np.searchsorted(words["vocabulary"], heavy), len(words["vocabulary"]) - 1)
-                there = words["vocabulary"][at] == heavy
-                yield pa.RecordBatch.from_arrays([pa.array(heavy[there].astype(np.int64)), pa.array(words["counts"][at[there]].astype(np.int64))], names=["h", "n"])
+            for batch in batches:
+                for name in batch.column(0).to_pylist():
+                    words = _load(folder, f"{name}-words")
+                    some = pick(words["vocabulary"], words["counts"])
+                    yield pa.RecordBatch.from_arrays([pa.array(words["vocabulary"][some].astype(np.int64)), pa.array(words["counts"][some].astype(np.int64))], names=["h", "n"])
 
-    sums = {r["h"]: r["n"] for r in blocks.select("block").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).collect()}
-    counts = np.array([sums.get(h, 0) for h in heavy.astype(np.int64).tolist()], np.int64)
-    return heavy, counts, -(-np.maximum(counts, 1) // PART_TOKENS)
+        return blocks.select("block").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("k"))
+
+    # What a word has in blocks where it is rare is less than `least` each.
+    likely = counted(lambda vocabulary, counts: counts >= least).where(F.col("n") + (n_blocks - F.col("k")) * (least - 1) > PART_TOKENS)
+    found = likely.orderBy(F.desc("n"), "h").limit(MOST_HEAVY - 1).select("h").toArrow()["h"].to_numpy()
+    heavy = np.unique(np.append(found.astype(np.int64), BEGIN).astype(np.uint64))
+    if len(heavy) < 2:
+        every = counted(lambda vocabulary, counts: vocabulary == BEGIN)
+    else:
+        shared = blocks.sparkSession.sparkContext.broadcast(heavy)  # 8 bytes for each of MOST_HEAVY
+        every = counted(lambda vocabulary, counts: np.isin(vocabulary, shared.value))
+    sums = every.select("h", "n").toArrow()
+    order = np.argsort(sums["h"].to_numpy().astype(np.uint64))
+    heavy, counts = sums["h"].to_numpy().astype(np.uint64)[order], sums["n"].to_numpy()[order]
+    kept = (counts > PART_TOKENS) | (heavy == BEGIN)
+    return heavy[kept], counts[kept], -(-np.maximum(counts[kept], 1) // PART_TOKENS)
 
 
 def _mix(a, b):
@@ -508,7 +522,7 @@ def score_texts(docs: DataFrame, parts: int = 7, which: int = 2, keep: str | Non
         dealt = tuple(np.array(known[k], kind) for k, kind in (("heavy", np.uint64), ("counts", np.int64), ("parts", np.int64)))
         n_shards, total, types = known["n_shards"], known["total"], known["types"]
     elif n:
-        dealt, n_shards, total = _dealt(blocks, folder), int(sums["tokens"]) // SHARD_TOKENS + 4, int(sums["total"])
+        dealt, n_shards, total = _dealt(blocks, folder, n), int(sums["tokens"]) // SHARD_TOKENS + 4, int(sums["total"])
     if not n:
         return spark.createDataFrame([], SCHEMA)
     blocks = blocks.select("block").repartition(min(n, 10_000), "block")
