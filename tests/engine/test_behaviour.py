@@ -283,3 +283,12 @@ def test_lifecycle(spark):
     b = spark.createDataFrame([(1, "c", "x", 2.0), (1, "c", "y", 3.0), (1, "c", "z", 1.0)], "query_id int, chain_key string, seed string, lexical double")
     assert [(x.seed, x.total) for x in lifecycle.page_bundles(b, 1, 1).collect()] == [("x", 3)]
     assert spark.range(1).select(lifecycle.kind_label(F.lit("ContinuesFrom"))).first()[0] == "continues_from"
+
+
+def test_many_terms_score_as_few_do(spark, monkeypatch):
+    rows = [{"content": "running runs of tapes", "tags": ["Run", "tape"]}, {"content": ""}, {"content": "no", "tags": ["runner"]}, {"content": None, "tags": None}]
+    show = lambda stemmed: sorted((r.query_id, r["index"], round(r.lexical, 9), tuple(r.matched_terms), tuple(r.match_sources)) for r in bm25_rows(spark, rows, ["run tape", "no", ""], stemmed=stemmed).collect())
+    few = [show(True), show(False)]
+    assert len(few[0]) == 2 and few[0] != few[1]
+    monkeypatch.setattr(lexical, "SENT_TERMS", 1)
+    assert [show(True), show(False)] == few

@@ -32,6 +32,35 @@ def stems(words: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(ends, known.take(flat.indices))
 
 
+def counted(terms: list[str], stemmed: bool = True):
+    """A function of arrays of words: how often each of `terms` is among them (as stems), and under null how many other words there are."""
+
+    @F.arrow_udf("array<struct<term:string,n:bigint>>")
+    def count(words: pa.Array) -> pa.Array:
+        import numpy as np
+        import pyarrow as pa
+
+        from tracewell.functions.stem import stem
+
+        place = {t: i for i, t in enumerate(terms)}
+        flat = words.flatten().dictionary_encode()
+        known = np.array([place.get(stem(w) if stemmed else w, -1) for w in flat.dictionary.to_pylist()] + [-1], np.int64)
+        code = known[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        hit = code >= 0
+        distinct, times = np.unique(row[hit] * max(1, len(terms)) + code[hit], return_counts=True)
+        rows, which = np.divmod(distinct, max(1, len(terms)))
+        order = np.argsort(np.concatenate([rows, np.arange(len(sizes))]), kind="stable")
+        which = np.concatenate([which, np.full(len(sizes), -1)])[order]
+        n = np.concatenate([times, sizes - np.bincount(row[hit], minlength=len(sizes))])[order]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(sizes)) + 1)])
+        names = pa.array(terms, pa.string()).take(pa.array(which, mask=which < 0))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([names, pa.array(n, pa.int64())], ["term", "n"]))
+
+    return count
+
+
 def stem_set(text: Column) -> Column:
     """Distinct stems of a text's tokens and of their irregular base forms."""
     return F.array_distinct(stems(query_terms(text)))

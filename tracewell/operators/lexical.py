@@ -1,8 +1,8 @@
 """Multi-field BM25 over many queries at once, on stems.
 
-Records are read and cut into words once: their words meet the terms of all queries, which are broadcast up to
-BROADCAST_TERMS, and what does not match is only counted. That leaves one row for each record and query term it holds, and
-one with the number of its other words; lengths, averages, document frequencies and scores all come from this small table,
+Records are read and cut into words once: their words meet the terms of all queries where they are, up to SENT_TERMS
+of them, and what does not match is only counted; more terms are joined. That leaves one row for each record and query
+term it holds, and one with the number of its other words; lengths, averages, document frequencies and scores all come from this small table,
 which is stored. Terms that occur in too many documents of a chain are gated out on the term table, before scoring.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import query_terms, stems, tokens
+from ..functions.text import counted, query_terms, stems, tokens
 from .storage import cut
 
 #: Parameters, fields, their weights, and the share of documents beyond which a term is too common in a field.
@@ -23,8 +23,8 @@ WEIGHTS = {"content": 1.0, "tags": 1.6, "concepts": 1.4, "agent_id": 1.5, "regis
 CUTOFFS = {"content": 0.30, "tags": 0.30, "concepts": 0.30, "agent_id": 0.70, "registry": 0.60}
 GATE_FROM = 20
 DOC = ("chain_key", "index")
-#: Distinct query terms up to this number are broadcast to the records; more are joined like any table.
-BROADCAST_TERMS = 1_000_000
+#: Distinct query terms up to this number are sent to the records; more are joined like any table.
+SENT_TERMS = 200_000
 
 
 def field_tokens(records: DataFrame, fields: Sequence[str] = FIELDS, agents: DataFrame | None = None, stemmed: bool = False) -> DataFrame:
@@ -44,12 +44,21 @@ def postings(docs: DataFrame, fields: Sequence[str], terms: DataFrame | None = N
     rows = docs.select(*DOC, F.explode_outer(tagged).alias("p")).select(*DOC, F.col("p.k").alias("k"), F.col("p.term").alias("term"))
     if terms is not None:
         known = terms.select("term").distinct().withColumn("wanted", F.lit(True))
-        few = known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-        rows = rows.join(F.broadcast(known) if few else known, "term", "left").withColumn("term", F.when(F.col("wanted"), F.col("term")))
+        rows = rows.join(known, "term", "left").withColumn("term", F.when(F.col("wanted"), F.col("term")))
     tf = [F.coalesce(F.sum((F.col("k") == k).cast("bigint")), F.lit(0)).alias(f"tf_{f}") for k, f in enumerate(fields)]
     return rows.groupBy(*DOC, "term").agg(*tf)
 
 
+def matches(docs: DataFrame, fields: Sequence[str], terms: list[str], stemmed: bool = True) -> DataFrame:
+    """What postings() gives of docs (with plain tokens) for a list of terms; words are counted where they are, and only counts move."""
+    count = counted(terms, stemmed)
+    counts = docs.select(*DOC, *[count(f"t_{f}").alias(f"c_{f}") for f in fields])
+    tag = lambda k: lambda c: F.struct(F.lit(k).alias("k"), c["term"].alias("term"), c["n"].alias("n"))
+    tagged = F.concat(*[F.transform(f"c_{f}", tag(k)) for k, f in enumerate(fields)])
+    rows = counts.select(*DOC, F.explode(tagged).alias("p")).select(*DOC, "p.*")
+    return rows.groupBy(*DOC, "term").agg(*[F.sum(F.when(F.col("k") == k, F.col("n")).otherwise(0)).alias(f"tf_{f}") for k, f in enumerate(fields)])
+
+
 def lengths(posts: DataFrame, fields: Sequence[str]) -> DataFrame:
     """chain_key, index, len_<field> of every document."""
     return posts.groupBy(*DOC).agg(*[F.sum(f"tf_{f}").alias(f"len_{f}") for f in fields])
@@ -89,7 +98,11 @@ def bm25(queries: DataFrame, records: DataFrame, fields: Sequence[str] = FIELDS,
     restricts what is scored. A query without tokens scores nothing. matched_terms are the terms as they were compared.
     """
     terms = cut(terms_of(queries, lemmas, stemmed))
-    posts = cut(postings(field_tokens(records, fields, agents, stemmed), fields, terms))
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(SENT_TERMS + 1).collect()]  # SENT_TERMS + 1 at most
+    if len(wanted) <= SENT_TERMS:
+        posts = cut(matches(field_tokens(records, fields, agents), fields, sorted(wanted), stemmed))
+    else:
+        posts = cut(postings(field_tokens(records, fields, agents, stemmed), fields, terms))
     lens = lengths(posts, fields)
     frequencies = document_frequency(posts).join(corpus_stats(lens, fields), "chain_key").withColumn("idf", idf(F.col("n_docs"), F.col("df")))
     common = lambda f: (F.col("n_docs") >= GATE_FROM) & (F.col("df") / F.col("n_docs") > cutoffs[f])
