@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.storage import file_system, new_folder, shared_dir, stored
 from ..plans.session import ship
 
-__all__ = ["alnum_words", "file_system", "join_counted", "new_folder", "publish", "shared_dir", "ship", "slices", "space_words", "steady", "stored", "table"]
+__all__ = ["alnum_words", "file_system", "join_counted", "new_folder", "publish", "shared_dir", "ship", "slices", "space_words", "steady", "stored", "table", "tidy"]
 
 #: Keys with more rows than both are joined by broadcast: HOT_ROWS, and the HOT_KEYS-th part of all rows.
 HOT_ROWS, HOT_KEYS = 256, 50_000
@@ -67,6 +69,12 @@ def join_counted(left: DataFrame, counted: DataFrame, keys: list[str]) -> DataFr
     return rest.unionByName(left.join(F.broadcast(hot), keys))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collects garbage of the driver, Python's first: plans, broadcasts and shuffles that nothing refers to any more go, here and on executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batch, column: int, rows: int = 1024, size: int = 8 << 20):
     """Slices of an Arrow batch with up to `rows` rows and `size` bytes of the texts in a column; a longer text is alone."""
     import numpy as np

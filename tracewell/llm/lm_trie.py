@@ -17,7 +17,6 @@ count asks for. Words are 64-bit hashes; inside a context, they are told apart b
 
 from __future__ import annotations
 
-import gc
 import io
 import uuid
 import zlib
@@ -25,7 +24,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, publish, ship, space_words, stored
+from .common import file_system, new_folder, publish, ship, space_words, stored, tidy
 
 MU2, SHARE2, MU3, SHARE3 = 16.0, 0.5, 1.0, 0.2
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 750_000
@@ -530,8 +529,7 @@ def score_texts(docs: DataFrame, parts: int = 7, which: int = 2, keep: str | Non
     for turn in range(ROUNDS):
         made = stored(_serve(_requests(blocks, folder, dealt, n_shards, turn), model or keep or folder, model is None, bool(model or keep)), "lm-answers")
         answers = made if answers is None else answers.unionByName(made)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the round
+        tidy(spark)
     if model is None:
         types = int(answers.agg(F.sum("types")).first()[0])
     if keep is not None and model is None:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_counted, ship, slices, space_words, stored
+from .common import join_counted, ship, slices, space_words, stored, tidy
 from .line_dedup import running_sum
 
 SHINGLE = 5
@@ -228,7 +228,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
 
     stars = stored(met.where(possible(F.col("n_shingles"), F.col("center_n"))).select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "dup-stars")
     links = stored(_verified(stars, reps, docs, percent), "dup-links")
+    tidy(docs.sparkSession)
     first = stored(components(links), "dup-first")
+    tidy(docs.sparkSession)
     # What stars can miss: pairs of a bucket in different components, one of them not in that of the bucket's smallest.
     wide = buckets.where("n > 2").join(first.select(F.col("id").alias("center"), F.col("component").alias("cc")), "center", "left").select("key", "center", F.coalesce("cc", "center").alias("center_c"), "n")
     inside = join_counted(members, stored(wide, "dup-wide"), ["key"]).join(first.withColumnRenamed("id", "rep"), "rep", "left").select("table", "key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
@@ -251,6 +253,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     if near.take(1):
         links = stored(links.unionByName(_verified(near, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-second")
+    tidy(docs.sparkSession)
     label = first.select(F.col("id").alias("rep"), "component")
     inside = inside.drop("c").join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component").join(classes.select(F.col("id").alias("rep"), "halves"), "rep")
     hubs = hubs.select("key", "hub", "n").join(label.withColumnRenamed("rep", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("hub_c"), "n")
@@ -265,6 +268,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     if more.take(1):
         links = stored(links.unionByName(_verified(more, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-all")
+    tidy(docs.sparkSession)
     names = first.groupBy("component").agg(F.count("*").alias("n")).join(reps.select(F.col("id").alias("component"), F.col("rep_doc").alias("component_id")), "component")
     named = join_counted(first, stored(names, "dup-names"), ["component"]).select("id", "component", "component_id")
     of_class = classes.join(named, "id", "left").select("digest", "n", "rep_doc", "rep_mark", F.coalesce("component_id", "rep_doc").alias("component_id"), F.coalesce(F.col("component") == F.col("id"), F.lit(True)).alias("leads"))
