@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import decontam, mixing, near_dup, quality_fm, token_files
-from tracewell.llm.common import steady, stored, table
+from tracewell.llm.common import steady, stored, table, tidy
 
 #: Numbers of rows that the mix takes are broadcast up to this many; more are shuffled to the texts.
 BROADCAST_ROWS = 1_000_000
@@ -25,6 +25,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are scored by their statistics like any other; a null doc_id has no label. No usable label:
     every score is 0.5 and all stay. Repeated rows share a fate. Empty table: no rows.
     """
+    tidy(spark)
     name = _unused(docs, "score")
     scored = quality_fm.score(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")), name)
     return scored.where(F.col(name) >= 0.5).select(*docs.columns)
@@ -36,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat doc_id and text one stays; rows that share a doc_id but not the text are documents of their own.
     Documents without words and rows without doc_id link with nothing and stay. Empty table: no rows.
     """
+    tidy(spark)
     found = near_dup.near_duplicates(docs, percent=80)
     mark, n, row = _unused(docs, "mark"), _unused(docs, "n"), _unused(docs, "row")
     keep = stored(found.where("first and doc_id is not null").groupBy("doc_id", F.col("mark").alias(mark)).agg(F.count("*").alias(n)), "dedup-kept")
@@ -56,6 +58,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Null and empty texts have no words and stay, null doc_ids and repeated rows are judged like any other. Items without
     words match nothing. Empty tables: no rows, or all stay.
     """
+    tidy(spark)
     return decontam.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
@@ -65,6 +68,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have size 0 and are not taken; a null source is a source; repeated rows are rows of their own.
     Empty table: no rows.
     """
+    tidy(spark)
     docs = steady(docs, "mix-input")
     row, copies = _unused(docs, "row"), _unused(docs, "copies")
     place = docs.withColumn(row, F.monotonically_increasing_id())
@@ -76,6 +80,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files of the mix, described document by document from what was read back."""
+    tidy(spark)
     return token_files.token_output(docs)
 
 
