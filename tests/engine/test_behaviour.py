@@ -292,3 +292,14 @@ def test_many_terms_score_as_few_do(spark, monkeypatch):
     assert len(few[0]) == 2 and few[0] != few[1]
     monkeypatch.setattr(lexical, "SENT_TERMS", 1)
     assert [show(True), show(False)] == few
+
+
+def test_numbers_go_on_over_ranges(spark):
+    from tracewell.operators.storage import numbered
+
+    rows = spark.range(0, 500, 1, 7).select((F.col("id") % 3).alias("k"), (F.col("id") * 7919 % 500).alias("o"))
+    got = numbered(rows, ["k"], ["o"], "n").collect()
+    for k in range(3):
+        mine = sorted((r.o, r.n) for r in got if r.k == k)
+        assert [n for _, n in mine] == list(range(len(mine)))
+    assert numbered(rows.where("false"), ["k"], ["o"], "n").collect() == []

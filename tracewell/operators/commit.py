@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import stem_set, tokens
 from ..plans.schema import SCHEMA_VERSION
-from .storage import cut
+from .storage import cut, numbered
 
 #: Columns that a hash covers.
 HASHED = ("index", "agent_id", "thought_type", "role", "content", "importance", "confidence", "tags", "concepts")
@@ -38,8 +38,7 @@ def normalise(inputs: DataFrame, log: DataFrame | None = None, now: Column | Non
         rows = rows.join(log.groupBy("chain_key").agg((F.max("index") + 1).alias("next_index")), "chain_key", "left")
     else:
         rows = rows.withColumn("next_index", F.lit(0))
-    index = F.coalesce("next_index", F.lit(0)) + F.row_number().over(Window.partitionBy("chain_key").orderBy("seq")) - 1
-    rows = rows.withColumn("index", index.cast("bigint")).drop("next_index", "seq")
+    rows = numbered(rows, ["chain_key"], ["seq"], "index").withColumn("index", F.col("index") + F.coalesce("next_index", F.lit(0))).drop("next_index", "seq")
     # Ids of the records that refs name: only (chain, index, id) of those moves.
     wanted = rows.select("chain_key", F.col("index").alias("from"), F.explode(F.array_distinct("refs")).alias("index")).where(F.col("index") < F.col("from"))
     known = rows.select("chain_key", "index", "id")

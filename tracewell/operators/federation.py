@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import lexical, ranking
-from .storage import cut
+from .storage import cut, numbered
 
 
 def dedupe(hits: DataFrame, first_chain_wins: bool = False) -> DataFrame:
@@ -87,8 +87,8 @@ def map_agents(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def merge_chain(source: DataFrame, mapping: DataFrame, target_chain: str, next_index: int) -> DataFrame:
     """Records of a chain re-appended to another: agents mapped, refs and relations dropped, indexes after next_index - 1."""
-    w = Window.partitionBy("chain_key").orderBy("index")
-    moved = source.join(mapping.select(F.col("source_agent").alias("agent_id"), "target_agent"), "agent_id").withColumn("index", (F.row_number().over(w) - 1 + next_index).cast("bigint"))
+    moved = source.join(mapping.select(F.col("source_agent").alias("agent_id"), "target_agent"), "agent_id").withColumnRenamed("index", "old_index")
+    moved = numbered(moved, ["chain_key"], ["old_index"], "index").withColumn("index", F.col("index") + next_index).drop("old_index")
     dropped = {c: F.expr(f"slice({c}, 1, 0)") for c in ("refs", "relations") if c in source.columns}
     return moved.withColumns({"agent_id": F.col("target_agent"), "chain_key": F.lit(target_chain), **dropped}).drop("target_agent")
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stem
 from ..functions.text import stems, tokens
 from .graph import BOOSTS
+from .storage import numbered
 
 #: Version of how documents are cut into terms: a changed one makes stored postings stale.
 NORMALIZER = 1
@@ -33,10 +34,8 @@ def copy_agent(records: DataFrame, agent: str, source: str, target: str) -> Data
         raise ValueError(f"{agent} already has records in {target}")
     last = records.where(F.col("chain_key") == target).agg(F.max("index").alias("i")).first()["i"]
     next_index = 0 if last is None else last + 1
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chain_key").orderBy("index")
-    mine = records.where((F.col("chain_key") == source) & (F.col("agent_id") == agent)).withColumn("index", (F.row_number().over(w) - 1 + next_index).cast("bigint"))
+    mine = records.where((F.col("chain_key") == source) & (F.col("agent_id") == agent)).withColumnRenamed("index", "old_index")
+    mine = numbered(mine, ["chain_key"], ["old_index"], "index").withColumn("index", F.col("index") + next_index).drop("old_index")
     return mine.withColumn("chain_key", F.lit(target))
 
 

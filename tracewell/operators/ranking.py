@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 #: How near and how weak a hit gains by cohesion, how strong its neighbour must be, how much it gains; and of fusion.
 SIGNALS = ("lexical", "vector", "graph", "relation", "seed_support")
 COHESION_SEED, COHESION_BELOW, COHESION_REACH, COHESION_MOST = 3.0, 5.0, 12, 1.2
@@ -73,31 +75,37 @@ def additive(rows: DataFrame) -> DataFrame:
 def cohesion(hits: DataFrame) -> DataFrame:
     """hits with `cohesion`, added to total: weak hits near a strong one of the same query and chain gain.
 
-    The nearest strong hit on either side comes from two windows over the index; no range join.
+    Every strong hit names the indexes that it reaches, and hits meet them by equal keys: no range join, and no window over
+    the hits of a query.
     """
-    strong = F.when(F.col("lexical") >= COHESION_SEED, F.col("index"))
-    w = Window.partitionBy("query_id", "chain_key").orderBy("index")
-    before = F.last(strong, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(strong, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    d = F.least(F.col("index") - before, after - F.col("index"))
-    near = (F.col("lexical") < COHESION_BELOW) & (d > 0) & (d <= COHESION_REACH)
-    return hits.withColumn("cohesion", F.coalesce(F.when(near, COHESION_MOST * (1 - d / COHESION_REACH)), F.lit(0.0))).withColumn("total", F.col("total") + F.col("cohesion"))
+    key = ["query_id", "chain_key", "index"]
+    hits = cut(hits)
+    reach = F.explode(F.sequence(F.col("index") - COHESION_REACH, F.col("index") + COHESION_REACH))
+    strong = hits.where(F.col("lexical") >= COHESION_SEED).select("query_id", "chain_key", F.col("index").alias("at"), reach.alias("index"))
+    nearest = strong.groupBy(*key).agg(F.min(F.abs(F.col("index") - F.col("at"))).alias("d"))
+    gain = F.when((F.col("lexical") < COHESION_BELOW) & (F.col("d") > 0), COHESION_MOST * (1 - F.col("d") / COHESION_REACH))
+    return hits.join(nearest, key, "left").withColumn("cohesion", F.coalesce(gain, F.lit(0.0))).withColumn("total", F.col("total") + F.col("cohesion")).drop("d")
 
 
 def rrf(hits: DataFrame, rerank_k: int = RERANK_K) -> DataFrame:
     """hits with `rrf`; hits in one of the three lists get it in place of their lexical and vector parts.
 
-    Lists: lexical, vector, and graph + relation + seed_support, each of the rerank_k best by score, then index.
+    Lists: lexical, vector, and graph + relation + seed_support, each of the rerank_k best by score, then index. Only the
+    heads of lists are ranked; they meet the hits by their keys.
     """
+    key = ["query_id", "chain_key", "index"]
+    hits = cut(hits)
     structure = F.col("graph") + F.col("relation") + F.col("seed_support")
-    ranks: list[Column] = []
+    heads = None
     for score in (F.col("lexical"), F.col("vector"), structure):
-        r = F.row_number().over(Window.partitionBy("query_id").orderBy(score.desc(), "index", "chain_key"))
-        ranks.append(F.when(r <= rerank_k, 1.0 / (RRF_K + r)))
-    listed = ranks[0].isNotNull() | ranks[1].isNotNull() | ranks[2].isNotNull()
-    hits = hits.withColumns({"rrf": sum((F.coalesce(r, F.lit(0.0)) for r in ranks), F.lit(0.0)), "listed": listed})
-    fused = F.col("rrf") + structure + F.col("importance_score") + F.col("confidence_score") + F.col("recency") + (F.col("cohesion") if "cohesion" in hits.columns else F.lit(0.0))
-    return hits.withColumn("total", F.when(F.col("listed"), fused).otherwise(F.col("total"))).drop("listed")
+        w = Window.partitionBy("query_id").orderBy(F.desc("score"), "index", "chain_key")
+        head = hits.select(*key, score.alias("score")).withColumn("r", F.row_number().over(w)).where(F.col("r") <= rerank_k).select(*key, "r")
+        heads = head if heads is None else heads.unionByName(head)
+    fused = heads.groupBy(*key).agg(F.sum(1.0 / (RRF_K + F.col("r"))).alias("rrf"))
+    hits = hits.join(fused, key, "left")
+    listed = F.col("rrf").isNotNull()
+    total = F.col("rrf") + structure + F.col("importance_score") + F.col("confidence_score") + F.col("recency") + (F.col("cohesion") if "cohesion" in hits.columns else F.lit(0.0))
+    return hits.withColumn("total", F.when(listed, total).otherwise(F.col("total"))).withColumn("rrf", F.coalesce("rrf", F.lit(0.0)))
 
 
 def final_order() -> list[Column]:

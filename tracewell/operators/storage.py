@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Setting by which Spark deletes the shuffle files of a job at its end, and not when the driver's garbage is next collected.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -60,6 +61,16 @@ def cut(df: DataFrame) -> DataFrame:
     return stored(df, "cut")
 
 
+def numbered(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    """df with `name`: 0, 1, ... for the rows of each key in the order. A key of any size is dealt out: rows are sorted in ranges, each counted on from the ranges before it."""
+    parts = stored(df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("part", F.spark_partition_id()), "numbered")
+    upto = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy(*keys, "part").agg(F.count("*").alias("n"))  # a row for each key, and one more for each range that a key goes on in
+    offsets = sizes.withColumn("offset", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n")
+    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*order)) - 1
+    return parts.withColumn("local", local).join(offsets, [*keys, "part"]).withColumn(name, (F.col("local") + F.col("offset")).cast("bigint")).drop("local", "offset", "part")
+
+
 def file_system(uri: str):
     """pyarrow file system and path of a URI of the shared folder."""
     from pyarrow import fs
