@@ -75,7 +75,7 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def slices(batch, column: int, rows: int = 1024, size: int = 8 << 20):
+def slices(batch, column: int, rows: int = 1024, size: int = 2 << 20):
     """Slices of an Arrow batch with up to `rows` rows and `size` bytes of the texts in a column; a longer text is alone."""
     import numpy as np
     import pyarrow.compute as pc
