@@ -303,3 +303,18 @@ def test_numbers_go_on_over_ranges(spark):
         mine = sorted((r.o, r.n) for r in got if r.k == k)
         assert [n for _, n in mine] == list(range(len(mine)))
     assert numbered(rows.where("false"), ["k"], ["o"], "n").collect() == []
+
+
+def test_changes_of_agents(spark):
+    when = dt.datetime(2024, 2, 3)
+    rows = [
+        ("c", "a", 1, "upsert", "Ann", "o", None, None, None, None, None, None), ("c", "a", 3, "upsert", "Anna", "p", "tall", None, None, None, None, None), ("c", "a", 2, "alias", None, None, None, "annie", None, None, None, None),
+        ("c", "a", 4, "add_key", None, None, None, None, "k", "ed25519", b"x", when), ("c", "a", 5, "revoke_key", None, None, None, None, "k", None, None, when), ("c", "a", 6, "add_key", None, None, None, None, "k2", "ed25519", b"y", when),
+        ("c", "a", 7, "disable", None, None, None, None, None, None, None, None), ("d", "a", 1, "describe", None, None, "other", None, None, None, None, None),
+    ]
+    got = {(r.chain_key, r.agent_id): r for r in registry.changed(spark.createDataFrame(rows, registry.CHANGE)).collect()}
+    a = got["c", "a"]
+    assert (a.display_name, a.owner, a.description, a.aliases, a.status) == ("Anna", "o", "tall", ["annie", "Ann"], "disabled")
+    assert [(k.key_id, k.revoked_at) for k in a.public_keys] == [("k", when), ("k2", None)] and got["d", "a"].description == "other"
+    with pytest.raises(Exception, match="no such change"):
+        registry.changed(spark.createDataFrame([("c", "a", 1, "explode")], "chain_key string, agent_id string, seq bigint, kind string")).collect()

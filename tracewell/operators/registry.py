@@ -50,6 +50,57 @@ def names_over_time(events: DataFrame) -> DataFrame:
     return events.groupBy("chain_key", "agent_id").applyInPandas(fold, schema)
 
 
+AGENT = "chain_key string, agent_id string, display_name string, owner string, description string, aliases array<string>, status string, public_keys array<struct<key_id:string,algorithm:string,public_key_bytes:binary,added_at:timestamp,revoked_at:timestamp>>"
+CHANGE = "chain_key string, agent_id string, seq bigint, kind string, display_name string, owner string, description string, alias string, key_id string, algorithm string, public_key_bytes binary, at timestamp"
+
+
+def changed(changes: DataFrame) -> DataFrame:
+    """Agents (chain_key, agent_id, display_name, owner, description, aliases, status, public_keys) after changes, in the order of seq.
+
+    kind: `upsert` (display_name, owner, description: what is given replaces; a new name makes the old one an alias, the
+    first owner stays), `describe`, `alias`, `add_key`, `revoke_key` (by key_id, at), `disable`, `enable`. Other kinds are an
+    error. The changes of one agent are folded together; agents side by side.
+    """
+
+    def fold(table):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import StructType
+
+        rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
+        agent = {"chain_key": rows[0]["chain_key"], "agent_id": rows[0]["agent_id"], "display_name": None, "owner": None, "description": None, "aliases": [], "status": "active", "public_keys": []}
+        for r in rows:
+            if r["kind"] in ("upsert", "describe"):
+                new = r["display_name"] if r["kind"] == "upsert" else None
+                if new is not None and new != agent["display_name"]:
+                    if agent["display_name"] is not None and agent["display_name"] not in agent["aliases"]:
+                        agent["aliases"].append(agent["display_name"])
+                    agent["aliases"] = [a for a in agent["aliases"] if a != new]
+                    agent["display_name"] = new
+                if r["kind"] == "upsert" and agent["owner"] is None:
+                    agent["owner"] = r["owner"]
+                if r["description"] is not None:
+                    agent["description"] = r["description"]
+            elif r["kind"] == "alias":
+                if r["alias"] and r["alias"] not in (agent["display_name"], *agent["aliases"]):
+                    agent["aliases"].append(r["alias"])
+            elif r["kind"] == "add_key":
+                agent["public_keys"] = [k for k in agent["public_keys"] if k["key_id"] != r["key_id"]] + [{"key_id": r["key_id"], "algorithm": r["algorithm"], "public_key_bytes": r["public_key_bytes"], "added_at": r["at"], "revoked_at": None}]
+            elif r["kind"] == "revoke_key":
+                for k in agent["public_keys"]:
+                    if k["key_id"] == r["key_id"] and k["revoked_at"] is None:
+                        k["revoked_at"] = r["at"]
+            elif r["kind"] in ("disable", "enable"):
+                agent["status"] = "disabled" if r["kind"] == "disable" else "active"
+            else:
+                raise ValueError(f"no such change: {r['kind']}")
+        return pa.Table.from_pylist([agent], to_arrow_schema(StructType.fromDDL(AGENT)))
+
+    wanted = [f.split()[0] for f in CHANGE.split(", ")]
+    full = changes.select(*[F.col(c) if c in changes.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in CHANGE.split(", "))])
+    return full.select(*wanted).groupBy("chain_key", "agent_id").applyInArrow(fold, AGENT)
+
+
 def latest(events: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """The last event of each key: upserts, status changes, revocations."""
     w = Window.partitionBy(*keys).orderBy(F.desc(order))

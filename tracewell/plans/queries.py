@@ -736,7 +736,9 @@ def markdown_import(spark, d):
     return markdown.parse(text).withColumn("tags", F.array_join("tags", ", "))
 
 
-@query()
+@query(f"""WITH {S.CONV}, l AS (SELECT chain_key, idx, CASE thought_type WHEN 'FactLearned' THEN 1 WHEN 'Constraint' THEN 2 ELSE 4 END AS k, CASE thought_type WHEN 'FactLearned' THEN 'Knowledge' WHEN 'Constraint' THEN 'Constraints And Decisions' ELSE 'Open Threads' END AS section, {LINE_SQL.replace("confidence", "NULL::DOUBLE")} AS line FROM conv),
+s AS (SELECT chain_key, k, '## ' || section || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY idx) || chr(10) || chr(10) AS t FROM l GROUP BY chain_key, k, section), n AS (SELECT chain_key, count(*) AS n FROM conv GROUP BY chain_key)
+SELECT s.chain_key, '# MEMORY' || chr(10) || chr(10) || 'Generated from `' || s.chain_key || '` with ' || max(n) || ' thought(s).' || chr(10) || chr(10) || string_agg(t, '' ORDER BY k) AS markdown FROM s JOIN n USING (chain_key) GROUP BY s.chain_key""")
 def markdown_export(spark, d):
     return markdown.export(S.conversation_records(spark, d))
 
