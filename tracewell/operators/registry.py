@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def agent_counts(records: DataFrame, agents: DataFrame | None = None) -> DataFrame:
@@ -62,10 +64,10 @@ def changed(changes: DataFrame) -> DataFrame:
     error. The changes of one agent are folded together; agents side by side.
     """
 
+    schema = to_arrow_schema(StructType.fromDDL(AGENT))
+
     def fold(table):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
 
         rows = sorted(table.to_pylist(), key=lambda r: r["seq"])
         agent = {"chain_key": rows[0]["chain_key"], "agent_id": rows[0]["agent_id"], "display_name": None, "owner": None, "description": None, "aliases": [], "status": "active", "public_keys": []}
@@ -94,7 +96,7 @@ def changed(changes: DataFrame) -> DataFrame:
                 agent["status"] = "disabled" if r["kind"] == "disable" else "active"
             else:
                 raise ValueError(f"no such change: {r['kind']}")
-        return pa.Table.from_pylist([agent], to_arrow_schema(StructType.fromDDL(AGENT)))
+        return pa.Table.from_pylist([agent], schema)
 
     wanted = [f.split()[0] for f in CHANGE.split(", ")]
     full = changes.select(*[F.col(c) if c in changes.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in CHANGE.split(", "))])
