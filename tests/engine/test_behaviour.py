@@ -66,9 +66,9 @@ def test_irregular_and_stemmed_queries(spark):
     rows = [{"content": "they go home"}, {"content": "running expansions"}]
     assert [r["index"] for r in bm25_rows(spark, rows, ["went"]).collect()] == [0]
     assert bm25_rows(spark, rows, ["run expansion"]).count() == 0
-    q = spark.createDataFrame([(0, "run expansion"), (1, "goes")], "query_id int, text string")
+    q = spark.createDataFrame([(0, "run expansion"), (1, "went homes")], "query_id int, text string")
     got = lexical.bm25(q, records(spark, rows), ("content",)).collect()  # stems unless said otherwise
-    assert {(r.query_id, r["index"], tuple(r.matched_terms)) for r in got} == {(0, 1, ("expans", "run")), (1, 0, ("goe",))} or {(r.query_id, r["index"]) for r in got} >= {(0, 1)}
+    assert {(r.query_id, r["index"], tuple(r.matched_terms)) for r in got} == {(0, 1, ("expans", "run")), (1, 0, ("go", "home"))}
     assert [r["index"] for r in bm25_rows(spark, rows, ["run expansion"], stemmed=True).collect()] == [1]
 
 
