@@ -103,3 +103,34 @@ def test_components_of_paths_and_stars(spark):
 
 def test_empty_table(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def group(rng, n):
+    """An origin, n copies that link with it and n that link with nothing, all of one length and in the same buckets."""
+    words = [f"w{i}" for i in range(300)]
+
+    def copy(edits):
+        w = list(words)
+        for at in rng.sample(range(0, 300, 6), edits):
+            w[at] = f"e{rng.randrange(6)}-{at}"
+        return " ".join(w)
+
+    return [(0, " ".join(words))] + [(1 + i, copy(rng.randint(2, 4))) for i in range(n)] + [(1 + n + i, copy(rng.randint(6, 9))) for i in range(n)]
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(spark, monkeypatch):
+    made, keep = {}, near_dup.stored
+
+    def counted(df, name):
+        out = keep(df, name)
+        made[name] = max(made.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "stored", counted)
+    docs = group(random.Random(21), 60)
+    got = near_dup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), percent=85).collect()
+    want = brute(docs)
+    assert {r.doc_id: r.component_id for r in got} == {d: want[d, t][1] for d, t in docs}
+    assert len({r.component_id for r in got}) > 40  # most of those that link with nothing the origin reaches
+    assert made["dup-open"] == len(docs)
+    assert made.get("dup-rest", 0) < 2 * len(docs)  # of 60 * 60 that meet in buckets

@@ -8,11 +8,12 @@ about the square root. A pair at similarity J meets in some table with probabili
 Documents with equal shingle sets form a class first and only the smallest of each is looked at further. In each bucket
 every member is compared with the smallest one (a star). Where that leaves a bucket in several components, shingles that
 only one of these documents has are counted: what is left of either set bounds the intersection, and pairs that cannot
-reach the threshold are never made. A second star is drawn around the member with the least of its own, and at last
-members outside its component are compared with all members of other components, in the first table only in which
-they meet. Large groups thus cost one comparison
-for each member and table, while no candidate pair that could still join two components goes unverified. Links are
-confirmed on full shingle sets.
+reach the threshold are never made. A second star is drawn around the member with the least of its own, its hub, and at
+last the pairs of members in different components that can still be linked are made from what their sets hold beside
+those of the hub: two sets without a shingle in common there have no more in common than the smaller of their parts in
+the hub, and if that does not reach, only members with such a shingle in common are compared. Large groups thus cost one
+comparison for each member and table, while no candidate pair that could still join two components goes unverified. Links
+are confirmed on full shingle sets.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ SIDE, HALF = 9, 3
 SEED = 20240607
 #: Candidate ids up to this number are broadcast to find their texts; more are shuffled.
 BROADCAST_IDS = 1_000_000
-#: Pairs that are verified with one copy of the text that they have in common; and rows of a bucket that meet all others together.
+#: Pairs that are verified with one copy of the text that they have in common; and rows of a hub that meet all others together.
 PAIRS_PER_PART, ROWS_PER_PART = 64, 256
 MIX1, MIX2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
@@ -106,8 +107,8 @@ def _texts(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return met.groupBy("id").agg(F.min("text").alias("text"))  # rows that repeat id and text
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes whose full shingle sets satisfy 100 * intersection >= percent * union.
+def _side_by_side(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, text_a, b, text_b) for pairs (a, b) of classes.
 
     a may stand in any number of pairs: those are dealt out in parts of PAIRS_PER_PART, each with its own copy of a's
     text. b is in a few pairs only.
@@ -118,7 +119,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
     left = texts.withColumnRenamed("text", "text_a").join(counts.select(F.col("a").alias("id"), "parts"), "id").select(F.col("id").alias("a"), "text_a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
     dealt = join_counted(pairs, counts, ["a"]).select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    both = dealt.join(right, "b").join(left, ["a", "part"])
+    return dealt.join(right, "b").join(left, ["a", "part"]).select("a", "text_a", "b", "text_b")
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes whose full shingle sets satisfy 100 * intersection >= percent * union."""
 
     def run(batches):
         import numpy as np
@@ -138,11 +143,34 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, percent: int)
                 keep = pa.array(ok, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2)], names=["a", "b"]).filter(keep)
 
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
+    return _side_by_side(pairs, reps, docs).mapInArrow(run, "a long, b long")
+
+
+def _beside(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(hub, rep, common, others) for pairs (a, b) of a hub and a class: how many shingles they share, and those of b alone."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        last, mine = None, None
+        for batch in batches:
+            for part in slices(batch, 3, 256):
+                common, others = [], []
+                for a, ta, tb in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    if last is None or a != last:
+                        last, mine = a, shingle_set(ta)
+                    other = shingle_set(tb)
+                    others.append(np.setdiff1d(other, mine, assume_unique=True).astype(np.int64))
+                    common.append(len(other) - len(others[-1]))
+                ends = np.cumsum([0, *map(len, others)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(common, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(others)))], names=["hub", "rep", "common", "others"])
+
+    return _side_by_side(pairs, reps, docs).mapInArrow(run, "hub long, rep long, common long, others array<long>")
 
 
 def _lone_shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """(rep, alone): how many shingles of each class of ids occur in no other of them; classes without such are left out."""
+    """(rep, alone): the shingles of each class of ids that occur in no other of them; classes without such are left out."""
     texts = _texts(ids.withColumnRenamed("rep", "id"), reps, docs)
 
     def run(batches):
@@ -156,14 +184,55 @@ def _lone_shingles(ids: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(reps), pa.array(np.concatenate(sets).astype(np.int64))], names=["rep", "h"])
 
     found = texts.mapInArrow(run, "rep long, h long").groupBy("h").agg(F.min("rep").alias("rep"), F.count("*").alias("n")).where("n = 1")
-    alone = found.groupBy("rep").agg(F.count("*").alias("alone"))
-    return alone
+    return found.groupBy("rep").agg(F.collect_list("h").alias("alone"))
 
 
-def _met_before(side: int) -> Column:
-    """Whether hx and hy share a half-key before those of this table: then they meet in an earlier table, too."""
-    i, j = F.floor(F.col("table") / side).cast("int"), (F.col("table") % side).cast("int")
-    return F.arrays_overlap(F.slice("hx", F.lit(1), i), F.slice("hy", F.lit(1), i)) | F.arrays_overlap(F.slice("hx", F.lit(side + 1), j), F.slice("hy", F.lit(side + 1), j))
+def _still_possible(at_hubs: DataFrame, able: DataFrame, classes: DataFrame, reps: DataFrame, docs: DataFrame, side: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b) of classes of different components, one of them not in that of their hub, that can still be linked; None if no class is outside.
+
+    at_hubs: hub, hub_c, rep, n_shingles, c, once for each hub and class that meet in a bucket; able: rep and the
+    shingles that are in no other class (`alone`), which no pair shares. Of a pair x, y with the
+    hub h, the intersection is at most min(|x & h|, |y & h|) and what x and y share beside h. Pairs that share nothing
+    there are made only if the first alone reaches, and only if they meet in a bucket; of the others, what they share is counted.
+    """
+    outside = F.col("c") != F.col("hub_c")
+    hubs = at_hubs.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(outside).alias("outside"), F.min("n_shingles").alias("least")).where("outside > 0 and n > 1")
+    hubs = stored(hubs, "dup-outside")
+    if not hubs.take(1):
+        return None
+    still = stored(join_counted(at_hubs, hubs, ["hub"]).drop("n", "outside"), "dup-still")
+    beside = _beside(still.select(F.col("hub").alias("a"), F.col("rep").alias("b")), reps, docs)
+    beside = beside.join(still, ["hub", "rep"]).join(able.select("rep", "alone"), "rep")
+    still = stored(beside.withColumn("others", F.when(F.col("alone").isNull(), F.col("others")).otherwise(F.array_except("others", "alone"))).drop("alone"), "dup-beside")
+    tidy(still.sparkSession)
+
+    def reaches(most: Column, n: Column, m: Column) -> Column:
+        return most * (100 + percent) >= (n + m) * percent
+
+    def met(rows: DataFrame, counts: DataFrame, keys: list[str], more: list[str]) -> DataFrame:
+        """Pairs x, y of rows with equal keys, x outside the hub's component; counts: n rows of each of the keys, `outside` of them outside."""
+        dealt = join_counted(rows, stored(counts.withColumn("parts", F.ceil(F.col("outside") / ROWS_PER_PART)), "dup-parts"), keys)
+        left = dealt.where(outside).select(*keys, F.pmod(F.xxhash64("rep"), "parts").alias("part"), F.col("rep").alias("x"), F.col("n_shingles").alias("n_x"), F.col("common").alias("common_x"), F.col("c").alias("cx"), *[F.col(k).alias(f"{k}_x") for k in more])
+        right = dealt.select(*keys, "hub_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("rep").alias("y"), F.col("n_shingles").alias("n_y"), F.col("common").alias("common_y"), F.col("c").alias("cy"), *[F.col(k).alias(f"{k}_y") for k in more])
+        return left.join(right, [*keys, "part"]).where("cx <> cy and (cy = hub_c or x < y)")
+
+    in_hub = F.least("common_x", "common_y")
+    near = still.drop("others").where(reaches(F.col("common"), F.col("n_shingles"), F.col("least")) | ~outside)
+    near = stored(near.join(classes.select(F.col("id").alias("rep"), "halves"), "rep"), "dup-inner")
+    counts = near.groupBy("hub").agg(F.count("*").alias("n"), F.count_if(outside).alias("outside")).where("outside > 0")
+    overlap = [F.arrays_overlap(F.slice("halves_x", at, side), F.slice("halves_y", at, side)) for at in (1, side + 1)]
+    inner = stored(met(near, counts, ["hub"], ["halves"]).where(reaches(in_hub, F.col("n_x"), F.col("n_y"))).where(overlap[0] & overlap[1]).select("x", "y"), "dup-inner")
+    tidy(still.sparkSession)
+
+    shared = stored(still.withColumn("h", F.explode("others")).drop("others"), "dup-tokens")
+    counts = shared.groupBy("hub", "h").agg(F.count("*").alias("n"), F.count_if(outside).alias("outside")).where("outside > 0 and n > 1")
+    shared = stored(join_counted(shared, stored(counts.select("hub", "h", "n", "outside"), "dup-shared"), ["hub", "h"]).drop("n", "outside"), "dup-tokens")
+    own = shared.groupBy("hub", "rep").agg(F.count("*").alias("own"))
+    shared = stored(shared.join(own, ["hub", "rep"]).where(reaches(F.col("common") + F.col("own"), F.col("n_shingles"), F.col("least")) | ~outside), "dup-tokens")
+    counts = shared.groupBy("hub", "h").agg(F.count("*").alias("n"), F.count_if(outside).alias("outside")).where("outside > 0 and n > 1")
+    pairs = met(shared, counts, ["hub", "h"], ["own"]).where(reaches(in_hub + F.least("own_x", "own_y"), F.col("n_x"), F.col("n_y")))
+    pairs = pairs.groupBy("hub", "x", "y", "n_x", "n_y", "common_x", "common_y").agg(F.count("*").alias("beside")).where(reaches(in_hub + F.col("beside"), F.col("n_x"), F.col("n_y"))).select("x", "y")
+    return stored(inner.unionByName(pairs).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "dup-rest")
 
 
 def components(edges: DataFrame, name: str = "dup") -> DataFrame:
@@ -218,7 +287,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     reps = classes.select("id", "rep_doc", "rep_mark")
     left, right = F.slice("halves", 1, side), F.slice("halves", side + 1, side)
     keys = F.flatten(F.transform(left, lambda x: F.transform(right, lambda y: F.xxhash64(x, y))))
-    members = classes.select(F.col("id").alias("rep"), "n_shingles", F.posexplode(keys).alias("table", "key"))
+    members = classes.select(F.col("id").alias("rep"), "n_shingles", F.explode(keys).alias("key"))
     smallest = F.min(F.struct("rep", F.col("n_shingles").alias("n")))
     buckets = stored(members.groupBy("key").agg(smallest.alias("c"), F.count("*").alias("n")).where("n > 1").select("key", F.col("c.rep").alias("center"), F.col("c.n").alias("center_n"), "n"), "dup-buckets")
     met = join_counted(members, buckets, ["key"]).where("rep <> center")
@@ -233,13 +302,16 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     tidy(docs.sparkSession)
     # What stars can miss: pairs of a bucket in different components, one of them not in that of the bucket's smallest.
     wide = buckets.where("n > 2").join(first.select(F.col("id").alias("center"), F.col("component").alias("cc")), "center", "left").select("key", "center", F.coalesce("cc", "center").alias("center_c"), "n")
-    inside = join_counted(members, stored(wide, "dup-wide"), ["key"]).join(first.withColumnRenamed("id", "rep"), "rep", "left").select("table", "key", "rep", "n_shingles", "center", "center_c", F.coalesce("component", "rep").alias("c"))
-    inside = stored(inside, "dup-inside")
+    labelled = classes.select(F.col("id").alias("rep"), "n_shingles", "halves").join(first.withColumnRenamed("id", "rep"), "rep", "left")
+    labelled = stored(labelled.select("rep", "n_shingles", "halves", F.coalesce("component", "rep").alias("c")), "dup-labelled")  # before a class has a row for each of its tables
+    inside = join_counted(labelled.select("rep", "n_shingles", "c", F.explode(keys).alias("key")), stored(wide, "dup-wide"), ["key"])
+    inside = stored(inside.select("key", "rep", "n_shingles", "center", "center_c", "c"), "dup-inside")
     split = stored(inside.groupBy("key").agg(F.count("*").alias("n"), F.max(F.col("c") != F.col("center_c")).alias("open")).where("open").select("key", "n"), "dup-split")
     inside = join_counted(inside, split, ["key"]).drop("n")
-    alone = _lone_shingles(stored(inside.select("rep").distinct(), "dup-open"), reps, docs)
-    inside = inside.join(alone, "rep", "left").withColumn("shared", F.col("n_shingles") - F.coalesce("alone", F.lit(0)))
-    inside = stored(inside.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).drop("center_c", "alone"), "dup-able")
+    opened = stored(inside.select("rep", "n_shingles").distinct(), "dup-open")
+    able = opened.join(_lone_shingles(opened.select("rep"), reps, docs), "rep", "left").withColumn("shared", F.col("n_shingles") - F.when(F.col("alone").isNull(), 0).otherwise(F.size("alone")))
+    able = stored(able.where(F.col("shared") * 100 >= F.col("n_shingles") * percent).select("rep", "shared", "alone"), "dup-shared")
+    inside = stored(inside.join(able.drop("alone"), "rep").drop("center_c"), "dup-able")
 
     def reachable(n: Column, n_shared: Column, m: Column, m_shared: Column) -> Column:
         most = F.least(n_shared, m_shared)  # no pair has more in common
@@ -248,24 +320,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = SIDE, half:
     # A second star around the member with the least of its own: of a group of edited copies, the one nearest to their origin.
     best = F.max(F.struct((F.col("shared") / F.col("n_shingles")).alias("share"), (-F.col("rep")).alias("o"), F.col("rep").alias("hub"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("hub_c")))
     hubs = stored(inside.groupBy("key").agg(best.alias("hub"), F.count("*").alias("n")).select("key", "hub.hub", "hub.m", "hub.m_shared", "hub.hub_c", "n"), "dup-hubs")
-    near = join_counted(inside, hubs, ["key"]).where("rep <> hub and c <> hub_c").where(reachable(F.col("n_shingles"), F.col("shared"), F.col("m"), F.col("m_shared")))
-    near = stored(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "dup-near")
+    at_hubs = join_counted(inside, hubs, ["key"]).where("rep <> center and rep <> hub")  # the center has been compared with all of the bucket
+    at_hubs = stored(at_hubs.select("hub", "m", "m_shared", "hub_c", "rep", "n_shingles", "shared", "c").distinct(), "dup-hubbed")
+    near = at_hubs.where("c <> hub_c").where(reachable(F.col("n_shingles"), F.col("shared"), F.col("m"), F.col("m_shared")))
+    near = stored(near.select(F.col("hub").alias("a"), F.col("rep").alias("b")), "dup-near")
     if near.take(1):
         links = stored(links.unionByName(_verified(near, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-second")
     tidy(docs.sparkSession)
-    label = first.select(F.col("id").alias("rep"), "component")
-    inside = inside.drop("c").join(label, "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component").join(classes.select(F.col("id").alias("rep"), "halves"), "rep")
-    hubs = hubs.select("key", "hub", "n").join(label.withColumnRenamed("rep", "hub"), "hub", "left").select("key", "hub", F.coalesce("component", "hub").alias("hub_c"), "n")
-    inside = join_counted(inside, stored(hubs, "dup-hubs"), ["key"]).where("rep <> center and rep <> hub")  # both have been compared with all of the bucket
-    inside = stored(inside.drop("n", "center", "hub"), "dup-left")
-    most = stored(inside.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("c") != F.col("hub_c")).alias("outside")).where("outside > 0 and n > 1").withColumn("parts", F.ceil(F.col("outside") / ROWS_PER_PART)), "dup-outside")
-    inside = join_counted(inside, most, ["key"])
-    outside = inside.where("c <> hub_c").select("key", F.pmod(F.xxhash64("rep"), "parts").alias("part"), "table", F.col("rep").alias("x"), F.col("n_shingles").alias("n"), F.col("shared").alias("n_shared"), F.col("c").alias("cx"), F.col("halves").alias("hx"))
-    others = inside.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("rep").alias("y"), F.col("n_shingles").alias("m"), F.col("shared").alias("m_shared"), F.col("c").alias("cy"), "hub_c", F.col("halves").alias("hy"))
-    rest = outside.join(others, ["key", "part"]).where("cx <> cy and (cy = hub_c or x < y)").where(reachable(F.col("n"), F.col("n_shared"), F.col("m"), F.col("m_shared")))
-    more = stored(rest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "table", "hx", "hy").where(~_met_before(side)).select("a", "b").distinct(), "dup-rest")
-    if more.take(1):
+    of_hubs = at_hubs.select("hub").distinct().join(first.withColumnRenamed("id", "hub"), "hub", "left").select("hub", F.coalesce("component", "hub").alias("hub_c"))
+    of_reps = at_hubs.select("rep").distinct().join(first.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("c"))
+    counted = at_hubs.groupBy("hub").agg(F.count("*").alias("n")).join(of_hubs, "hub")
+    at_hubs = join_counted(at_hubs.select("hub", "rep", "n_shingles"), stored(counted, "dup-hubs"), ["hub"]).drop("n").join(of_reps, "rep")
+    more = _still_possible(stored(at_hubs, "dup-hubbed"), able, classes, reps, docs, side, percent)
+    if more is not None and more.take(1):
         links = stored(links.unionByName(_verified(more, reps, docs, percent)), "dup-links")
         first = stored(components(links), "dup-all")
     tidy(docs.sparkSession)
