@@ -1,3 +1,4 @@
+import time
 import zlib
 
 import numpy as np
@@ -69,6 +70,56 @@ def test_word_sums_equal_the_average():
     assert np.allclose(m.raw(text), m.embeddings[ids].mean(axis=0) @ m.weights.T + m.bias)
 
 
+def test_new_words_cost_less_than_hashing_them_one_by_one():
+    rng = np.random.default_rng(8)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüéñ"))
+    text = " ".join("".join(rng.choice(letters, n)) for n in rng.integers(3, 12, 20_000).tolist())
+    m = langid.Model(["x", "y"], rng.standard_normal((1 << langid.BITS, langid.DIM)), rng.standard_normal((2, langid.DIM)), np.zeros(2))
+    m.predict("wärm up")
+    spent = []
+    for run in (m.predict, langid.subwords):
+        at = time.process_time()
+        run(text)
+        spent.append(time.process_time() - at)
+    assert spent[0] < spent[1] / 2
+
+
+def test_hashes_of_many_texts_are_those_of_each(monkeypatch):
+    odd = ["", None, "a", "Hola, que TAL hola;ciudad 12 é", "ΌΣΟΣ ΣΑΣ. Σ", "İSTANBUL ǅ ß", "e\u0301a ½x² _a_b_ Ⅷ", "漢字かな交じり文、テスト", "𐐀𐐁𐐂 𝒜𝓑 \U0001f600b\U00020000\U00020001c", "\ud800x\udfff", "<a> <<b>>c", "é" * 23 + " " + "é" * 24 + " " + "é" * 25 + "x " + "ab" * 300, "x" * 45 + " " + "x" * 46 + " " + "x" * 47, "\U0010ffff", "aé漢𐐀" * 9, "- 1 -", "ab\u00a0cd\u2028ef\x1cgh"]
+    rng = np.random.default_rng(4)
+    letters = list("aé漢𐐀ſΣ .1'")
+    odd += ["".join(rng.choice(letters, n)) for n in rng.integers(0, 60, 200).tolist()]
+    for block in (1, 7, 64, langid.BLOCK):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        for texts in (odd, [odd[3]], [], [None], ["abc"]):
+            got = [[] for _ in texts]
+            for found, text, at in langid.hashes(texts):
+                for k, part in zip(text.tolist(), np.split(found, at[1:]), strict=True):
+                    got[k] += part[part != langid.NONE].tolist()
+            assert [sorted(g) for g in got] == [sorted(langid.subwords(t or "")) for t in texts]
+
+
+def test_a_long_word_sums_without_loss():
+    rng = np.random.default_rng(9)
+    e, w = rng.standard_normal((1 << langid.BITS, langid.DIM)).astype(np.float32), rng.standard_normal((2, langid.DIM)).astype(np.float32)
+    text = "katié" * 60_000
+    share = np.bincount(langid.subwords(text), minlength=1 << langid.BITS) / len(langid.subwords(text))
+    assert np.allclose(langid.Model(["x", "y"], e, w, np.zeros(2)).raw(text), share @ (e.astype(float) @ w.T.astype(float)), rtol=0, atol=1e-9)
+
+
+def test_more_languages_than_dimensions():
+    rng = np.random.default_rng(6)
+    n = langid.DIM + 3
+    m = langid.Model([f"l{k:02d}" for k in range(n)], rng.standard_normal((1 << langid.BITS, langid.DIM)), rng.standard_normal((n, langid.DIM)), rng.standard_normal(n), 1.5, 0.4)
+    texts = ["Hola, que TAL", None, "über ciudad 12 é", "--"]
+    lang, score, accepted = m.predict_all(texts)
+    for k, t in enumerate(texts):
+        ids = langid.subwords(t or "")
+        p = langid.softmax((m.embeddings[ids].mean(axis=0) @ m.weights.T + m.bias)[None] / 1.5)[0] if ids else None
+        assert lang[k] == (m.languages[int(p.argmax())] if ids else "und") and np.isclose(score[k], p.max() if ids else 0)
+        assert accepted[k] == bool(ids and p.max() >= 0.4)
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in langid.languages(docs).collect()] == [("und", 0.0)]
